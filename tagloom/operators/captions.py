@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import (
-    canon, collapse, dedupe_ci, format_tag, format_text, is_count_tag, let, split_text, strip, canon_text,
+    COUNT_TAG, canon_sql, canon_text, collapse, dedupe_ci, each, format_all, format_sql, format_text, let,
+    only, quoted, split_text, strip, strip_sql,
 )
 from ..settings import PROFILES
 from .select import empty, vlm_parts
@@ -37,7 +38,7 @@ def block_words(has_blocks: Column, s: dict[str, Any]) -> Column:
 def leading_names(raw: Column, s: dict[str, Any]) -> Column:
     """Names that may stand before a rating tag: tagger characters and accepted language-model names."""
     vlm = vlm_parts(raw, s)
-    return F.concat(F.transform(raw["character"], lambda x: x["name"]), vlm["character"], vlm["copyright"],
+    return F.concat(raw["character"]["name"], vlm["character"], vlm["copyright"],
                     vlm["artist"])
 
 
@@ -50,17 +51,16 @@ def rating_word(rating: Column, s: dict[str, Any]) -> Column:
 
 def place_after_people(tags: Column, body: Column, word: Column, names: Column) -> Column:
     """Insert ``word`` after the leading run of people-count and name tags."""
-    known = F.transform(names, lambda n: F.lower(canon(n)))
+    known = each(names, f"n -> lower({canon_sql('n')})")
 
     def insert(known_names: Column) -> Column:
-        stops = F.filter(
-            F.transform(tags, lambda t, i: F.when(
-                is_count_tag(canon(t)) | F.coalesce(F.array_contains(known_names, F.lower(canon(t))), F.lit(False)),
-                F.lit(None)).otherwise(i)),
-            lambda i: i.isNotNull())
-        at = F.coalesce(F.get(stops, F.lit(0)), F.size(tags))
-        return let(at, lambda n: F.concat(F.slice(body, F.lit(1), n), F.array(word),
-                                          F.slice(body, n + 1, F.size(body))))
+        def at(keys: Column) -> Column:
+            leads = F.transform(keys, lambda t, i: F.when(
+                ~(t.rlike(COUNT_TAG) | F.coalesce(F.array_contains(known_names, t), F.lit(False))), i))
+            return F.coalesce(F.array_min(leads), F.size(tags))
+
+        return let(let(each(tags, f"t -> lower({canon_sql('t')})"), at), lambda n: F.concat(
+            F.slice(body, F.lit(1), n), F.array(word), F.slice(body, n + 1, F.size(body))))
 
     return F.when(word.isNull(), body).otherwise(let(known, insert))
 
@@ -80,18 +80,18 @@ def _description(nl: Column, s: dict[str, Any], body: Column) -> Column:
 def caption_parts(tags: Column, nl: Column, rating: Column, names: Column, extra: Column, s: dict[str, Any]) -> Column:
     """The caption's pieces in order, before the final distinct."""
     u2s, esc = s["underscore_to_space"], s["escape_parentheses"]
-    fmt = lambda t: format_tag(t, u2s, esc)
+    fmt = lambda a: format_all(a, u2s, esc)
     trigger, mode = s["trigger"].strip(), s["caption_mode"]
-    extra = F.transform(extra, fmt)
+    extra = fmt(extra)
     if mode == "trigger_only":
         fixed = F.filter(F.concat(_lits([x for x in (trigger, s["class_word"].strip()) if x]), extra),
                          lambda x: x != "")
-        return F.when(F.size(fixed) > 0, fixed).otherwise(F.transform(tags, fmt))
+        return F.when(F.size(fixed) > 0, fixed).otherwise(fmt(tags))
     prefix = _lits(_words(s["prefix_tags"], s))
     quality = _lits(_words(s["quality_tags"], s) if s["add_quality_tags"] else [])
     append = F.concat(_lits(_words(s["append_tags"], s)), extra)
     word = rating_word(rating, s)
-    body = F.transform(tags, fmt)
+    body = fmt(tags)
     if PROFILES[s["profile"]].get("rating_position") == "prefix":
         prefix = F.concat(prefix, F.when(word.isNull(), empty()).otherwise(F.array(word)))
     elif s["include_rating"] and PROFILES[s["profile"]]["rating_map"]:
@@ -120,7 +120,7 @@ def build_caption(tags: Column, nl: Column, rating: Column, names: Column, extra
     parts = caption_parts(tags, nl, rating, names, extra, s)
     if s["caption_mode"] == "trigger_only":
         return F.array_join(parts, ", ")
-    stripped = F.filter(F.transform(parts, strip), lambda x: x != "")
+    stripped = only(each(parts, "x -> " + strip_sql("x")), "x -> x <> ''")
     return F.array_join(dedupe_ci(stripped), ", ")
 
 
@@ -140,25 +140,16 @@ def training_hints(s: dict[str, Any]) -> dict[str, Any]:
 
 
 def _scored(tags: Column, general: Column) -> Column:
-    """array<struct<i,t,k,score>>: every tag with its prediction score, by one sort of tags and scores together."""
-    kind = "struct<k:string,tag:boolean,i:int,s:double,t:string>"
-    rows = F.concat(
-        F.transform(F.coalesce(general, F.expr("cast(array() as array<struct<name:string,score:double>>)")),
-                    lambda g, i: F.struct(F.lower(canon(g["name"])).alias("k"), F.lit(False).alias("tag"),
-                                          (-i).alias("i"), g["score"].cast("double").alias("s"),
-                                          F.lit(None).cast("string").alias("t")).cast(kind)),
-        F.transform(tags, lambda t, i: F.struct(F.lower(canon(t)).alias("k"), F.lit(True).alias("tag"), i.alias("i"),
-                                                F.lit(None).cast("double").alias("s"), t.alias("t")).cast(kind)))
-
-    def attach(a: Column) -> Column:
-        def score(x: Column, i: Column) -> Column:
-            before = F.get(a, i - 1)
-            return F.when((i > 0) & (before["k"] == x["k"]) & ~before["tag"], before["s"])
-
-        return F.transform(a, lambda x, i: F.struct(x["tag"].alias("tag"), x["i"].alias("i"), x["t"].alias("t"),
-                                                    x["k"].alias("k"), score(x, i).alias("score")))
-
-    return F.filter(let(F.array_sort(rows), attach), lambda x: x["tag"])
+    """array<struct<tag,i,t,k,score>>: every tag with its prediction score, by one sort of tags and scores together."""
+    none = F.expr("cast(array() as array<struct<name:string,score:double>>)")
+    scores = each(F.coalesce(general, none), f"(g, i) -> struct(lower({canon_sql('g.name')}) AS k, false AS tag, -i AS i, "
+                                             "cast(g.score as double) AS s, cast(null as string) AS t)")
+    rows = F.concat(scores, each(tags, f"(t, i) -> struct(lower({canon_sql('t')}) AS k, true AS tag, i AS i, "
+                                       "cast(null as double) AS s, t AS t)"))
+    attached = let(F.sort_array(rows), (
+        "a -> transform(a, (x, i) -> struct(x.tag AS tag, x.i AS i, x.t AS t, x.k AS k, "
+        "CASE WHEN i > 0 AND get(a, i - 1).k = x.k AND NOT get(a, i - 1).tag THEN get(a, i - 1).s END AS score))"))
+    return only(attached, "x -> x.tag")
 
 
 def fit_captions(df: DataFrame, s: dict[str, Any], limit: int = MAX_CAPTION) -> DataFrame:
@@ -169,19 +160,17 @@ def fit_captions(df: DataFrame, s: dict[str, Any], limit: int = MAX_CAPTION) ->
     whose text is also a fixed piece frees nothing, every other tag frees its length plus the separator. Everything
     is a sort or a scan inside the row, so long texts cost O(n log n).
     """
-    keep = [canon_text(k).lower() for k in split_text(s["block_tag"])]
-    fmt = lambda t: strip(format_tag(t, s["underscore_to_space"], s["escape_parentheses"]))
+    keep = ", ".join(quoted(canon_text(k).lower()) for k in split_text(s["block_tag"]))
+    shown = strip_sql(format_sql(canon_sql("x.t"), s["underscore_to_space"], s["escape_parentheses"]))
     nl, rating, names, extra = F.col("nl"), F.col("rating"), F.col("names"), F.col("extra")
     base = df.withColumn("_full", build_caption(F.col("tags"), nl, rating, names, extra, s))
     long = F.length("_full") > limit
-    fixed = F.transform(caption_parts(empty(), nl, rating, names, extra, s), lambda x: F.lower(strip(x)))
+    fixed = each(caption_parts(empty(), nl, rating, names, extra, s), f"x -> lower({strip_sql('x')})")
     base = base.withColumn("_fixed", F.when(long, F.array_distinct(fixed))) \
                .withColumn("_scored", F.when(long, _scored(F.col("tags"), F.col("general"))))
-    order = F.array_sort(F.transform(F.filter("_scored", lambda x: ~x["k"].isin(keep)), lambda x: F.struct(
-        x["score"].isNull().alias("unscored"), F.coalesce(x["score"], F.lit(0.0)).alias("score"),
-        (-x["i"]).alias("back"), x["t"].alias("t"),
-        F.when(F.array_contains("_fixed", F.lower(fmt(x["t"]))), 0).otherwise(F.length(fmt(x["t"])) + 2)
-        .alias("frees"))))
+    order = F.sort_array(each(only(F.col("_scored"), f"x -> x.k NOT IN ({keep})"), (
+        "x -> struct(x.score IS NULL AS unscored, coalesce(x.score, 0D) AS score, -x.i AS back, x.t AS t, "
+        f"CASE WHEN array_contains(_fixed, lower({shown})) THEN 0 ELSE length({shown}) + 2 END AS frees)")))
     base = base.withColumn("_order", F.when(long, order))
     bodiless = s["caption_mode"] == "trigger_only" and bool(s["trigger"].strip() or s["class_word"].strip())
     frees = (lambda x: F.lit(0)) if bodiless else (lambda x: x["frees"])
@@ -192,11 +181,10 @@ def fit_captions(df: DataFrame, s: dict[str, Any], limit: int = MAX_CAPTION) ->
     if s["caption_mode"] == "natural":  # a described record shows no tags, so no removal helps
         count = F.when(collapse(F.coalesce(nl, F.lit(""))) != "", F.size("_order")).otherwise(count)
     base = base.withColumn("_n", F.when(long, count).otherwise(0))
-    stay = F.transform(F.filter("_scored", lambda x: x["k"].isin(keep)),
-                       lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))
-    rest = F.transform(F.slice("_order", F.col("_n") + 1, F.greatest(F.size("_order"), F.lit(0))),
-                       lambda x: F.struct((-x["back"]).alias("i"), x["t"].alias("t")))
-    kept = F.transform(F.array_sort(F.concat(stay, rest)), lambda x: x["t"])
+    stay = each(only(F.col("_scored"), f"x -> x.k IN ({keep})"), "x -> struct(x.i AS i, x.t AS t)")
+    rest = each(F.slice("_order", F.col("_n") + 1, F.greatest(F.size("_order"), F.lit(0))),
+                "x -> struct(-x.back AS i, x.t AS t)")
+    kept = each(F.sort_array(F.concat(stay, rest)), "x -> x.t")
     base = base.withColumn("_kept", F.when(long, kept).otherwise(F.col("tags")))
     base = base.withColumn("_short", F.when(long, build_caption(F.col("_kept"), nl, rating, names, extra, s))
                            .otherwise(F.col("_full"))).withColumn("_suffix", F.array_join("extra", ", "))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tags import let, matches_globs, split_text, tidy
+from ..functions.tags import canon_sql, globs_regex, let, only, quoted, split_text, tidy
 
 
 def _lits(words: list[str]) -> Column:
@@ -22,7 +22,8 @@ def add(tags: Column, text: str, position: str = "back") -> Column:
 
 
 def remove(tags: Column, text: str) -> Column:
-    return F.filter(tags, lambda t: ~matches_globs(t, split_text(text)))
+    regex = globs_regex(split_text(text))
+    return only(tags, f"t -> NOT lower({canon_sql('t')}) RLIKE {quoted(regex)}") if regex else tags
 
 
 def replace(tags: Column, find: str, put: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tags import canon, let
+from ..functions.tags import canon_sql, each, let
 from ..settings import PROTECTED_AGE_TERMS, SEXUAL_RATINGS, SEXUAL_TERMS, SEXUAL_TEXT
 
 
@@ -17,10 +17,10 @@ def policy_flag(tags: Column, rating: Column, nl: Column, first: list[str] = PRO
                 ratings: list[str] = SEXUAL_RATINGS) -> Column:
     """Sorted, joined terms of the first list when the record also matches the second list, a rating or the text
     pattern; null otherwise."""
-    keys = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(canon(t)))
+    keys = each(F.coalesce(tags, F.array().cast("array<string>")), f"t -> lower({canon_sql('t')})")
 
     def judge(k: Column) -> Column:
-        hits = F.array_sort(F.array_intersect(F.array_distinct(k), _terms(first)))
+        hits = F.sort_array(F.array_intersect(F.array_distinct(k), _terms(first)))
         paired = (F.coalesce(rating.isin(ratings), F.lit(False)) | F.arrays_overlap(k, _terms(second))
                   | F.coalesce(nl.rlike(text), F.lit(False)))
         return let(hits, lambda h: F.when((F.size(h) > 0) & paired, F.array_join(h, ", ")))

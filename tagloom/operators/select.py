@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import (
-    canon, canon_text, is_count_tag, let, matches_globs, matches_groups, split_text, tidy,
+    canon_all, canon_sql, canon_text, each, globs_regex, groups_regex, is_count_sql, let, only, quoted, split_text, tidy,
 )
 from ..settings import PROFILES, PRUNE_GROUPS
 
@@ -29,19 +29,18 @@ def above(scores: DataFrame, general: float, character: float) -> DataFrame:
 
 
 def ranked(scores: Column, threshold: float) -> Column:
-    """Names at or above the threshold, best first, input order on ties."""
-    kept = F.filter(scores, lambda s: s["score"] >= F.lit(threshold))
-    keyed = F.transform(kept, lambda s, i: F.struct((-s["score"]).alias("o"), i.alias("i"), s["name"].alias("n")))
-    return F.transform(F.array_sort(keyed), lambda s: canon(s["n"]))
+    """Canonical names at or above the threshold, best first, input order on ties."""
+    kept = only(scores, f"s -> s.score >= {threshold}D")
+    keyed = F.sort_array(each(kept, "(s, i) -> struct(-s.score AS o, i AS i, s.name AS n)"))
+    return each(keyed, "s -> " + canon_sql("s.n"))
 
 
 def trusted(character: Column, vlm_character: Column, settings: dict[str, Any]) -> Column:
     """Names from the language model count only if the tagger saw no character, or agrees on one."""
     if settings["vlm_tags"] == "only":
         return F.lit(True)
-    sure = F.transform(F.filter(character, lambda s: s["score"] >= F.lit(settings["character_threshold"])),
-                       lambda s: F.lower(canon(s["name"])))
-    told = F.transform(vlm_character, lambda x: F.lower(canon(x)))
+    sure = each(only(character, f"s -> s.score >= {settings['character_threshold']}D"), f"s -> lower({canon_sql('s.name')})")
+    told = each(vlm_character, f"x -> lower({canon_sql('x')})")
     return let(sure, lambda s: (F.size(s) == 0) | F.coalesce(F.arrays_overlap(s, told), F.lit(False)))
 
 
@@ -53,8 +52,8 @@ def vlm_parts(raw: Column, settings: dict[str, Any]) -> dict[str, Column]:
     vlm = raw["vlm"]
 
     def names(key: str, prefix: str = "") -> Column:
-        listed = F.coalesce(vlm[key], empty())
-        return F.transform(listed, lambda x: F.concat(F.lit(prefix), canon(x)))
+        named = canon_all(F.coalesce(vlm[key], empty()))
+        return each(named, f"x -> concat({quoted(prefix)}, x)") if prefix else named
 
     ok = trusted(raw["character"], F.coalesce(vlm["character"], empty()), settings)
     artist = PROFILES[settings["profile"]].get("artist_prefix", "")
@@ -67,10 +66,12 @@ def vlm_parts(raw: Column, settings: dict[str, Any]) -> dict[str, Column]:
     }
 
 
-def removable(tag: Column, settings: dict[str, Any], groups: dict[str, list[str]] | None = None) -> Column:
+def removable_sql(x: str, settings: dict[str, Any], groups: dict[str, list[str]] | None = None) -> str:
     """Pruned by pattern group or blacklisted."""
-    return matches_groups(tag, settings["prune_groups"], groups or PRUNE_GROUPS) | matches_globs(
-        tag, split_text(settings["blacklist"]))
+    table = PRUNE_GROUPS if groups is None else groups
+    regexes = [groups_regex(settings["prune_groups"], table), globs_regex(split_text(settings["blacklist"]))]
+    tests = [f"lower({canon_sql(x)}) RLIKE {quoted(r)}" for r in regexes if r]
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
 
 
 def select_tags(raw: Column, settings: dict[str, Any], groups: dict[str, list[str]] | None = None) -> Column:
@@ -88,19 +89,18 @@ def select_tags(raw: Column, settings: dict[str, Any], groups: dict[str, list[st
     trigger = canon_text(settings["trigger"]).lower()
 
     def assemble(g: Column) -> Column:
-        counts = F.filter(g, is_count_tag)
-        others = F.filter(g, lambda x: ~is_count_tag(x))
-        return F.concat(counts, chars, vlm["character"], vlm["copyright"], vlm["artist"], others)
+        return F.concat(only(g, f"x -> {is_count_sql('x')}"), chars, vlm["character"], vlm["copyright"], vlm["artist"],
+                        only(g, f"x -> NOT {is_count_sql('x')}"))
 
     candidates = let(F.concat(general, vlm["general"]), assemble)
-    kept = F.filter(candidates, lambda x: (x != "") & (F.lower(x) != trigger) & ~removable(x, settings, groups))
+    kept = only(candidates, f"x -> x <> '' AND lower(x) <> {quoted(trigger)} AND NOT {removable_sql('x', settings, groups)}")
     ordered = tidy(kept)
     cap = settings["max_tags"]
     return F.slice(ordered, 1, cap) if cap > 0 else ordered
 
 
 def apply_filters(tags: Column, settings: dict[str, Any], groups: dict[str, list[str]] | None = None) -> Column:
-    return F.filter(tags, lambda x: ~removable(x, settings, groups))
+    return only(tags, f"x -> NOT {removable_sql('x', settings, groups)}")
 
 
 def top_rating(rating: Column) -> Column:

@@ -10,7 +10,7 @@ from ..operators import policy as P
 from ..operators import select as S
 from .registry import query
 from .tags import GROUPS, PROJECT, SELECTED
-from .views import ITEMS, PROJECTS, WORD_SCORES, items, projects, raw, table, word_scores
+from .views import ITEMS, PROJECTS, WORD_SCORES, items, projects, raw, table, texts, word_scores
 
 ANIMAGINE = C.defaults_for("animagine_xl", trigger="hot gear", add_quality_tags=True, append_tags="new, Old Ring", vlm_tags="merge",
                            vlm_artist_tags=True, character_threshold=0.5, block_tag_auto=True)
@@ -87,23 +87,23 @@ def caption_rating(spark, sf):
 @query("token_estimate", """SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')) AS tokens FROM documents""")
 def tokens(spark, sf):
     """Whole texts."""
-    return table(spark, sf, "documents").select("doc_id", token_estimate(F.col("text")).cast("long").alias("tokens"))
+    return texts(spark, sf).select("doc_id", token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
 _WORD = "CASE rating WHEN 'general' THEN 'general' WHEN 'sensitive' THEN 'sensitive' WHEN 'questionable' THEN 'nsfw' END"
 FIT_SQL = f"""WITH {WORD_SCORES}, t AS (SELECT id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos, {_WORD} AS word, rating FROM items),
-    w AS (SELECT t.*, s.score, CASE WHEN t.tag IN ('the', coalesce(word, 'the'), 'rectangle') THEN 0 ELSE length(t.tag) + 2 END AS frees FROM t LEFT JOIN word_scores s ON s.id = t.id AND s.tag = t.tag),
+    w AS (SELECT t.*, s.score, CASE WHEN t.tag IN ('the', coalesce(word, 'the')) THEN 0 ELSE length(t.tag) + 2 END AS frees FROM t LEFT JOIN word_scores s ON s.id = t.id AND s.tag = t.tag),
     o AS (SELECT *, row_number() OVER v AS rn, sum(frees) OVER v AS freed, sum(frees) OVER (PARTITION BY id) AS body
       FROM w WINDOW v AS (PARTITION BY id ORDER BY score IS NULL, coalesce(score, 0), -pos ROWS UNBOUNDED PRECEDING)),
-    f AS (SELECT *, 3 + body + coalesce(length(word) + 2, 0) + length(', white rectangle') - CASE WHEN bool_or(tag = 'rectangle') OVER (PARTITION BY id) THEN -11 ELSE 0 END AS total FROM o),
+    f AS (SELECT *, 3 + body + coalesce(length(word) + 2, 0) + length(', white rectangle') AS total FROM o),
     k AS (SELECT id, CASE WHEN any_value(total) <= 1024 THEN 0 ELSE coalesce(min(rn) FILTER (total - freed <= 1024), count(*)) END AS n FROM f GROUP BY 1),
     kept AS (SELECT f.id, list(tag ORDER BY pos) FILTER (rn > n) AS tags, any_value(word) AS word, any_value(n) AS n FROM f JOIN k ON k.id = f.id GROUP BY 1),
-    p AS (SELECT i.id, ['the'] || CASE WHEN coalesce(kept.word, CASE i.rating WHEN 'general' THEN 'general' END) IS NULL THEN [] ELSE [{_WORD.replace('rating', 'i.rating')}] END || coalesce(kept.tags, []) || ['white rectangle'] AS parts,
+    p AS (SELECT i.id, ['the'] || CASE WHEN i.rating IS NULL THEN [] ELSE [{_WORD.replace('rating', 'i.rating')}] END || coalesce(kept.tags, []) || ['white rectangle'] AS parts,
       coalesce(n, 0) AS n FROM items i LEFT JOIN kept ON kept.id = i.id)
   SELECT id, {joined("parts")} AS caption, n AS removed FROM p"""
 
 
-@query("caption_fit", None)
+@query("caption_fit", FIT_SQL)
 def caption_fit(spark, sf):
     """Every record's whole word list and whole description, fitted into 1024 characters."""
     s = C.defaults_for("noobai_xl", trigger="the", append_tags="white rectangle", max_tags=0)

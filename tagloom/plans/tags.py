@@ -7,7 +7,7 @@ from ..functions import tags as T
 from ..operators import select as S
 from ..settings import defaults_for
 from .registry import query
-from .views import RAW, SCORES, raw, table, tag_scores
+from .views import RAW, SCORES, raw, table, tag_scores, texts
 
 # A neutral pattern table for part names, shaped like the built-in groups.
 GROUPS = {"colour_part": ["(red|blue|green) (plate|ring|bolt)"], "old_part": ["old .+"]}
@@ -44,7 +44,7 @@ def canon_tags(spark, sf):
     SELECT doc_id, string_agg(t, '|' ORDER BY pos) AS tags, count(*) AS n FROM f GROUP BY 1""")
 def split_tags(spark, sf):
     """Whole texts, split on commas and line breaks."""
-    d = table(spark, sf, "documents").select("doc_id", T.split_tags(F.col("text")).alias("t"))
+    d = texts(spark, sf).select("doc_id", T.split_tags(F.col("text")).alias("t"))
     return d.where(F.size("t") > 0).select("doc_id", F.array_join("t", "|").alias("tags"), F.size("t").cast("long").alias("n"))
 
 
@@ -81,7 +81,7 @@ def score_floor(spark, sf):
 def tags_threshold(spark, sf):
     kept = S.above(tag_scores(spark, sf), 0.35, 0.85)
     # one record's tags are bounded by the vocabulary
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "tag")))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "tag")))
     return kept.groupBy("entity", "category").agg(F.array_join(F.transform(listed, lambda x: x["tag"]), ",").alias("tags"))
 
 
@@ -138,9 +138,9 @@ def top_rating(spark, sf):
 def tag_union(spark, sf):
     """Upper-case tagger names first, then language-model names: the first spelling wins."""
     r = F.col("raw")
-    first = F.array_sort(F.transform(F.concat(r["general"], r["character"]), lambda x: F.upper(T.canon(x["name"]))))
+    first = F.sort_array(F.transform(F.concat(r["general"], r["character"]), lambda x: F.upper(T.canon(x["name"]))))
     v = r["vlm"]
-    second = F.array_sort(F.concat(v["character"], v["copyright"], v["artist"], v["general"]))
+    second = F.sort_array(F.concat(v["character"], v["copyright"], v["artist"], v["general"]))
     return raw(spark, sf).select("entity", F.array_join(T.tidy(F.concat(first, second)), "|").alias("tags"))
 
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, spread by id when the files give fewer splits than there are cores (a small or unsplittable input)."""
+    d, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= cores else d.repartition(cores, "doc_id")
+
+
 # ------------------------------------------------------------------ items: captioned records
 EXTENSIONS = [".png", ".JPG", ".webp", ".bmp"]
 ITEMS = """
@@ -32,7 +38,7 @@ items AS (SELECT d.doc_id AS id, d.source AS project_id,
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, lab = texts(spark, sf), table(spark, sf, "labels")
     ext = F.array(*[F.lit(e) for e in EXTENSIONS])[(F.col("doc_id") % 4).cast("int")]
     return d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("source").alias("project_id"),
@@ -55,7 +61,7 @@ word_scores AS (SELECT id, w AS tag, n * 1.0::DOUBLE / (n + 4) AS score FROM cou
 
 def word_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Per record, a frequency score for every word of more than two letters."""
-    words = table(spark, sf, "documents").select(
+    words = texts(spark, sf).select(
         F.col("doc_id").alias("id"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
     counted = words.where(F.length("name") > 2).groupBy("id", "name").agg(F.count("*").alias("n"))
     return counted.groupBy("id").agg(F.collect_list(F.struct("name", (F.col("n") / (F.col("n") + 4)).alias("score"))).alias("general"))
@@ -134,7 +140,7 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     name = F.replace("tag", F.lit(" "), F.lit("_"))
     pair = F.struct(name.alias("name"), (-F.col("score")).alias("o"))
     promo = F.col("kind") == "PROMO"
-    told = lambda c: F.array_sort(F.collect_set(F.when(F.col("told") & c, F.col("tag"))))
+    told = lambda c: F.sort_array(F.collect_set(F.when(F.col("told") & c, F.col("tag"))))
     grouped = lines.groupBy("entity").agg(
         F.collect_list(F.when(~promo, pair)).alias("g"), F.collect_list(F.when(promo, pair)).alias("c"),
         told(promo).alias("v_char"), told(F.col("kind") == "LARGE").alias("v_copy"),
@@ -143,8 +149,8 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
     def best(c: str):
         """Best score per name (one name can come from several part types), best first."""
-        once = let(F.array_sort(F.col(c)), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["name"] != F.get(a, i - 1)["name"])))
-        ordered = F.array_sort(F.transform(once, lambda x: F.struct(x["o"].alias("o"), x["name"].alias("name"))))
+        once = let(F.sort_array(F.col(c)), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["name"] != F.get(a, i - 1)["name"])))
+        ordered = F.sort_array(F.transform(once, lambda x: F.struct(x["o"].alias("o"), x["name"].alias("name"))))
         return F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), (-x["o"]).alias("score")))
 
     return grouped.select("entity", F.struct(
@@ -169,13 +175,13 @@ fingerprints AS (SELECT g.doc_id AS id,
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """One aggregation by record: 64 bucket counts side by side, then median, bits and signature inside the row."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    words = texts(spark, sf).select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
     b = F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % 64
     counts = words.where("w <> ''").groupBy(F.col("doc_id").alias("id"), b.alias("b")).agg(F.count("*").alias("n"))
     packed = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     wide = packed.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)),
                                            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("h"))
-    wide = wide.select("id", "h", F.array_sort("h").alias("s"))
+    wide = wide.select("id", "h", F.sort_array("h").alias("s"))
     med = (F.col("s")[31] + F.col("s")[32]) / 2.0
 
     def bits(first: int):

@@ -161,7 +161,7 @@ def resolve_settings(projects: DataFrame) -> DataFrame:
                 .withColumn("lora_type", one_of(F.col("lora_type"), list(PRUNE_BY_LORA_TYPE), "character"))
     joined = p.join(F.broadcast(profile_table(projects.sparkSession)), "profile")
     kinds = F.create_map(*[x for k, v in PRUNE_BY_LORA_TYPE.items() for x in (F.lit(k), F.lit(",".join(v)))])
-    pieces = F.filter(F.transform(F.split("o_block_tag", ","), F.trim), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split("o_block_tag", ","), lambda x: F.trim(x)), lambda x: x != "")
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     return joined.select(
         *[c for c in projects.columns if not c.startswith("o_") and c not in ("profile", "lora_type")],
