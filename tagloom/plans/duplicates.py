@@ -1 +1,179 @@
+"""Exact and near duplicates."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import near as N
+from ..operators import order as O
+from .registry import query
+from .views import FINGERPRINTS, fingerprints, items, table, texts
+
+
+@query("fingerprints", f"WITH {FINGERPRINTS} SELECT id, lo, hi, array_to_string(sig, ',') AS sig FROM fingerprints")
+def fingerprint_rows(spark, sf):
+    return fingerprints(spark, sf).withColumn("sig", F.array_join(F.col("sig").cast("array<string>"), ","))
+
+
+@query("scan_dup_rows", f"WITH {FINGERPRINTS} SELECT d.doc_id AS id, f.sig IS NOT NULL AS has_sig FROM documents d LEFT JOIN fingerprints f ON f.id = d.doc_id")
+def scan_dup_rows(spark, sf):
+    fp = fingerprints(spark, sf).select("id", F.col("sig").isNotNull().alias("has_sig"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(fp, "id", "left").select("id", F.coalesce("has_sig", F.lit(False)).alias("has_sig"))
+
+
+_CLASSES = FINGERPRINTS + ", classes AS (SELECT min(id) AS id, lo, hi, sig, count(*) AS copies FROM fingerprints GROUP BY lo, hi, sig)"
+
+
+@query("near_pairs", f"""WITH {_CLASSES}, c AS (SELECT x.id AS a, y.id AS b, x.copies AS copies_a, y.copies AS copies_b, x.sig AS sa, y.sig AS sb FROM classes x JOIN classes y ON x.id < y.id
+      WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 16),
+    d AS (SELECT a, b, copies_a, copies_b, list_sum([abs(p[1] - p[2]) FOR p IN list_zip(sa, sb)]) / 64.0 AS d FROM c)
+    SELECT a, b, copies_a, copies_b, round(CAST(d AS DOUBLE), 6) AS d FROM d WHERE d <= 16""")
+def near_pairs(spark, sf):
+    """Pairs of distinct fingerprints with their copy counts; copies themselves are in fingerprint_copies."""
+    classes = N.distinct_fingerprints(fingerprints(spark, sf))
+    pairs = N.near_pairs(classes)
+    n = classes.select("id", "copies")
+    return pairs.join(n.select(F.col("id").alias("a"), F.col("copies").alias("copies_a")), "a") \
+        .join(n.select(F.col("id").alias("b"), F.col("copies").alias("copies_b")), "b").withColumn("d", F.round("d", 6))
+
+
+@query("fingerprint_copies", f"WITH {_CLASSES} SELECT c.id AS keeper, f.id AS copy FROM classes c JOIN fingerprints f ON f.lo = c.lo AND f.hi = c.hi AND f.sig = c.sig WHERE f.id <> c.id")
+def fingerprint_copies(spark, sf):
+    """Records sharing a fingerprint, as a list per first record: linear in the number of copies."""
+    fp = fingerprints(spark, sf)
+    first = N.distinct_fingerprints(fp).select("lo", "hi", "sig", F.col("id").alias("keeper"))
+    return fp.join(first, ["lo", "hi", "sig"]).where(F.col("id") != F.col("keeper")).select("keeper", F.col("id").alias("copy"))
+
+
+RANKED = """keyed AS (SELECT d.doc_id AS id, CASE WHEN l.toxic = 1 THEN 1 END AS manual, coalesce(l.quality = 1, false) AS matched,
+    64 + d.n_chars % 1500 AS width, 64 + (d.n_chars * 7) % 1500 AS height, d.doc_id % 4 IN (0, 3) AS lossless
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def ranked(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    d = items(spark, sf).select("id", "name", "width", "height", F.col("id").alias("created")).join(lab, "id", "left")
+    return N.keep_order(d.select("id", "name", "width", "height", "created", F.when(F.col("toxic") == 1, 1).alias("manual"),
+                                 F.coalesce(F.col("quality") == 1, F.lit(False)).alias("matched")))
+
+
+@query("keep_rank", f"WITH {RANKED} SELECT id, row_number() OVER (ORDER BY manual IS NULL, NOT matched, -(width * height), NOT lossless, id) AS rank FROM keyed")
+def keep_rank(spark, sf):
+    return ranked(spark, sf).select("id", "rank")
+
+
+def groups(spark, sf):
+    fp = fingerprints(spark, sf).join(ranked(spark, sf).select("id", "rank"), "id")
+    return N.near_groups(N.cut_lineage(fp))
+
+
+@query("near_groups")
+def near_groups(spark, sf):
+    """Order-dependent greedy stars; checked against the sequential rule in the tests."""
+    return groups(spark, sf)
+
+
+@query("dup_summary")
+def dup_summary(spark, sf):
+    g = groups(spark, sf)
+    total = table(spark, sf, "documents").agg(F.count("*").alias("total"))
+    return total.crossJoin(g.agg(F.countDistinct("keeper").alias("groups"), F.count("*").alias("removable"), F.max("d").alias("widest")))
+
+
+@query("identical_copies")
+def identical_copies(spark, sf):
+    """Members with no difference and the keeper's own size."""
+    size = items(spark, sf).select("id", "width", "height")
+    g = N.cut_lineage(groups(spark, sf)).join(size.withColumnRenamed("id", "member"), "member") \
+        .join(size.select(F.col("id").alias("keeper"), F.col("width").alias("kw"), F.col("height").alias("kh")), "keeper")
+    same = (F.col("d") == 0) & (F.col("width") == F.col("kw")) & (F.col("height") == F.col("kh"))
+    return g.groupBy("keeper").agg(F.count("*").alias("members"), F.count_if(same).alias("identical"))
+
+
+@query("dup_removals")
+def dup_removals(spark, sf):
+    """All members but the keeper; a user may choose another keeper (a toxic-labelled member) or skip a group."""
+    g = N.cut_lineage(groups(spark, sf))
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("member"), "quality", "toxic")
+    marked = g.join(lab, "member", "left")
+    chosen = marked.where(F.col("toxic") == 1).groupBy("keeper").agg(F.min("member").alias("choice"))
+    skipped = marked.where((F.col("quality") == 0) & (F.col("toxic") == 0) & (F.col("d") > 3)).select("keeper").distinct()
+    everyone = g.select("keeper", "member").union(g.select("keeper", "keeper")).distinct()
+    return everyone.join(chosen, "keeper", "left").join(skipped, "keeper", "left_anti") \
+        .where(F.col("member") != F.coalesce("choice", "keeper")).select("keeper", F.col("member").alias("removed"))
+
+
+@query("content_copies", """SELECT doc_id, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) - 1 AS copy,
+    min(doc_id) OVER (PARTITION BY sha1(text)) AS first_id FROM documents""")
+def content_copies(spark, sf):
+    """First record per content keeps it, later ones are numbered; a hot content stays spread over tasks."""
+    d = texts(spark, sf).select("doc_id", F.sha1("text").alias("blob"))
+    p = O.positions(d, ["blob"], ["doc_id"])
+    first = d.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
+    return p.join(first, "blob").select("doc_id", (F.col("pos") - 1).alias("copy"), "first_id")
+
+
+_SHA = "sha1(lower(trim(text)))"
+
+
+@query("new_items_anti", f"""WITH old AS (SELECT {_SHA} AS h FROM benchmark UNION ALL SELECT sha1(text) FROM documents WHERE lang = 'de' UNION ALL SELECT {_SHA} FROM documents WHERE source = 'src3'),
+    fresh AS (SELECT doc_id, {_SHA} AS h FROM documents) SELECT min(doc_id) AS doc_id FROM fresh WHERE h NOT IN (SELECT h FROM old) GROUP BY h""")
+def new_items_anti(spark, sf):
+    """Arrivals whose content matches neither the present nor the earlier content of a record; first arrival wins.
+
+    Both hashes of an existing record become rows of one key list, so the check is one equi anti-join.
+    """
+    h = lambda c: F.sha1(F.lower(F.trim(F.col(c))))
+    d = texts(spark, sf)
+    old = table(spark, sf, "benchmark").select(h("text").alias("h")).union(
+        d.select(F.explode(F.filter(F.array(F.when(F.col("lang") == "de", F.sha1("text")), F.when(F.col("source") == "src3", h("text"))),
+                                    lambda x: x.isNotNull())).alias("h")))
+    first = d.select("doc_id", h("text").alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    return first.join(old.distinct(), "h", "left_anti").select("doc_id")
+
+
+@query("pool_add_anti", """SELECT arg_min(event_id, event_id) AS event_id FROM (SELECT event_id, user_id, event_type, value FROM events) e
+    WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id AND o.value = e.value AND o.event_type = 'view') GROUP BY user_id, event_type, value""")
+def pool_add_anti(spark, sf):
+    """New rows per (session, role, content) that the session does not hold yet."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    have = e.where(F.col("event_type") == "view").select("user_id", "value").distinct()
+    return e.join(have, ["user_id", "value"], "left_anti").groupBy("user_id", "event_type", "value").agg(F.min("event_id").alias("event_id")).select("event_id")
+
+
+COPY = """src AS (SELECT doc_id AS id, sha1(text) AS sha, source || '/' || n_chars AS path, lang = 'fr' AS failed, n_chars FROM documents WHERE lang <> 'de'),
+have AS (SELECT sha1(text) AS sha, source || '/' || n_chars AS path FROM documents WHERE lang = 'de' UNION ALL SELECT sha1(text), 'b' FROM benchmark)"""
+
+
+@query("copy_pool", f"""WITH {COPY}, open AS (SELECT * FROM src WHERE sha NOT IN (SELECT sha FROM have) AND path NOT IN (SELECT path FROM have)),
+    r AS (SELECT *, min(id) OVER (PARTITION BY sha) AS fs, min(id) OVER (PARTITION BY path) AS fp FROM open)
+    SELECT id, CASE WHEN NOT failed THEN n_chars END AS feature FROM r WHERE id = fs AND id = fp""")
+def copy_pool(spark, sf):
+    """Copy a pool: skip what the target holds by content or path, first seen in the batch wins, failed rows lose
+    their feature. Two equi anti-joins instead of an OR."""
+    d = texts(spark, sf).select(F.col("doc_id").alias("id"), F.sha1("text").alias("sha"), F.concat_ws("/", "source", "n_chars").alias("path"), "lang", "n_chars")
+    have = d.where(F.col("lang") == "de").select("sha", "path").union(table(spark, sf, "benchmark").select(F.sha1("text"), F.lit("b")))
+    src = d.where(F.col("lang") != "de")
+    fresh = src.join(have.select("sha").distinct(), "sha", "left_anti").join(have.select("path").distinct(), "path", "left_anti")
+    winners = fresh.groupBy("sha").agg(F.min("id").alias("id")).join(fresh.groupBy("path").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id")
+    return fresh.join(winners, "id", "left_semi").select("id", F.when(F.col("lang") != "fr", F.col("n_chars")).alias("feature"))
+
+
+@query("import_check", """SELECT i.doc_id AS id, t.doc_id AS project_image_id FROM documents i JOIN (SELECT sha1(text) AS h, min(doc_id) AS doc_id FROM documents WHERE source = 'src3' GROUP BY 1) t
+    ON t.h = sha1(i.text) WHERE i.source <> 'src3'""")
+def import_check(spark, sf):
+    """Selected records that the target project already holds, with the record there."""
+    d = texts(spark, sf).select("doc_id", "source", F.sha1("text").alias("h"))
+    there = d.where(F.col("source") == "src3").groupBy("h").agg(F.min("doc_id").alias("project_image_id"))
+    return d.where(F.col("source") != "src3").join(there, "h").select(F.col("doc_id").alias("id"), "project_image_id")
+
+
+@query("import_final_ids", """WITH sel AS (SELECT doc_id AS id, sha1(text) AS h FROM documents WHERE source <> 'src3'),
+    existing AS (SELECT id FROM sel WHERE h IN (SELECT sha1(text) FROM documents WHERE source = 'src3')),
+    dropped AS (SELECT doc_id AS id FROM labels WHERE toxic = 1), kept AS (SELECT doc_id AS id FROM labels WHERE quality = 1)
+    SELECT id FROM sel WHERE id NOT IN (SELECT id FROM dropped) AND (id NOT IN (SELECT id FROM existing) OR id IN (SELECT id FROM kept))""")
+def import_final_ids(spark, sf):
+    """selected - dropped - (existing - kept)."""
+    sel = texts(spark, sf).where(F.col("source") != "src3").select(F.col("doc_id").alias("id"))
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    existing = import_check(spark, sf).select("id").join(lab.where(F.col("quality") == 1).select("id"), "id", "left_anti")
+    return sel.join(lab.where(F.col("toxic") == 1).select("id"), "id", "left_anti").join(existing, "id", "left_anti")

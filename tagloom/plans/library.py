@@ -185,7 +185,8 @@ def too_small(spark, sf):
 # ------------------------------------------------------------------ edits
 def edited(spark, sf, new):
     r = records(spark, sf).select("entity", "tags", "nl")
-    return r.select("entity", F.array_join(new, "|").alias("tags"), (~new.eqNullSafe(F.col("tags"))).alias("changed"))
+    r = r.select("entity", "tags", new.alias("new"))
+    return r.select("entity", F.array_join("new", "|").alias("tags"), (~F.col("new").eqNullSafe(F.col("tags"))).alias("changed"))
 
 
 def edit_sql(expr: str) -> str:
@@ -202,8 +203,9 @@ def bulk_add(spark, sf):
     text = "red_ring, brand new, Red Ring"
     r = records(spark, sf)
     back, front = E.add(F.col("tags"), text), E.add(F.col("tags"), text, "front")
-    return r.select("entity", F.array_join(back, "|").alias("tags"), (~back.eqNullSafe(F.col("tags"))).alias("changed"),
-                    F.array_join(front, "|").alias("front"))
+    r = r.select("entity", F.col("tags").alias("old"), back.alias("back"), front.alias("front"))
+    return r.select("entity", F.array_join("back", "|").alias("tags"), (~F.col("back").eqNullSafe(F.col("old"))).alias("changed"),
+                    F.array_join("front", "|").alias("front"))
 
 
 _GONE = "list_filter(tags, lambda t: NOT regexp_matches(t, '^(?:hot .*)$|^(?:.ld ring)$'))"
@@ -283,7 +285,7 @@ def latest_per_key(spark, sf):
 def keep_last_k(spark, sf):
     """The last 20 errors of each run."""
     e = table(spark, sf, "events").where(F.col("event_type") == "error").select("user_id", "event_id", "ts")
-    return A.top_k(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 20).select("user_id", "event_id", "rank")
+    return A.top_k(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 20).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("cas_status", f"WITH {RUNS} SELECT run_id, CASE WHEN status IN ('running', 'queued') THEN 'stopping' ELSE status END AS status FROM runs")
