@@ -28,7 +28,7 @@ two AS (SELECT entity, max(d) FILTER (rn = 1) AS d1, round(1 - max(d) FILTER (rn
 
 
 def judge_sql(t: float) -> str:
-    return f"CASE WHEN d1 > {t} OR n1 <= d1 THEN 'no_target' WHEN d2 <= {t} AND d2 - d1 < 0.02 THEN 'ambiguous' ELSE 'found' END"
+    return f"CASE WHEN d1 IS NULL THEN NULL WHEN d1 > {t} OR n1 <= d1 THEN 'no_target' WHEN d2 <= {t} AND d2 - d1 < 0.02 THEN 'ambiguous' ELSE 'found' END"
 
 
 def two_nearest(boxes):
