@@ -57,15 +57,15 @@ def progress(runs: DataFrame, trace: DataFrame, now: Column) -> DataFrame:
     per_epoch = F.coalesce((F.col("max_steps") < F.col("total_steps") * 0.9) & (F.col("epochs") > 0), F.lit(False))
     raw = F.col("s.step") + F.when(per_epoch, (F.coalesce("epoch", F.lit(1)) - 1) * F.col("max_steps")).otherwise(0)
     j = j.withColumn("total", F.when(F.col("s.step").isNotNull() & ~per_epoch, F.coalesce("max_steps", "total_steps")).otherwise(F.col("total_steps"))) \
-         .withColumn("at", F.least(raw, F.coalesce("total", raw)))
+         .withColumn("at", F.when(raw.isNotNull(), F.least(raw, F.coalesce("total", raw))))
     rate = F.when(F.col("rate") > 1, F.col("rate") / 100).otherwise(F.col("rate"))
     part = F.coalesce(F.when(F.col("total") > 0, F.col("at") / F.col("total")),
                       F.when((F.col("epochs") > 0) & (F.col("epochs_done") > 0), F.col("epochs_done") / F.col("epochs")), rate)
-    j = j.withColumn("frac", F.least(F.lit(1.0), F.greatest(F.lit(0.0), part))) \
+    j = j.withColumn("frac", F.when(part.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), part)))) \
          .withColumn("elapsed", (now.cast("long") - F.col("started_at").cast("long")))
     by_speed = F.when((F.col("s.sps") > 0) & (F.col("total") > 0), (F.col("total") - F.col("at")) * F.col("s.sps"))
     by_time = F.when((F.col("frac") >= 0.02) & (F.col("elapsed") > 0), F.col("elapsed") * (1 - F.col("frac")) / F.col("frac"))
-    by_queue = F.greatest(F.lit(0.0), (F.col("complete_at").cast("double") - now.cast("double")))
+    by_queue = F.when(F.col("complete_at").isNotNull(), F.greatest(F.lit(0.0), F.col("complete_at").cast("double") - now.cast("double")))
     return j.select(
         "run_id", F.when(F.col("started_at").isNull(), "queued").otherwise("training").alias("stage"), "phase", "error",
         F.col("at").alias("step"), F.col("total").alias("total_steps"), F.bround(F.col("frac") * 100, 1).alias("percent"),
@@ -91,12 +91,12 @@ def local_progress(runs: DataFrame) -> DataFrame:
         F.floor(step / save_every(F.col("steps"), F.col("epochs"))).cast("long").alias("epochs_done"))
 
 
-def loss_curve(loss: DataFrame, points: int = POINTS) -> DataFrame:
+def loss_curve(loss: DataFrame, points: int = POINTS, digits: int = 5) -> DataFrame:
     """At most ``points`` averages per run. ``loss``: run_id, step (unique), value. A long run stays spread."""
     kept = positions(loss.where(F.col("value").isNotNull()), ["run_id"], ["step"], "n")
     sizes = kept.groupBy("run_id").agg(F.greatest(F.lit(1), F.ceil(F.max("n") / points)).alias("size"))
     return kept.join(sizes, "run_id").groupBy("run_id", F.floor((F.col("n") - 1) / F.col("size")).alias("chunk")).agg(
-        F.max("step").alias("step"), F.bround(F.avg("value"), 5).alias("value"))
+        F.max("step").alias("step"), F.bround(F.avg("value"), digits).alias("value"))
 
 
 def epoch_files(files: DataFrame, samples: DataFrame, runs: DataFrame) -> DataFrame:

@@ -57,14 +57,14 @@ last AS (SELECT run_id, arg_max(step, (ts, event_id)) FILTER (type = 'step') AS
     max(CASE WHEN type = 'error' THEN phase END) AS error FROM trace GROUP BY 1),
 a AS (SELECT p.*, l.s, l.sps, l.phase, l.error, coalesce(max_steps < total_steps * 0.9, false) AS per_epoch FROM plan p LEFT JOIN last l ON l.run_id = p.run_id WHERE status NOT IN ('succeeded', 'failed', 'expired', 'canceled')),
 b AS (SELECT *, CASE WHEN s IS NOT NULL AND NOT per_epoch THEN coalesce(max_steps, total_steps) ELSE total_steps END AS total, s + CASE WHEN per_epoch THEN (epoch - 1) * max_steps ELSE 0 END AS r FROM a),
-c AS (SELECT *, CASE WHEN r IS NOT NULL THEN least(r, total) END AS at FROM b),
-d AS (SELECT *, least(1.0, greatest(0.0, coalesce(at * 1.0::DOUBLE / total, CASE WHEN epochs_done > 0 THEN epochs_done * 1.0::DOUBLE / epochs END, CASE WHEN rate > 1 THEN rate / 100 ELSE rate END))) AS frac,
-    epoch(TIMESTAMP '1999-06-01 00:00:00') - epoch(started_at) AS elapsed FROM c)"""
+c AS (SELECT *, CASE WHEN r IS NOT NULL THEN least(r, total) END AS pos FROM b),
+e AS (SELECT *, coalesce(pos * 1.0::DOUBLE / total, CASE WHEN epochs_done > 0 THEN epochs_done * 1.0::DOUBLE / epochs END, CASE WHEN rate > 1 THEN rate / 100 ELSE rate END) AS part FROM c),
+d AS (SELECT *, CASE WHEN part IS NOT NULL THEN least(1.0, greatest(0.0, part)) END AS frac, epoch(TIMESTAMP '1999-06-01 00:00:00') - epoch(started_at) AS elapsed FROM e)"""
 
 
-@query("run_progress", f"""WITH {PROGRESS} SELECT run_id, CASE WHEN started_at IS NULL THEN 'queued' ELSE 'training' END AS stage, phase, error, CAST(at AS BIGINT) AS step, CAST(total AS BIGINT) AS total_steps,
-    round_even(frac * 100, 1) AS percent, CAST(floor(coalesce(CASE WHEN sps > 0 THEN (total - at) * sps END, CASE WHEN frac >= 0.02 AND elapsed > 0 THEN elapsed * (1 - frac) / frac END,
-      greatest(0.0, epoch(complete_at) - epoch(TIMESTAMP '1999-06-01 00:00:00')))) AS BIGINT) AS remaining_seconds FROM d""")
+@query("run_progress", f"""WITH {PROGRESS} SELECT run_id, CASE WHEN started_at IS NULL THEN 'queued' ELSE 'training' END AS stage, phase, error, CAST(pos AS BIGINT) AS step, CAST(total AS BIGINT) AS total_steps,
+    round_even(frac * 100, 1) AS percent, CAST(floor(coalesce(CASE WHEN sps > 0 THEN (total - pos) * sps END, CASE WHEN frac >= 0.02 AND elapsed > 0 THEN elapsed * (1 - frac) / frac END,
+      CASE WHEN complete_at IS NOT NULL THEN greatest(0.0, epoch(complete_at) - epoch(TIMESTAMP '1999-06-01 00:00:00')) END)) AS BIGINT) AS remaining_seconds FROM d""")
 def run_progress(spark, sf):
     k = F.col("run_id")
     plan = runs(spark, sf).select(
@@ -114,9 +114,9 @@ def loss(spark, sf):
 
 
 @query("loss_curve", f"""WITH {LOSS}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n, count(*) OVER (PARTITION BY run_id) AS total FROM loss WHERE value IS NOT NULL)
-    SELECT run_id, CAST(floor((n - 1) / greatest(1, ceil(total / 50.0))) AS BIGINT) AS chunk, max(step) AS step, round(avg(value), 4) AS value FROM k GROUP BY 1, 2""")
+    SELECT run_id, CAST(floor((n - 1) / greatest(1, ceil(total / 50.0))) AS BIGINT) AS chunk, max(step) AS step, round(avg(value), 6) AS value FROM k GROUP BY 1, 2""")
 def loss_curve(spark, sf):
-    return U.loss_curve(loss(spark, sf), 50).withColumn("value", F.round("value", 4))
+    return U.loss_curve(loss(spark, sf), 50, 6)
 
 
 @query("loss_summary", f"WITH {LOSS} SELECT run_id, arg_min(value, step) AS first, arg_max(value, step) AS last, min(value) + 0.0 AS low, max(value) + 0.0 AS high FROM loss WHERE value IS NOT NULL GROUP BY 1")

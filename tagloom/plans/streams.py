@@ -1 +1,64 @@
+"""Structured Streaming forms: the given event table is read as a stream and run to its end."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import runs as U
+from ..streaming import jobs as J
+from ..streaming import trace as T
+from .registry import query
+from .views import TRACE, table, trace
+
+
+def stream(spark, sf, name="events"):
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def events(spark, sf):
+    e = stream(spark, sf).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return T.event_time(e)
+
+
+_N = "count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents"
+
+
+@query("events_tumbling", f"SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, {_N} FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf):
+    """Events per day and type, streamed in update mode with an hour of lateness."""
+    s = T.windowed(events(spark, sf), "1 hour", F.window("ts", "1 day"), ["event_type"])
+    flat = s.select(F.col("w.start").cast("long").alias("start"), "event_type", "n", "cents")
+    return J.drain_update(flat, "tumbling", ["start", "event_type"])
+
+
+@query("events_sliding", f"""SELECT CAST(s AS BIGINT) AS start, event_type, {_N} FROM (SELECT *, unnest([CAST(epoch(date_trunc('hour', ts)) AS BIGINT), CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600]) AS s FROM events) GROUP BY 1, 2""")
+def events_sliding(spark, sf):
+    """Two-hour windows every hour."""
+    s = T.windowed(events(spark, sf), "1 hour", F.window("ts", "2 hours", "1 hour"), ["event_type"])
+    return J.drain_update(s.select(F.col("w.start").cast("long").alias("start"), "event_type", "n", "cents"), "sliding", ["start", "event_type"])
+
+
+@query("events_session", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS start, {_N} FROM s GROUP BY user_id, k""")
+def events_session(spark, sf):
+    """Sessions with a two-hour gap, on the same expression a stream uses; merging sessions map-side first keeps a
+    hot run from shipping every event."""
+    e = T.event_time(table(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long")))
+    s = T.windowed(e, "1 hour", F.session_window("ts", "2 hours"), ["user_id"])
+    return s.select("user_id", F.unix_micros("w.start").alias("start"), "n", "cents")
+
+
+@query("stream_dedup", "SELECT user_id, event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day FROM events GROUP BY ALL")
+def stream_dedup(spark, sf):
+    """One arrival per run, type and day."""
+    e = events(spark, sf).withColumn("day", F.date_trunc("day", "ts").cast("long"))
+    kept = T.drop_duplicates(e, ["user_id", "event_type", "day"], "30 days")
+    return J.drain_append(kept.select("user_id", "event_type", "day"), "dedup")
+
+
+@query("trace_last_stream", f"WITH {TRACE} SELECT run_id, type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(step, (ts, event_id)) AS step FROM trace GROUP BY 1, 2")
+def trace_last_stream(spark, sf):
+    """The batch plan of trace_last, unchanged, on a stream."""
+    s = U.last_events(trace(stream(spark, sf))).select("run_id", "type", "event_id", "step")
+    return J.drain_update(s, "last", ["run_id", "type"])
