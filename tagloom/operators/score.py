@@ -40,14 +40,9 @@ def _blocks(heads: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(p["id"].to_numpy(), np.stack(p["embedding"].to_numpy()).astype(np.float64)) for p in parts]
 
 
-def _distances(rows: DataFrame, heads: DataFrame, metric: Metric, size: int) -> DataFrame | None:
-    """(id, d array<double>): one scan of ``rows`` per block, no shuffle while one block suffices."""
-    blocks = _blocks(heads, size)
-    if not blocks:
-        return None
+def _distances(rows: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], metric: Metric) -> DataFrame:
+    """(id, d array<double>): one scan of ``rows`` per block of references."""
     parts = [rows.mapInPandas(_scorer(i, m, metric), "id long, d array<double>") for i, m in blocks]
-    if len(parts) == 1:
-        return parts[0]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -59,21 +54,48 @@ def median(d: str):
     return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
 
 
+def _one_pass(refs: tuple, negs: tuple | None, metric: Metric):
+    """Scores straight from the matrices while all references fit in one block."""
+    ids, heads = refs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                rows = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+                d = metric(rows, heads)
+                d[b["id"].to_numpy()[:, None] == ids[None, :]] = np.nan
+                some = ~np.isnan(d).all(1)
+                score = np.full(len(b), np.nan)
+                score[some] = np.nanmedian(d[some], axis=1)
+                neg = np.full(len(b), np.nan)
+                pool = (b["role"] == "pool").to_numpy()
+                if negs is not None and pool.any():
+                    neg[pool] = metric(rows[pool], negs[1]).min(1)
+                nulls = lambda a: pd.Series(a).astype(object).where(~np.isnan(a), None)
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "role": b["role"].to_numpy(), "score": nulls(score), "neg_score": nulls(neg)})
+
+    return run
+
+
 def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK) -> DataFrame:
     """id, role, score = median distance to the references, neg_score = smallest distance to a negative.
 
-    References are compared with the *other* references. Without references every score is null.
+    References are compared with the *other* references. Without references every score is null. Up to ``size``
+    references and negatives go to every task (a bounded matrix) and one scan without a shuffle does it all; beyond
+    that, blocks of references are scanned one after another and their distances gathered per record.
     """
-    rows = features.where(F.col("role") != "neg").select("id", "embedding")
-    near = _distances(rows, features.where(F.col("role") == "ref").select("id", "embedding"), metric, size)
-    roles = features.where(F.col("role") != "neg").select("id", "role")
+    of = lambda role: features.where(F.col("role") == role).select("id", "embedding")
+    rows = features.where(F.col("role") != "neg")
+    refs, negs = _blocks(of("ref"), size), _blocks(of("neg"), size)
     null = F.lit(None).cast("double")
-    if near is None:
-        return roles.select("id", "role", null.alias("score"), null.alias("neg_score"))
-    scored = near.select("id", median("d").alias("score"))
-    far = _distances(features.where(F.col("role") == "pool").select("id", "embedding"),
-                     features.where(F.col("role") == "neg").select("id", "embedding"), metric, size)
-    out = roles.join(scored, "id", "left")
-    if far is None:
+    if not refs:
+        return rows.select("id", "role", null.alias("score"), null.alias("neg_score"))
+    if len(refs) == 1 and len(negs) <= 1:
+        return rows.select("id", "role", "embedding").mapInPandas(
+            _one_pass(refs[0], negs[0] if negs else None, metric), "id long, role string, score double, neg_score double")
+    near = _distances(rows.select("id", "embedding"), refs, metric)
+    out = rows.select("id", "role").join(near.select("id", median("d").alias("score")), "id", "left")
+    if not negs:
         return out.withColumn("neg_score", null)
+    far = _distances(of("pool"), negs, metric)
     return out.join(far.select("id", F.array_min("d").alias("neg_score")), "id", "left")

@@ -13,9 +13,9 @@ def tag_stats(items: DataFrame) -> DataFrame:
 
 
 def tag_summary(items: DataFrame) -> DataFrame:
-    """Number of records and of different tags, from the tag counts rather than a second distinct."""
-    return items.agg(F.count("*").alias("images")).join(
-        tag_stats(items).agg(F.count("*").alias("unique_tags")), how="inner", on=F.lit(True))
+    """Number of records and of different tags, the latter from the tag counts rather than a second distinct."""
+    return items.agg(F.count("*").alias("images")).select(
+        "images", tag_stats(items).agg(F.count("*").alias("n")).scalar().alias("unique_tags"))
 
 
 def histograms(items: DataFrame) -> DataFrame:
@@ -51,13 +51,13 @@ def latest(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
 
 def tag_suggest(targets: DataFrame, used: list[str], characters: int = 6, general: int = 18) -> DataFrame:
     """Frequent tags worth filtering by: not already used, not on every target. ``targets``: id, character, general."""
-    total = targets.agg(F.count("*").alias("total"))
+    total = targets.agg(F.count("*").alias("total")).scalar()
     long = targets.select(F.explode(F.concat(
         F.transform(F.array_distinct("character"), lambda t: F.struct(t.alias("tag"), F.lit(True).alias("named"))),
         F.transform(F.array_distinct(F.array_except("general", "character")), lambda t: F.struct(t.alias("tag"), F.lit(False).alias("named"))),
     )).alias("x")).select("x.*")
     counted = long.groupBy("tag").agg(F.count("*").alias("n"), F.bool_or("named").alias("named"))
-    open_tags = counted.join(F.broadcast(total)).where(  # one row
+    open_tags = counted.withColumn("total", total).where(
         ~F.col("tag").isin(used) & ((F.col("n") < F.col("total")) | (F.col("total") == 1)))
     ranked = top_k(open_tags, ["named"], [F.col("n").desc(), F.col("tag")], max(characters, general))
     return ranked.where(F.col("rank") <= F.when(F.col("named"), characters).otherwise(general)).drop("total")

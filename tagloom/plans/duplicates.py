@@ -74,9 +74,9 @@ def near_groups(spark, sf):
 
 @query("dup_summary")
 def dup_summary(spark, sf):
-    g = groups(spark, sf)
     total = table(spark, sf, "documents").agg(F.count("*").alias("total"))
-    return total.crossJoin(g.agg(F.countDistinct("keeper").alias("groups"), F.count("*").alias("removable"), F.max("d").alias("widest")))
+    return groups(spark, sf).agg(F.countDistinct("keeper").alias("groups"), F.count("*").alias("removable"), F.max("d").alias("widest")) \
+        .withColumn("total", total.scalar())
 
 
 @query("identical_copies")

@@ -161,8 +161,7 @@ def norm_filter(spark, sf):
 @query("select_invert", f"WITH {POOL} SELECT id FROM decided WHERE role = 'pool' AND NOT match")
 def select_invert(spark, sf):
     """The pool minus the selection."""
-    p = pool(spark, sf).where(F.col("role") == "pool")
-    return p.select("id").join(M.decided(p, S).where("match").select("id"), "id", "left_anti")
+    return M.decided(pool(spark, sf).where(F.col("role") == "pool"), S).where("not match").select("id")
 
 
 @query("tag_suggest", f"""WITH {POOL}, t AS (SELECT id, chars, gens FROM decided WHERE target AND tags IS NOT NULL),

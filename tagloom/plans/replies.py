@@ -10,7 +10,7 @@ from ..functions.tags import canon_text, only, quoted, tidy
 from ..operators import select as S
 from .registry import query
 from .tags import GROUPS, PROJECT
-from .views import items, ITEMS, table
+from .views import ITEMS, items, table, texts
 
 # Replies: conversation turns as they are, wrapped the way models wrap their answers.
 REPLIES = """replies AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '<think>' || text || '</think>' || E'\\n' || 'This image shows ' || text
@@ -55,7 +55,7 @@ BOORU_SQL = f"""{_BOORU}, p AS (SELECT doc_id, unnest(l) AS p, generate_subscrip
 def parse_tag_reply(spark, sf):
     """Whole texts behind a namespaced head, read as a tag reply."""
     reply = F.concat(F.lit("`artist: Ab_c, copyright: X y, character: Z_(q), rating: general, meta: Lines,"), F.col("text"), F.lit("`"))
-    t = table(spark, sf, "documents").select("doc_id", R.parse_tags(reply).alias("t"))
+    t = texts(spark, sf).select("doc_id", R.parse_tags(reply).alias("t"))
     return t.where(F.size("t") > 0).select("doc_id", F.array_join(F.transform("t", lambda x: F.concat(x["part"], F.lit(":"), x["tag"])), "|").alias("tags"),
                                            (F.size("t") < R.MIN_TAGS).alias("malformed"))
 

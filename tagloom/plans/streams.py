@@ -42,11 +42,9 @@ def events_sliding(spark, sf):
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, epoch_us(min(ts)) AS start, {_N} FROM s GROUP BY user_id, k""")
 def events_session(spark, sf):
-    """Sessions with a two-hour gap, on the same expression a stream uses; merging sessions map-side first keeps a
-    hot run from shipping every event."""
-    e = T.event_time(table(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long")))
-    s = T.windowed(e, "1 hour", F.session_window("ts", "2 hours"), ["user_id"])
-    return s.select("user_id", F.unix_micros("w.start").alias("start"), "n", "cents")
+    """Sessions with a two-hour gap; complete mode, so the sessions still open at the end of input are in the result."""
+    s = T.windowed(events(spark, sf), "1 hour", F.session_window("ts", "2 hours"), ["user_id"])
+    return J.drain_complete(s.select("user_id", F.unix_micros("w.start").alias("start"), "n", "cents"), "session")
 
 
 @query("stream_dedup", "SELECT user_id, event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day FROM events GROUP BY ALL")

@@ -1,11 +1,15 @@
 """Tag text, predictions and tag lists."""
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..operators import select as S
+from ..session import checkpoint_folder
 from ..settings import defaults_for
+from ..sources.files import tag_dictionary
 from .registry import query
 from .views import RAW, SCORES, raw, table, tag_scores, texts
 
@@ -155,3 +159,13 @@ def merge_predictions(spark, sf):
     tags, status, error = S.merge_predictions(F.size(r["general"]) > 1, S.select_tags(r, PROJECT, GROUPS),
                                               F.array(F.lit("kept")), errors)
     return raw(spark, sf).select("entity", F.array_join(tags, "|").alias("tags"), status.alias("status"), error.alias("error"))
+
+
+@query("tag_dim", """SELECT p_partkey AS tag_id, p_name AS name, CASE p_type WHEN 'PROMO' THEN 'character' WHEN 'LARGE' THEN 'rating' ELSE 'general' END AS category FROM part""")
+def tag_dim(spark, sf):
+    """A tag dictionary written from the part table in its CSV shape and read back."""
+    code = F.when(F.col("p_type") == "PROMO", 4).when(F.col("p_type") == "LARGE", 9).otherwise(0)
+    place = f"{checkpoint_folder(spark).rstrip('/')}/tags-{uuid4().hex}"
+    table(spark, sf, "part").select(F.col("p_partkey").alias("tag_id"), F.col("p_name").alias("name"), code.alias("category"),
+                                    F.col("p_size").alias("count")).write.option("header", True).csv(place)
+    return tag_dictionary(spark, place)

@@ -164,4 +164,4 @@ def detect_regions(images: DataFrame) -> DataFrame:
 def tag_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Tagger vocabulary: category code 9 rating, 4 character, else general."""
     raw = spark.read.csv(path, header=True, schema="tag_id long, name string, category int, count long")
-    return raw.select("name", F.when(F.col("category") == 9, "rating").when(F.col("category") == 4, "character").otherwise("general").alias("category"))
+    return raw.select("tag_id", "name", F.when(F.col("category") == 9, "rating").when(F.col("category") == 4, "character").otherwise("general").alias("category"))

@@ -39,6 +39,20 @@ def drain_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return latest(rows, keys, ["batch"]).drop("batch")
 
 
+def drain_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Complete-mode stream: the whole result of the last micro-batch."""
+    spark, place = stream.sparkSession, _place(stream.sparkSession, name)
+    last = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={epoch}")
+        last.append(epoch)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", place + "/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{place}/rows/batch={max(last)}")
+
+
 def append_missing(stream: DataFrame, target: str, key: str, compute: Callable[[DataFrame], DataFrame], state: str):
     """Incremental features: each micro-batch computes only ids the target lacks and appends them."""
     def write(batch: DataFrame, epoch: int) -> None:
