@@ -26,25 +26,31 @@ def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
             .drop("_pid", "_idx", "_off")
 
 
-def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos", running: Column | None = None) -> DataFrame:
+def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos", running: Column | None = None,
+              first: str | None = None) -> DataFrame:
     """1-based position inside each group, or a running total of ``running``; hot groups stay spread.
 
     Rows are range-partitioned by (group, order). A group crossing partitions gets the total of its earlier
     partitions; only the first and last group of a partition can cross, so the carry table is at most two rows per
-    partition, whatever the data.
+    partition, whatever the data. ``first`` names a column whose value in the group's first row is added as "first".
     """
     value = F.lit(1).cast("long") if running is None else running.cast("long")
     r = _ranged(df.withColumn("_v", value), group + order)
     key = F.struct(*[F.col(g) for g in group])
     ends = r.groupBy("_pid").agg(F.min_by(key, "_idx").alias("_a"), F.max_by(key, "_idx").alias("_b"))
     edge = ends.select("_pid", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_g"))
-    part = r.withColumn("_g", key).join(F.broadcast(edge), ["_pid", "_g"]).groupBy("_pid", "_g").agg(F.sum("_v").alias("_t"))
+    part = r.withColumn("_g", key).join(F.broadcast(edge), ["_pid", "_g"]).groupBy("_pid", "_g").agg(
+        F.sum("_v").alias("_t"), F.min_by(F.col(first or "_idx"), "_idx").alias("_f"))
     before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = part.select("_pid", "_g", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_c"))
+    carry = part.select("_pid", "_g", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_c"), F.first("_f").over(before).alias("_f"))
     inside = Window.partitionBy("_pid", *group).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     local = r.withColumn("_local", F.sum("_v").over(inside)).withColumn("_g", key)
-    return local.join(F.broadcast(carry), ["_pid", "_g"], "left") \
-        .withColumn(name, F.col("_local") + F.coalesce("_c", F.lit(0))).drop("_pid", "_idx", "_v", "_local", "_g", "_c")
+    if first:
+        local = local.withColumn("first", F.first(first).over(inside))
+    out = local.join(F.broadcast(carry), ["_pid", "_g"], "left").withColumn(name, F.col("_local") + F.coalesce("_c", F.lit(0)))
+    if first:
+        out = out.withColumn("first", F.coalesce("_f", "first"))
+    return out.drop("_pid", "_idx", "_v", "_local", "_g", "_c", "_f")
 
 
 def evenly_spaced(df: DataFrame, order: list[str], count: int = 3) -> DataFrame:

@@ -72,13 +72,13 @@ def _one_pass(refs: tuple, negs: tuple | None, metric: Metric):
                 if negs is not None and pool.any():
                     neg[pool] = metric(rows[pool], negs[1]).min(1)
                 nulls = lambda a: pd.Series(a).astype(object).where(~np.isnan(a), None)
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "role": b["role"].to_numpy(), "score": nulls(score), "neg_score": nulls(neg)})
+                yield b.drop(columns="embedding").reset_index(drop=True).assign(score=nulls(score), neg_score=nulls(neg))
 
     return run
 
 
-def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK) -> DataFrame:
-    """id, role, score = median distance to the references, neg_score = smallest distance to a negative.
+def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, role, carried columns, score = median distance to the references, neg_score = smallest distance to a negative.
 
     References are compared with the *other* references. Without references every score is null. Up to ``size``
     references and negatives go to every task (a bounded matrix) and one scan without a shuffle does it all; beyond
@@ -89,12 +89,13 @@ def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK)
     refs, negs = _blocks(of("ref"), size), _blocks(of("neg"), size)
     null = F.lit(None).cast("double")
     if not refs:
-        return rows.select("id", "role", null.alias("score"), null.alias("neg_score"))
+        return rows.select("id", "role", *carry, null.alias("score"), null.alias("neg_score"))
     if len(refs) == 1 and len(negs) <= 1:
-        return rows.select("id", "role", "embedding").mapInPandas(
-            _one_pass(refs[0], negs[0] if negs else None, metric), "id long, role string, score double, neg_score double")
+        plain = rows.select("id", "role", *carry, "embedding")
+        schema = plain.drop("embedding").schema.simpleString()[7:-1] + ", score double, neg_score double"
+        return plain.mapInPandas(_one_pass(refs[0], negs[0] if negs else None, metric), schema)
     near = _distances(rows.select("id", "embedding"), refs, metric)
-    out = rows.select("id", "role").join(near.select("id", median("d").alias("score")), "id", "left")
+    out = rows.select("id", "role", *carry).join(near.select("id", median("d").alias("score")), "id", "left")
     if not negs:
         return out.withColumn("neg_score", null)
     far = _distances(of("pool"), negs, metric)

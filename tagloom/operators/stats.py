@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 UNTAGGED = ["pending", "error"]
 
 
@@ -51,6 +53,7 @@ def latest(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
 
 def tag_suggest(targets: DataFrame, used: list[str], characters: int = 6, general: int = 18) -> DataFrame:
     """Frequent tags worth filtering by: not already used, not on every target. ``targets``: id, character, general."""
+    targets = cut_lineage(targets)
     total = targets.agg(F.count("*").alias("total")).scalar()
     long = targets.select(F.explode(F.concat(
         F.transform(F.array_distinct("character"), lambda t: F.struct(t.alias("tag"), F.lit(True).alias("named"))),

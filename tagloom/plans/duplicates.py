@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dedupe as D
 from ..operators import near as N
 from ..operators import order as O
 from .registry import query
@@ -107,9 +108,8 @@ def dup_removals(spark, sf):
 def content_copies(spark, sf):
     """First record per content keeps it, later ones are numbered; a hot content stays spread over tasks."""
     d = texts(spark, sf).select("doc_id", F.sha1("text").alias("blob"))
-    p = O.positions(d, ["blob"], ["doc_id"])
-    first = d.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
-    return p.join(first, "blob").select("doc_id", (F.col("pos") - 1).alias("copy"), "first_id")
+    p = O.positions(d, ["blob"], ["doc_id"], first="doc_id")
+    return p.select("doc_id", (F.col("pos") - 1).alias("copy"), F.col("first").alias("first_id"))
 
 
 _SHA = "sha1(lower(trim(text)))"
@@ -144,18 +144,19 @@ COPY = """src AS (SELECT doc_id AS id, sha1(text) AS sha, source || '/' || n_cha
 have AS (SELECT sha1(text) AS sha, source || '/' || n_chars AS path FROM documents WHERE lang = 'de' UNION ALL SELECT sha1(text), 'b' FROM benchmark)"""
 
 
-@query("copy_pool", f"""WITH {COPY}, open AS (SELECT * FROM src WHERE sha NOT IN (SELECT sha FROM have) AND path NOT IN (SELECT path FROM have)),
-    r AS (SELECT *, min(id) OVER (PARTITION BY sha) AS fs, min(id) OVER (PARTITION BY path) AS fp FROM open)
-    SELECT id, CASE WHEN NOT failed THEN n_chars END AS feature FROM r WHERE id = fs AND id = fp""")
+@query("copy_pool", f"""WITH RECURSIVE {COPY}, open AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM src WHERE sha NOT IN (SELECT sha FROM have) AND path NOT IN (SELECT path FROM have)),
+    pass(rn, shas, paths, id, kept, feature) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), false, CAST(NULL AS BIGINT)
+      UNION ALL SELECT o.rn, CASE WHEN NOT (list_contains(shas, sha) OR list_contains(paths, path)) THEN list_append(shas, sha) ELSE shas END,
+        CASE WHEN NOT (list_contains(shas, sha) OR list_contains(paths, path)) THEN list_append(paths, path) ELSE paths END, o.id, NOT (list_contains(shas, sha) OR list_contains(paths, path)),
+        CASE WHEN NOT failed THEN n_chars END FROM pass JOIN open o ON o.rn = pass.rn + 1)
+    SELECT id, feature FROM pass WHERE kept""")
 def copy_pool(spark, sf):
-    """Copy a pool: skip what the target holds by content or path, first seen in the batch wins, failed rows lose
-    their feature. Two equi anti-joins instead of an OR."""
+    """Copy a pool: skip what the target holds by content or path, then first seen wins within the batch; failed rows
+    lose their feature."""
     d = texts(spark, sf).select(F.col("doc_id").alias("id"), F.sha1("text").alias("sha"), F.concat_ws("/", "source", "n_chars").alias("path"), "lang", "n_chars")
     have = d.where(F.col("lang") == "de").select("sha", "path").union(table(spark, sf, "benchmark").select(F.sha1("text"), F.lit("b")))
-    src = d.where(F.col("lang") != "de")
-    fresh = src.join(have.select("sha").distinct(), "sha", "left_anti").join(have.select("path").distinct(), "path", "left_anti")
-    winners = fresh.groupBy("sha").agg(F.min("id").alias("id")).join(fresh.groupBy("path").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id")
-    return fresh.join(winners, "id", "left_semi").select("id", F.when(F.col("lang") != "fr", F.col("n_chars")).alias("feature"))
+    fresh = D.without_known(d.where(F.col("lang") != "de"), have, ["sha", "path"])
+    return D.first_seen(fresh, ["sha", "path"], "id").select("id", F.when(F.col("lang") != "fr", F.col("n_chars")).alias("feature"))
 
 
 @query("import_check", """SELECT i.doc_id AS id, t.doc_id AS project_image_id FROM documents i JOIN (SELECT sha1(text) AS h, min(doc_id) AS doc_id FROM documents WHERE source = 'src3' GROUP BY 1) t

@@ -63,7 +63,7 @@ def pool(spark, sf):
     f = features(spark, sf)
     two = two_nearest(detections(spark, sf))
     j = two.select(F.col("entity").alias("id"), M.judge(F.col("d1"), F.col("n1"), F.col("d2"), 0.5).alias("judge"))
-    return SC.ref_scores(f).join(f.select("id", "manual"), "id").withColumn("model", F.lit("default")) \
+    return SC.ref_scores(f, carry=("manual",)).withColumn("model", F.lit("default")) \
         .join(tag_lists(spark, sf), "id", "left").join(j, "id", "left")
 
 

@@ -58,3 +58,8 @@ def test_unique_names(spark):
     df = spark.createDataFrame([(0, "x.png"), (1, "X.PNG"), (2, "noext"), (3, "noext"), (4, "x.png")], "id int, name string")
     got = [r["unique"] for r in NM.unique_names(df, [], ["id"]).orderBy("id").collect()]
     assert got == ["x.png", "X (2).PNG", "noext", "noext (2)", "x (3).png"]
+
+
+def test_first_of_a_group_that_crosses_partitions(spark):
+    df = spark.range(1000).repartition(16).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("g"), "id")
+    assert all(r["first"] == (0 if r["id"] < 900 else r["id"]) for r in O.positions(df, ["g"], ["id"], first="id").collect())
