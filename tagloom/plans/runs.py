@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as U
 from ..operators import order as O
+from .captions import FIT_SQL, caption_fit
 from .registry import query
-from .views import RUNS, TRACE, runs, table, trace, transactions
+from .views import RUNS, TRACE, runs, table, texts, trace, transactions
 
 NOW = "1999-06-01 00:00:00"
 
@@ -315,11 +316,13 @@ def run_request(spark, sf):
     return w.select("w.id", F.col("s.input.steps").alias("steps"), F.col("s.input.lr").alias("lr"), F.lit("").alias("trigger_word"), F.col("s.input.epochs").alias("epochs"))
 
 
-@query("fit_summary", """WITH c AS (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) - 1 AS copy, l.toxic = 1 AS blocked FROM documents d LEFT JOIN labels l USING (doc_id))
-    SELECT count(*) AS total, count(*) FILTER (length_over) AS truncated, count(*) FILTER (copy > 0) AS copies, count(*) FILTER (blocked) AS blocked FROM (SELECT *, n_chars > 1024 AS length_over FROM c)""")
+@query("fit_summary", f"""WITH fit AS ({FIT_SQL}), c AS (SELECT doc_id AS id, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) - 1 AS copy FROM documents)
+    SELECT count(*) AS total, count(*) FILTER (removed > 0) AS truncated, CAST(sum(removed) AS BIGINT) AS truncated_tags, count(*) FILTER (copy > 0) AS copies, count(*) FILTER (l.toxic = 1) AS blocked
+    FROM fit JOIN c ON c.id = fit.id LEFT JOIN labels l ON l.doc_id = fit.id""")
 def fit_summary(spark, sf):
-    from .views import texts
-
-    d = texts(spark, sf).select("doc_id", F.sha1("text").alias("blob"), "n_chars")
-    p = O.positions(d, ["blob"], ["doc_id"]).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return p.agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") > 1024).alias("truncated"), F.count_if(F.col("pos") > 1).alias("copies"), F.count_if(F.col("toxic") == 1).alias("blocked"))
+    """Counters of a preparation: shortened captions, removed tags, copies, blocked records."""
+    d = texts(spark, sf).select(F.col("doc_id").alias("id"), F.sha1("text").alias("blob"))
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    j = O.positions(d, ["blob"], ["id"]).join(caption_fit(spark, sf).select("id", "removed"), "id").join(lab, "id", "left")
+    return j.agg(F.count("*").alias("total"), F.count_if(F.col("removed") > 0).alias("truncated"), F.sum("removed").alias("truncated_tags"),
+                 F.count_if(F.col("pos") > 1).alias("copies"), F.count_if(F.col("toxic") == 1).alias("blocked"))
