@@ -20,9 +20,10 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low.astype(np.int16) + np.bitwise_count((a[:, None, 1] ^ b[None, :, 1]).astype(np.uint64))
 
 
-def mean_difference(a: np.ndarray, b: np.ndarray, step: int = 256) -> np.ndarray:
-    """Pairwise mean absolute difference of two signature matrices."""
+def mean_difference(a: np.ndarray, b: np.ndarray, cells: int = 8_000_000) -> np.ndarray:
+    """Pairwise mean absolute difference of two signature matrices, about ``cells`` values at a time."""
     out = np.empty((len(a), len(b)))
+    step = max(1, cells // max(1, b.size))
     for i in range(0, len(a), step):
         out[i : i + step] = np.abs(a[i : i + step, None, :] - b[None, :, :]).sum(2, dtype=np.int64) / a.shape[1]
     return out
