@@ -23,7 +23,8 @@ from .common import in_batches
 SAMPLES = 128  # labelled texts behind one dictionary, at most: the documented bound of what is learned from
 SAMPLE_CHARS = 1000  # code points of each of them
 LEVEL = 5
-TIE_LEVEL = 19  # ties are compressed again, harder
+TIE_LEVEL = 12  # ties are compressed again, harder, and behind CARRIER
+CARRIER = bytes(64)  # zstandard stores what is very short as it is; behind a few equal bytes it is compressed, too
 PIECE = 2048
 NARROW = 0.0  # relative margin up to which a text is rejected
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -75,8 +76,8 @@ class Classifier:
         if not data or not self.names:
             return "und", 0.0, 0.0
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
-        for made in self.levels:
-            sizes = [sum(len(c.compress(p)) for p in pieces) for c in made]
+        for made, before in zip(self.levels, (b"", CARRIER)):
+            sizes = [sum(len(c.compress(before + p)) for p in pieces) for c in made]
             best = min(range(len(sizes)), key=sizes.__getitem__)
             others = sorted(sizes[:best] + sizes[best + 1:])
             if not others:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import language
+from . import exact, language, simhash
 from .common import documents, held_out
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -29,3 +29,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text")
     found = language.identify(rows, learned)
     return found.select("row.doc_id", "row.held_out", F.col("language.name").alias("lang_pred"), "language.score", "language.margin", "language.accepted")
+
+
+@query("op7_exact", """
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+WINDOW same AS (PARTITION BY t)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", exact.full_hash("text").alias("text_sha256"))
+    return exact.exact_groups(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "keep_id", "group_size", "kept", "row.text_sha256")
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
