@@ -1,11 +1,12 @@
 """Queries of the ten operators: each derives its digest columns from the rows of the operator."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import exact, language, simhash
+from . import exact, language, packing, secrets, simhash
 from .common import documents, held_out
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -44,3 +45,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op5_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, kind)) for kind in secrets.KINDS]
+    counts = [(F.size(kinds) - n).cast("long").alias(f"n_{kind}") for n, kind in zip(counts, secrets.KINDS)]
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(F.encode(secrets.joined(base), "UTF-8"), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
