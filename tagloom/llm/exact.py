@@ -10,7 +10,7 @@ gives an empty table. Other columns, whatever their names, are carried untouched
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -28,7 +28,7 @@ def full_hash(text: str | Column) -> Column:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """Every row as struct ``row``, with keep_id, group_size and kept.
+    """Every row as struct ``row``, with full (the hash, null where it wasn't needed), keep_id, group_size and kept.
 
     Only ids and keys are shuffled for the first two steps; rows meet their surviving keys once, by (id, length, prefix). Counts are
     made before any join, so a group of any size is one row per task; the joins that bring a count back to a large group are equi-joins
@@ -44,11 +44,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     same = [keyed.id.eqNullSafe(alike.id), keyed.length == alike.length, keyed.prefix == alike.prefix]
     read = keyed.join(alike.withColumn("alike", F.lit(True)), same, "left").select(
         "row", keyed.id, keyed.length, keyed.prefix, F.when(F.col("alike"), full_hash("row.text")).alias("full"))
-    return _settled(read)
-
-
-def _settled(read: DataFrame) -> DataFrame:
     groups = read.where("full is not null").groupBy("length", "prefix", "full").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     return read.join(groups, ["length", "prefix", "full"], "left").select(
-        "row", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        "row", "full", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(F.coalesce("keep_id", "id")).alias("kept"))
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all columns of ``docs``. Only kept rows are numbered, of which a group has one, or one for each
+    time that its document is repeated."""
+    kept = exact_groups(docs).where("kept")
+    again = Window.partitionBy("keep_id", "full").orderBy(F.lit(0))
+    one = kept.where("full is not null").withColumn("n", F.row_number().over(again)).where("n = 1")
+    return kept.where("full is null").select("row").union(one.select("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -103,3 +103,9 @@ def identify(docs: DataFrame, learned: list[tuple[str, int, bytes]], text: str =
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
     schema = f"row {packed.schema['_row'].dataType.simpleString()}, language struct<name:string,score:double,margin:double,accepted:boolean>"
     return in_batches(packed, run, schema)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is found by more than a narrow margin; learned from their own labels."""
+    found = identify(docs, dictionaries(docs))
+    return found.where("language.accepted").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -190,3 +190,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, secrets masked in the text and n_chars counted anew where there were any."""
+    found = scan(docs)
+    new = {"text": F.coalesce("redacted", "row.text"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

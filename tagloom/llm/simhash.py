@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash, texts
+from .common import in_batches, stash
 from .graph import components
 
 DISTANCE = 3
@@ -57,14 +57,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """Every row as struct ``row``, its doc_id as ``id``, and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(found.view(np.int64))], ["row", "id", "fp"])
 
-    return in_batches(texts(docs), run, "doc_id long, fp long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    return in_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, id long, fp long")
 
 
 def _masks(bits: list[int]) -> list[int]:
@@ -154,14 +155,27 @@ def links(nodes: DataFrame) -> DataFrame:
     return found
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of (id, fp) rows; component_id is the smallest id of all linked fingerprints."""
+    least = stash(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    joined = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
+    ids = joined.join(least, "fp").select("fp", "root", "least")
+    smallest = ids.groupBy("root").agg(F.min("least").alias("component"))
+    of = ids.select("fp", "root").join(smallest, "root").select("fp", "component")
+    return least.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    marked = stash(fingerprints(docs))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = stash(classes)
-    joined = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    ids = joined.join(classes, "fp").select("fp", "root", "least")
-    smallest = ids.groupBy("root").agg(F.min("least").alias("component"))
-    of = classes.join(ids.select("fp", "root").join(smallest, "root").select("fp", "component"), "fp", "left") \
-        .select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    marked = stash(fingerprints(docs.select("doc_id", "text")).select("id", "fp"))
+    return marked.join(classes(marked), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest doc_id, null last; of several such rows, one. All columns of ``docs``."""
+    marked = stash(fingerprints(docs).withColumn("n", F.monotonically_increasing_id()))
+    nodes = marked.select("id", "fp", "n")
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("n"))
+    by_class = nodes.groupBy("fp").agg(F.min(rank).alias("first"))
+    kept = by_class.join(classes(nodes), "fp").groupBy("component_id").agg(F.min("first").alias("first")).select("first.n")
+    return marked.join(kept, "n", "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])
