@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import exact, language, packing, secrets, simhash
-from .common import documents, held_out
+from . import bpe, exact, language, packing, secrets, simhash
+from .common import documents, held_out, texts
 
 LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -62,3 +62,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(texts(documents(spark, sf_dir)), *vocabulary).select("doc_id", "ids"), *vocabulary)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
