@@ -26,13 +26,32 @@ from pyspark.sql import functions as F
 
 from .common import in_batches
 
-MEMO = 600_000
+MEMO = 600_000  # words, and as many pre-tokens, that a worker remembers; those not met again for longest go first
 _MASK = (1 << 64) - 1
 _GOLDEN = 0x9E3779B97F4A7C15
 _BLOCKED = re.compile(r" \s|\s ")  # white space that splits differently next to other white space
 _worker: dict = {}
 
 
+class Recent(dict):
+    """Remembers at least the ``most`` / 2 keys that were used last, and never more than ``most``."""
+
+    def __init__(self, make, most: int = MEMO):
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings; ``slot`` gives a number below their count, meaningful for the strings themselves."""
 
@@ -80,8 +99,8 @@ class Vocabulary:
         self.bytes = [self.rank(bytes([b])) for b in range(256)]
         self.pattern = regex.compile(pattern)
         self.pairs: dict[int, int] = {}  # ranks of pairs of ids that were asked for, at most MEMO
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokens = Recent(self._token)
+        self.words = Recent(self._word)
 
     def rank(self, token: bytes) -> int:
         slot = self.hash.slot(token)
@@ -132,39 +151,20 @@ class Vocabulary:
                     heappush(heap, rank << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def _token(self, token: str) -> bytes:
+        data = token.encode("utf-8")
+        rank = self.rank(data)
+        return np.array([rank] if rank >= 0 else self.merged(data), "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
-        out = []
-        for match in self.pattern.findall(word):
-            token = match.encode("utf-8")
-            rank = self.rank(token)
-            out += [rank] if rank >= 0 else self.merged(token)
-        return np.array(out, "<u4").tobytes()
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(word)))
 
     def encode(self, text: str) -> bytes:
         """A space and the word after it are split alike wherever they stand, as long as no other white space is next to the space."""
-        memo = self.memo
         if _BLOCKED.search(text):
-            words = self.pattern.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]]
-        out = [memo.get(word) for word in words]
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = self._remembered(words[i])
-        return b"".join(out)
-
-    def _remembered(self, word: str) -> bytes:
-        """Ids of a word that is not in the newer half of what is remembered."""
-        ids = self.memo.get(word) or self.older.get(word)
-        if ids is None:
-            ids = self._word(word)
-        if len(word) <= 64:
-            if len(self.memo) >= MEMO // 2:
-                self.older, self.memo = self.memo, {}
-            self.memo[word] = ids
-        return ids
+            return self._word(text)
+        first, *rest = text.split(" ")
+        return b"".join(map(self.words.__getitem__, [first, *[" " + w for w in rest]]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
