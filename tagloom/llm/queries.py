@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import bpe, exact, language, packing, secrets, simhash
+from . import bpe, exact, language, minhash, packing, secrets, simhash
 from .common import documents, held_out, texts
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -70,3 +70,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(texts(documents(spark, sf_dir)), *vocabulary).select("doc_id", "ids"), *vocabulary)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.with_edits(documents(spark, sf_dir))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
