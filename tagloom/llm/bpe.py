@@ -5,7 +5,7 @@ has a place of its own; the rank of its bit is its slot, and the entry in the sl
 are merged from their bytes: a heap holds the ranks of neighbouring pairs, the bytes form a linked list, and the pair of lowest rank, the
 leftmost of equals, is joined until none is in the vocabulary. Ranks of joined pairs come from the same hash.
 
-Ids of words that were met lately are remembered, at most MEMO a worker. Ids are little-endian unsigned 32-bit numbers in a binary column.
+Ids of pre-tokens that were met lately are remembered, about MEMO a worker. Ids are little-endian unsigned 32-bit numbers in a binary column.
 
 Defined cases: null or empty text: no ids, and no bytes when decoded. Repeated rows get equal ids. Lone surrogates can't occur in a Spark
 string. Special tokens are ordinary text. An id that is not in the vocabulary is an error when decoding.
@@ -13,7 +13,6 @@ string. Special tokens are ordinary text. An id that is not in the vocabulary is
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -24,34 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import Recent, in_batches, portions
 
-MEMO = 600_000  # words, and as many pre-tokens, that a worker remembers; those not met again for longest go first
+MEMO = 800_000  # pre-tokens whose ids a worker remembers
 _MASK = (1 << 64) - 1
 _GOLDEN = 0x9E3779B97F4A7C15
-_BLOCKED = re.compile(r" \s|\s ")  # white space that splits differently next to other white space
 _worker: dict = {}
 
 
-class Recent(dict):
-    """Remembers at least the ``most`` / 2 keys that were used last, and never more than ``most``."""
-
-    def __init__(self, make, most: int = MEMO):
-        super().__init__()
-        self.make, self.half, self.older = make, most // 2, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.half:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
-        return found
-
-
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings; ``slot`` gives a number below their count, meaningful for the strings themselves."""
 
@@ -99,8 +78,7 @@ class Vocabulary:
         self.bytes = [self.rank(bytes([b])) for b in range(256)]
         self.pattern = regex.compile(pattern)
         self.pairs: dict[int, int] = {}  # ranks of pairs of ids that were asked for, at most MEMO
-        self.tokens = Recent(self._token)
-        self.words = Recent(self._word)
+        self.recent = Recent(lambda tokens: list(map(self._token, tokens)), MEMO)
 
     def rank(self, token: bytes) -> int:
         slot = self.hash.slot(token)
@@ -156,15 +134,9 @@ class Vocabulary:
         rank = self.rank(data)
         return np.array([rank] if rank >= 0 else self.merged(data), "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(word)))
-
-    def encode(self, text: str) -> bytes:
-        """A space and the word after it are split alike wherever they stand, as long as no other white space is next to the space."""
-        if _BLOCKED.search(text):
-            return self._word(text)
-        first, *rest = text.split(" ")
-        return b"".join(map(self.words.__getitem__, [first, *[" " + w for w in rest]]))
+    def encode(self, given: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        return [ids for some in portions(given) for ids in self.recent.joined(list(map(self.pattern.findall, some)))]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -176,10 +148,10 @@ def _vocabulary(path: str, pattern: str) -> Vocabulary:
     return _worker[path, pattern]
 
 
-def _mapped(rows: DataFrame, given: str, made: str, fn) -> DataFrame:
+def _mapped(rows: DataFrame, given: str, made: str, empty: str | bytes, fn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pa.array(map(fn, batch.column("_given").to_pylist()), pa.binary())
+            out = pa.array(fn([x or empty for x in batch.column("_given").to_pylist()]), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), out], ["row", "made"])
 
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != made]).alias("_row"), F.col(f"`{given}`").alias("_given"))
@@ -189,9 +161,9 @@ def _mapped(rows: DataFrame, given: str, made: str, fn) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All rows and columns of ``docs``, with the binary column ``ids``, in place of a column of that name."""
-    return _mapped(docs, text, ids, lambda t: _vocabulary(path, pattern).encode(t) if t else b"")
+    return _mapped(docs, text, ids, "", lambda given: _vocabulary(path, pattern).encode(given))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All rows and columns, with the bytes of the ids as binary column ``decoded``."""
-    return _mapped(rows, ids, decoded, lambda i: _vocabulary(path, pattern).decode(i) if i else b"")
+    return _mapped(rows, ids, decoded, b"", lambda given: list(map(_vocabulary(path, pattern).decode, given)))

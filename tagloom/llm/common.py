@@ -48,3 +48,44 @@ def forget(df: DataFrame) -> None:
 def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(fn, schema)
+
+
+class Recent:
+    """What was made of the keys that were needed lately, so that a worker makes it once for all its batches: at least the last ``most`` / 2
+    keys, never more than ``most`` and those of one call. Long keys are forgotten at once."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int):
+        self.make, self.half, self.newer, self.older = make, most // 2, {}, {}
+
+    def joined(self, rows: list[list[str]]) -> list[bytes]:
+        """Of each row what is made of its keys, joined."""
+        keys = set().union(*rows)
+        if len(self.newer) + len(keys) > self.half:
+            self.older, self.newer = self.newer, {}
+        newer, missing = self.newer, []
+        for key in keys:
+            if key not in newer:
+                known = self.older.get(key)
+                if known is None:
+                    missing.append(key)
+                else:
+                    newer[key] = known
+        newer.update(zip(missing, self.make(missing)))
+        out = [b"".join(map(newer.__getitem__, row)) for row in rows]
+        for key in missing:
+            if len(key) > 64:
+                del newer[key]
+        return out
+
+
+def portions(rows: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """The rows in order, in lists of at most ``most`` characters, or of one row."""
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row) > most:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row)
+    if held:
+        yield held

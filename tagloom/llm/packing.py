@@ -11,49 +11,69 @@ Other columns of the pieces are carried along. A piece of length 0 or above the
 """
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash, texts
+from .common import Recent, in_batches, portions, stash, texts
 
 CAPACITY = 4096
 CLOSING = 1
-MEMO = 200_000  # words whose ids a worker remembers, at most
+MEMO = 800_000  # pre-tokens whose ids a worker remembers
+# Fixed value: how the tokenizer file splits normalised text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _worker: dict = {}
 
 
 class WordIds:
-    """Ids of a text, word by word. A tokenizer that drops white space treats what stands between single spaces alone, so that words that
-    were met before need not be encoded again."""
+    """Ids of texts by a tokenizer that normalises (NFC, lower case), drops white space, splits by PATTERN and marks the last id of each
+    pre-token. Pre-tokens that were met before are not encoded again; new ones are encoded together, one space apart, and their ids parted
+    at the marked ones. Texts that normalisation may split otherwise, or with a special token, are encoded by the tokenizer as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        words, memo = text.split(" "), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(dict.fromkeys(words))
-        made = {}
-        for i in range(0, len(new), 10_000):
-            for w, e in zip(new[i:i + 10_000], self.tokenizer.encode_batch(new[i:i + 10_000], add_special_tokens=False)):
-                made[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([memo[w] if w in memo else made[w] for w in words])
-        if len(made) <= MEMO:
-            memo.update({w: b for w, b in made.items() if len(w) <= 64})
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = regex.compile(PATTERN)
+        self.recent = Recent(self._made, MEMO)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _made(self, tokens: list[str]) -> list[bytes]:
+        ids = self._ids(" ".join(tokens))
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(tokens):
+            return [self._ids(t).tobytes() for t in tokens]
+        data = ids.tobytes()
+        return [data[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
+
+    def _lower(self, text: str) -> str | None:
+        """The text in lower case where that and splitting can come before normalisation, else None."""
+        if any(t in text for t in self.special):
+            return None
+        lower = text if "\u03a3" in text else text.lower()  # the tokenizer has no final sigma
+        if text.isascii() or "\u0130" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower):
+            return lower
+        return None
+
+    def __call__(self, given: list[str]) -> list[bytes]:
+        out = []
+        for some in portions(given):
+            lower = [self._lower(t) for t in some]
+            known = iter(self.recent.joined([self.pattern.findall(t) for t in lower if t is not None]))
+            out += [self._ids(t).tobytes() if plain is None else next(known) for t, plain in zip(some, lower)]
         return out
 
 
@@ -66,8 +86,8 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
         closing, width = np.array([CLOSING], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = _worker[path](text) + closing
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), _worker[path](batch.column("text").to_pylist())):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, part)):
