@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import bpe, exact, language, minhash, packing, secrets, simhash
+from . import bpe, exact, language, minhash, packing, quality, secrets, simhash, toxicity
 from .common import documents, held_out, texts
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -76,3 +76,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.with_edits(documents(spark, sf_dir))
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.learn(docs.where(~held_out(4, 2)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text")
+    return quality.score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs.where(~held_out(3, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(3, 1).alias("held_out"), "text")
+    return toxicity.measured(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
