@@ -7,8 +7,8 @@ of a sentence is that of its worst word, the margin of a text that of its worst
 
 Labels are those of whole texts, so words have to explain them: every word is an example of each kind of text that it occurs in, as often as it
 does. Words that tell much, common words and words drawn by a hash are learned from; after a fit, those words of clean texts that come
-nearest to the toxic ones are added, and the machine is trained again. As the machine is linear in the landmarks, its value at a word is a sum over the subsequences
-of the word, read from one table; training uses the kernel matrix, scoring the table, and both give the same value.
+nearest to the toxic ones are added, and the machine is trained again. The kernel of a word and all landmarks
+is a sum over the subsequences of the word, read from a table of those of the landmarks.
 
 Defined cases: null, empty or without letters: score 0. Labels of one kind only: all scores are 0. Characters between the letters of a word
 (i.d.i.o.t) and spaces between single letters are removed before comparing. Words longer than LONGEST letters are compared piece by piece,
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,10 @@ from .quality import sample
 
 ORDER = 3
 DECAY = 0.6
-LANDMARKS = 300
+POWER = 3
+LANDMARKS = 128
 WORDS = 4000  # words learned from in each round, at most: half of them those that tell most for toxic texts
-RIDGE = 1e-3
+RIDGE = 3e-4
 LONGEST = 24
 CUT = 0.7
 MEMO = 800_000
@@ -117,50 +119,51 @@ def embedded(given: list[str]) -> np.ndarray:
     return out
 
 
+def similar(given: list[str], columns: np.ndarray) -> np.ndarray:
+    """Kernel of words to the landmarks whose rows of ``embedded`` are the given columns, to the power of POWER, which is a kernel as well and
+    tells near words from nearer ones."""
+    out = np.zeros((len(given), columns.shape[1]), np.float32)
+    for places, group, size in _by_size(given):
+        if size >= ORDER:
+            numbers, weight = _spread(group, size)
+            found = np.stack([weight.astype(np.float32) @ columns[row] for row in numbers])
+            out[places] = found / norms(code("".join(group)).reshape(len(group), size))[:, None]
+    return out**POWER
+
+
+@cache
+def _columns(marks: tuple[str, ...]) -> np.ndarray:
+    """Subsequences by landmarks."""
+    return np.ascontiguousarray(embedded(list(marks)).T)
+
+
 @dataclass
 class Model:
-    table: np.ndarray  # value of each subsequence
+    marks: list[str]  # the landmarks
+    weights: np.ndarray
     bias: float
     shift: float
     slope: float
 
     def margins(self, given: list[str]) -> np.ndarray:
         """Value of the machine at each word."""
-        out = np.full(len(given), self.bias)
-        for places, group, size in _by_size(given):
-            if size >= ORDER:
-                numbers, weight = _spread(group, size)
-                norm = norms(code("".join(group)).reshape(len(group), size))
-                out[places] += (self.table[numbers] * weight).sum(axis=1) / np.where(norm > 0, norm, 1)
-        return out
+        return similar(given, _columns(tuple(self.marks))).astype(np.float64) @ self.weights + self.bias
 
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip((margin - self.shift) * self.slope + np.log(CUT / (1 - CUT)), -40, 40))))
 
 
-def _similar(given: list[str], columns: np.ndarray) -> np.ndarray:
-    """Kernel of words to the landmarks whose rows of ``embedded`` are the given columns."""
-    out = np.zeros((len(given), columns.shape[1]))
-    for places, group, size in _by_size(given):
-        if size >= ORDER:
-            numbers, weight = _spread(group, size)
-            norm = norms(code("".join(group)).reshape(len(group), size))
-            for i, place in enumerate(places):
-                out[place] = weight @ columns[numbers[i]] / norm[i]
-    return out
-
-
 def fit(given: list[str], bad: np.ndarray, clean: np.ndarray, seed: int = 0) -> Model:
     """Support vector machine of words, all at most LONGEST letters, by the number of toxic and of clean texts that each occurs in: squared
     hinge loss, minimised by Newton's method. Half of the landmarks are the words that tell most for toxic texts."""
-    rest = np.random.default_rng(seed).permutation(np.arange(LANDMARKS // 3, len(given)))
+    rest = np.random.default_rng(seed).permutation(np.arange(LANDMARKS // 2, max(LANDMARKS // 2, len(given))))
     order = np.argsort(-_surplus(bad, clean), kind="stable")
-    marks = [given[i] for i in [*order[:LANDMARKS // 3], *order[rest[:LANDMARKS - LANDMARKS // 3]]]]
+    marks = [given[i] for i in [*order[:LANDMARKS // 2], *order[rest[:LANDMARKS // 2]]]]
     base = embedded(marks)
-    values, vectors = np.linalg.eigh(base.astype(np.float64) @ base.T)
+    values, vectors = np.linalg.eigh((base.astype(np.float64) @ base.T) ** POWER)
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström map of kernel values
-    rows = _similar(given, np.ascontiguousarray(base.T)) @ root
+    rows = similar(given, _columns(tuple(marks))).astype(np.float64) @ root
     x = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
     x, y, cost = np.concatenate([x, x]), np.repeat([1.0, -1.0], len(x)), np.concatenate([bad / max(1, bad.sum()), clean / max(1, clean.sum())])
     x, y, cost = x[cost > 0], y[cost > 0], cost[cost > 0]
@@ -174,7 +177,7 @@ def fit(given: list[str], bad: np.ndarray, clean: np.ndarray, seed: int = 0) ->
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(base.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1]), 0.0, 4.0)
+    return Model(marks, root @ w[:-1], float(w[-1]), 0.0, 6.0)
 
 
 def _surplus(bad: np.ndarray, clean: np.ndarray) -> np.ndarray:
