@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from . import bpe, exact, language, minhash, packing, quality, secrets, simhash, toxicity
-from .common import documents, held_out, texts
+from .common import documents, held_out, stash, texts
 
 LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -80,17 +80,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.learn(docs.where(~held_out(4, 2)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), "text")
-    return quality.score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"), F.xxhash64("text").alias("h"), "text")
+    features = stash(quality.measured(rows, ["doc_id", "held_out", "h"]))
+    found = quality.score(features, quality.learn(features.where("NOT held_out"), labels))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.learn(docs.where(~held_out(3, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(3, 1).alias("held_out"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(3, 1).alias("held_out"), "text")
+    model = toxicity.learn(rows.where("NOT held_out"), labels)
     return toxicity.measured(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))

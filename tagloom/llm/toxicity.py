@@ -201,10 +201,11 @@ def _word_rows(texts: DataFrame) -> DataFrame:
     return in_batches(texts, run, "word string, label int")
 
 
-def learn(labelled: DataFrame, label: str = "toxic") -> Model | None:
-    """From rows with ``text`` and a label; None if there are not both kinds. What reaches the driver are at most 3 * WORDS words
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
+    """From rows with doc_id and text, and a table of labels by doc_id; None if there are not both kinds. What reaches the driver are at most 3 * WORDS words
     and one margin for each sampled text."""
-    sampled = stash(sample(labelled, label).select("text", "label"))
+    chosen = sample(docs.select("doc_id", F.xxhash64("text").alias("h")), labels, label)  # about 2 * SAMPLES ids
+    sampled = stash(docs.join(F.broadcast(chosen), "doc_id").select("text", "label"))
     totals = {r["label"]: r["n"] for r in sampled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if set(totals) != {0, 1}:
         return None
