@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import bpe, exact, language, minhash, packing, quality, secrets, simhash, toxicity
+from . import bpe, exact, language, minhash, packing, quality, repeats, secrets, simhash, toxicity
 from .common import documents, held_out, stash, texts
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -93,3 +93,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(3, 1).alias("held_out"), "text")
     model = toxicity.learn(rows.where("NOT held_out"), labels)
     return toxicity.measured(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+
+
+@query("op10_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
