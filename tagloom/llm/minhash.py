@@ -169,3 +169,87 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     waited = in_batches(lasts.join(firsts, "next").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint"), settle, _EDITS)
     return done.where("role is null").drop("part", "role", "text").union(waited)
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, bands, shingles): the shingle set as sorted numbers, a digest of it, and the bands of its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column("text").to_pylist()
+            found = [np.unique(shingles(t)).tobytes() for t in given]
+            bands = [signature(t).view("<i8").tolist() for t in given]
+            cells = [pa.array([hashlib.blake2b(s, digest_size=16).hexdigest() for s in found]), pa.array(bands, pa.list_(pa.int64())), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", "digest", "bands", "shingles"])
+
+    return in_batches(texts(docs), run, "doc_id long, digest string, bands array<long>, shingles binary")
+
+
+def bucket_links(names: list[str], sets: list[np.ndarray]) -> list[tuple[str, str]]:
+    """Links of sets whose Jaccard similarity is at least SIMILARITY, at most one fewer than there are sets; sets that are linked already
+    are not compared."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
+    parent, out = list(range(len(sets))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for place, i in enumerate(order):
+        for j in reversed(order[:place]):
+            if len(sets[j]) < SIMILARITY * len(sets[i]):
+                break
+            if root(i) != root(j):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                    parent[root(i)] = root(j)
+                    out.append((names[i], names[j]))
+    return out
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """Links within each key of (key, digest, shingles) rows; one bucket at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = {}, None
+
+        def links() -> pa.RecordBatch:
+            found = bucket_links(list(held), list(held.values()))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, digest, data in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "shingles"))):
+                if key != at:
+                    if len(held) > 1:
+                        yield links()
+                    held, at = {}, key
+                held[digest] = np.frombuffer(data, np.uint64)
+        if len(held) > 1:
+            yield links()
+
+    return in_batches(rows.repartition("key").sortWithinPartitions("key"), run, "a string, b string")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of every row: group_id is the smallest doc_id that verified links lead to.
+
+    Equal shingle sets are one node. Nodes that share a band of four components are candidates; only nodes of shared bands are moved
+    with their sets. A band that more than BUCKET nodes share is cut by a second band: nodes of similarity 0.8 share another of the 31 all
+    but surely. Within a bucket sets are verified, and links that join nothing new are not reported."""
+    sets = stash(_sets(docs))
+    nodes = stash(sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
+    wide = nodes.where(F.length("shingles") > 0)
+    keyed = wide.select("digest", F.posexplode("bands").alias("band", "part")).select("digest", F.xxhash64("band", "part").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stash(keyed.join(sizes, "key"))
+    few = shared.where(F.col("size") <= BUCKET).select("digest", "key")
+    crowded = shared.where(F.col("size") > BUCKET).join(wide.select("digest", F.posexplode("bands").alias("band", "part")), "digest") \
+        .where(F.col("key") != F.xxhash64("band", "part")).select("digest", F.xxhash64("key", "band", "part").alias("key"))
+    links = _in_buckets(few.union(crowded).join(wide.select("digest", "shingles"), "digest").select("key", "digest", "shingles"))
+    joined = components(links)
+    ids = joined.join(nodes, joined.node == nodes.digest).select("digest", "root", "least")
+    smallest = ids.groupBy("root").agg(F.min("least").alias("group"))
+    of = nodes.select("digest", "least").join(ids.join(smallest, "root").select("digest", "group"), "digest", "left")
+    return sets.join(of, "digest").select("doc_id", F.coalesce("group", "least").alias("group_id"))

@@ -57,7 +57,7 @@ def words(text: str | None) -> list[list[str]]:
     """Words of each sentence, in lower case, without marks inside, and with a mark for their beginning; single letters in a row are one word."""
     out = []
     for sentence in _SENTENCE.split((text or "").lower()):
-        spelled = [_INNER.sub("", m) for m in _SPELLED.findall(sentence)]
+        spelled = [_INNER.sub("", m) for m in _SPELLED.findall(sentence) if any(c.isspace() for c in m)]
         out.append(["^" + w for w in (_INNER.sub("", p) if not p.isalpha() else p for p in sentence.split()) if w] + ["^" + w for w in spelled])
     return out
 
