@@ -140,15 +140,17 @@ def training_hints(s: dict[str, Any]) -> dict[str, Any]:
 
 
 def _scored(tags: Column, general: Column) -> Column:
-    """array<struct<tag,i,t,k,score>>: every tag with its prediction score, by one sort of tags and scores together."""
+    """array<struct<tag,i,t,k,score>>: every tag with its prediction score, by one sort of tags and scores together. Of several scores of one
+    canonical name the last counts, and it counts for every repeat of the tag."""
     none = F.expr("cast(array() as array<struct<name:string,score:double>>)")
-    scores = each(F.coalesce(general, none), f"(g, i) -> struct(lower({canon_sql('g.name')}) AS k, false AS tag, -i AS i, "
+    scores = each(F.coalesce(general, none), f"(g, i) -> struct(lower({canon_sql('g.name')}) AS k, false AS tag, i AS i, "
                                              "cast(g.score as double) AS s, cast(null as string) AS t)")
     rows = F.concat(scores, each(tags, f"(t, i) -> struct(lower({canon_sql('t')}) AS k, true AS tag, i AS i, "
                                        "cast(null as double) AS s, t AS t)"))
     attached = let(F.sort_array(rows), (
-        "a -> transform(a, (x, i) -> struct(x.tag AS tag, x.i AS i, x.t AS t, x.k AS k, "
-        "CASE WHEN i > 0 AND get(a, i - 1).k = x.k AND NOT get(a, i - 1).tag THEN get(a, i - 1).s END AS score))"))
+        "a -> aggregate(a, struct(cast(array() as array<struct<tag:boolean,i:int,t:string,k:string,score:double>>) AS done, cast(null as string) AS k, cast(null as double) AS s), "
+        "(acc, x) -> struct(CASE WHEN x.tag THEN array_append(acc.done, struct(true AS tag, x.i AS i, x.t AS t, x.k AS k, CASE WHEN acc.k = x.k THEN acc.s END AS score)) ELSE acc.done END AS done, "
+        "CASE WHEN x.tag THEN acc.k ELSE x.k END AS k, CASE WHEN x.tag THEN acc.s ELSE x.s END AS s), acc -> acc.done)"))
     return only(attached, "x -> x.tag")
 
 

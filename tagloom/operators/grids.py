@@ -13,15 +13,16 @@ def run_heights(cells: DataFrame) -> DataFrame:
     return marked.withColumn("height", F.row_number().over(island)).drop("_island")
 
 
-def largest_area(heights: DataFrame, width: int) -> DataFrame:
+def largest_area(heights: DataFrame) -> DataFrame:
     """Area of the largest all-true rectangle per grid.
 
-    Each grid line becomes an array of column heights (``width`` long, a constant of the grid). For every start column
+    Each grid line becomes an array of column heights from the grid's first to its last true column. For every start column
     one fold walks right with the lowest height so far; a gap has height zero and ends the span.
     """
-    line = heights.groupBy("grid", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "height"))).alias("m")).select(
-        "grid", F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("h"))
-    fold = ("aggregate(slice(h, s, {w}), named_struct('low', 1000000, 'n', 0, 'best', 0), (a, v) -> named_struct('low', least(a.low, v), "
-            "'n', a.n + 1, 'best', greatest(a.best, least(a.low, v) * (a.n + 1))), a -> a.best)").format(w=width)
-    best = F.array_max(F.call_function("transform", F.sequence(F.lit(1), F.lit(width)), F.expr("s -> " + fold)))
+    reach = heights.groupBy("grid").agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
+    line = heights.groupBy("grid", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "height"))).alias("m")).join(reach, "grid").select(
+        "grid", F.transform(F.sequence("_low", "_high"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("long")).alias("h"))
+    fold = ("aggregate(slice(h, s, size(h)), named_struct('low', cast(null as bigint), 'n', 0L, 'best', 0L), (a, v) -> named_struct('low', least(a.low, v), "
+            "'n', a.n + 1, 'best', greatest(a.best, least(a.low, v) * (a.n + 1))), a -> a.best)")
+    best = F.array_max(F.call_function("transform", F.sequence(F.lit(1), F.size("h")), F.expr("s -> " + fold)))
     return line.groupBy("grid").agg(F.max(best).alias("area"))

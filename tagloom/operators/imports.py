@@ -44,11 +44,11 @@ def import_batch(files: DataFrame, present: DataFrame, by: list[str], trigger: s
 
 
 def collect_sources(items: list[DataFrame]) -> DataFrame:
-    """Union of sources, each (root, path, ord); the first listing of a file wins."""
-    u = items[0]
-    for i in items[1:]:
-        u = u.unionByName(i)
-    return u.groupBy("root", "path").agg(F.min("ord").alias("ord"))
+    """Union of sources, each (root, path, ord); the first listing of a file wins: the earlier source, then the smaller ord."""
+    u = items[0].withColumn("source", F.lit(0))
+    for k, i in enumerate(items[1:], 1):
+        u = u.unionByName(i.withColumn("source", F.lit(k)))
+    return u.groupBy("root", "path").agg(F.min(F.struct("source", "ord")).alias("at")).select("root", "path", "at.source", "at.ord")
 
 
 def url_entries(urls: DataFrame, url: str = "url") -> DataFrame:

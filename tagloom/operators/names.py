@@ -41,7 +41,7 @@ def _scan_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unique_stems(df: DataFrame, group: str, order: str, base: str = "base", out: str = "stem") -> DataFrame:
     """First use of a base keeps it; later uses try ``base_2``, ``base_3`` ... until free, in ``order``, ignoring case.
 
-    The only interaction between different bases is a literal ``x_7`` standing where the counter of a repeated ``x``
+    A number too long for a counter can't meet one. The only interaction between different bases is a literal ``x_7`` standing where the counter of a repeated ``x``
     would pass. Those (parent, literal) pairs are found by an equi-join on distinct names, so the usual case is one
     numbering. For the pairs, counting the parent's uses before the literal's first use tells who gets the name: the
     literal keeps it and the counter skips the slot, or the counter got there first and the literal counts as used.
@@ -49,9 +49,9 @@ def unique_stems(df: DataFrame, group: str, order: str, base: str = "base", out:
     """
     rows = cut_lineage(df.withColumn("g", F.col(group)).withColumn("k", F.lower(base)))
     keys = cut_lineage(rows.groupBy("g", "k").agg(F.count("*").alias("m"), F.min(order).alias("f")))
-    tail = r"(?s)^(.+)_([1-9][0-9]{0,8})$"
+    tail = r"(?s)^(.+)_([1-9][0-9]*)$"
     kids = keys.select("g", "k", "f", F.regexp_extract("k", tail, 1).alias("p"),
-                       F.regexp_extract("k", tail, 2).cast("int").alias("slot")).where("p <> '' and slot >= 2")
+                       F.regexp_extract("k", tail, 2).try_cast("long").alias("slot")).where("p <> '' and slot >= 2")
     heads = keys.select("g", F.col("k").alias("p"), F.col("m").alias("pm"))
     rel = kids.join(heads, ["g", "p"])
     width = rel.groupBy("g", "p").agg(F.count("*").alias("kids"))
@@ -89,7 +89,7 @@ def _resolve(rows: DataFrame, rel: DataFrame, order: str) -> tuple[DataFrame, Da
     marks = rel.select("g", "p", F.col("f").alias("at"), F.lit(0).alias("use"), "k")
     counted = positions(uses.unionByName(marks), ["g", "p"], ["at", "use", "k"], "used", F.col("use"))
     todo = cut_lineage(rel.join(counted.where("use = 0").select("g", "p", "k", "used"), ["g", "p", "k"]))
-    schema = "g string, p string, k string, slot int, skip boolean, shift long"
+    schema = "g string, p string, k string, slot long, skip boolean, shift long"
     types = dict(todo.dtypes)
     schema = schema.replace("g string", f"g {types['g']}")
     skips = own = None

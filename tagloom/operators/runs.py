@@ -27,14 +27,13 @@ def price_estimate(steps: Column, epochs: Column, per_step: Column, per_epoch: C
 
 
 def costs(runs: DataFrame, transactions: DataFrame) -> DataFrame:
-    """charged = debits - credits (null without transactions), refunded = credits or null, cost_full = a higher base
-    price. Amounts in cents, so sums are exact and independent of the order."""
-    is_debit = F.col("type") == "debit"
-    t = transactions.groupBy("run_id").agg(F.sum(F.when(is_debit, F.col("cents")).otherwise(0)).alias("debit"),
-                                           F.sum(F.when(~is_debit, F.col("cents")).otherwise(0)).alias("credit"))
+    """charged = debits - credits (null without transactions; other types count for nothing), refunded = credits or null, cost_full = the base
+    price ``quoted`` where it is above ``total``, the price after discounts. Amounts in cents, so sums are exact whatever the order."""
+    of = lambda kind: F.sum(F.when(F.col("type") == kind, F.col("cents")).otherwise(0)).alias(kind)
+    t = transactions.groupBy("run_id").agg(of("debit"), of("credit"))
     j = runs.join(t, "run_id", "left")
     return j.select("run_id", (F.col("debit") - F.col("credit")).alias("charged"), F.nullif(F.col("credit"), F.lit(0)).alias("refunded"),
-                    F.when(F.col("quoted") * 100 > F.col("debit"), F.bround(F.col("quoted")).cast("long")).alias("cost_full"))
+                    F.when(F.col("quoted") > F.col("total"), F.bround(F.col("quoted")).cast("long")).alias("cost_full"))
 
 
 def last_events(trace: DataFrame) -> DataFrame:

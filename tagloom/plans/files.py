@@ -77,11 +77,11 @@ def parse_sidecar(spark, sf):
     return texts(spark, sf).select("doc_id", F.array_join(tags, "|").alias("tags"), nl.alias("nl"))
 
 
-@query("collect_sources", f"WITH {FILES} SELECT root, path, min(ord) AS ord FROM (SELECT root, path, ord FROM files WHERE {_IMG} UNION ALL SELECT root, path, ord + 1000000 FROM files WHERE size > 2000) GROUP BY 1, 2")
+@query("collect_sources", f"WITH {FILES} SELECT root, path, min(source) AS source, arg_min(ord, (source, ord)) AS ord FROM (SELECT root, path, 0 AS source, ord FROM files WHERE {_IMG} UNION ALL SELECT root, path, 1, ord FROM files WHERE size > 2000) GROUP BY 1, 2")
 def collect_sources(spark, sf):
     f = files(spark, sf)
     folder = f.where(P.suffix(F.col("path")).isin(P.IMAGE_EXTENSIONS)).select("root", "path", "ord")
-    picked = f.where("size > 2000").select("root", "path", (F.col("ord") + 1000000).alias("ord"))
+    picked = f.where("size > 2000").select("root", "path", "ord")
     return I.collect_sources([folder, picked])
 
 

@@ -88,7 +88,7 @@ def refine_apply(spark, sf):
     j = json_replies(spark, sf).select("id", R.parse_object(F.col("reply")).alias("j"))
     trigger = canon_text(PROJECT["trigger"]).lower()
     tags = only(S.apply_filters(tidy(F.col("j.tags")), PROJECT, GROUPS), f"x -> lower(x) <> {quoted(trigger)}")
-    tags = F.slice(tags, 1, PROJECT["max_tags"])
+    tags = F.slice(tags, 1, PROJECT["max_tags"]) if PROJECT["max_tags"] else tags
     caption = R.clean(F.col("j.caption"))
     error = F.when(F.col("j").isNull() | F.col("j.tags").isNull(), "bad reply").when(F.size(tags) == 0, "empty").when(caption == "", "bad reply")
     return j.select("id", F.when(F.col("j").isNotNull(), F.array_join(tags, "|")).alias("tags"), F.when(F.col("j").isNotNull(), caption).alias("caption"), error.alias("error"))

@@ -17,7 +17,7 @@ def now():
 
 
 @query("run_costs", f"""WITH {RUNS}, t AS (SELECT run_id, sum(CASE WHEN type = 'debit' THEN cents ELSE 0 END) AS debit, sum(CASE WHEN type = 'credit' THEN cents ELSE 0 END) AS credit FROM transactions GROUP BY 1)
-    SELECT r.run_id, CAST(debit - credit AS BIGINT) AS charged, CAST(nullif(credit, 0) AS BIGINT) AS refunded, CASE WHEN quoted * 100 > debit THEN CAST(round_even(quoted, 0) AS BIGINT) END AS cost_full FROM runs r LEFT JOIN t ON t.run_id = r.run_id""")
+    SELECT r.run_id, CAST(debit - credit AS BIGINT) AS charged, CAST(nullif(credit, 0) AS BIGINT) AS refunded, CASE WHEN quoted > r.total THEN CAST(round_even(quoted, 0) AS BIGINT) END AS cost_full FROM runs r LEFT JOIN t ON t.run_id = r.run_id""")
 def run_costs(spark, sf):
     return U.costs(runs(spark, sf), transactions(spark, sf))
 
@@ -177,11 +177,11 @@ def run_notes(spark, sf):
 
 
 @query("preview_pick", r"""SELECT run, CASE WHEN count(*) FILTER (NOT regexp_matches(u, '(?i)\.(mp4|webm)(\?|$)')) > 0 THEN arg_min(u, k) FILTER (NOT regexp_matches(u, '(?i)\.(mp4|webm)(\?|$)')) ELSE arg_min(u, k) END AS preview
-    FROM (SELECT user_id AS run, event_id AS k, 'http://h/' || event_id || CASE event_type WHEN 'view' THEN '.png' WHEN 'click' THEN '.MP4' ELSE '.webm?x=1' END AS u FROM events WHERE value < 3) GROUP BY 1""")
+    FROM (SELECT user_id AS run, event_id AS k, 'http://h/' || event_id || CASE event_type WHEN 'view' THEN '.png' WHEN 'click' THEN '.MP4' ELSE '.webm?x=1' END AS u FROM events) GROUP BY 1""")
 def preview_pick(spark, sf):
     """First picture sample, else the first sample."""
     u = F.concat(F.lit("http://h/"), F.col("event_id").cast("string"), F.when(F.col("event_type") == "view", ".png").when(F.col("event_type") == "click", ".MP4").otherwise(".webm?x=1"))
-    e = table(spark, sf, "events").where("value < 3").select(F.col("user_id").alias("run"), F.col("event_id").alias("k"), u.alias("u"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("k"), u.alias("u"))
     still = ~F.col("u").rlike(r"(?i)\.(mp4|webm)(\?|$)")
     return e.groupBy("run").agg(F.coalesce(F.min_by(F.when(still, F.col("u")), F.when(still, F.col("k"))), F.min_by("u", "k")).alias("preview"))
 

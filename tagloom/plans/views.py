@@ -235,8 +235,9 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ runs, transactions, trace
 RUNS = """
 runs AS (SELECT o_orderkey AS run_id, o_custkey AS project_id, CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status,
-    o_orderdate AS created_at, 100 + o_orderkey % 900 AS total_steps, 10 AS epochs, o_totalprice AS quoted FROM orders),
-transactions AS (SELECT l_orderkey AS run_id, CASE WHEN l_returnflag <> 'R' THEN 'debit' ELSE 'credit' END AS type,
+    o_orderdate AS created_at, 100 + o_orderkey % 900 AS total_steps, 10 AS epochs, o_totalprice AS quoted,
+    CASE o_orderkey % 3 WHEN 0 THEN o_totalprice * 0.75 WHEN 1 THEN o_totalprice END AS total FROM orders),
+transactions AS (SELECT l_orderkey AS run_id, CASE WHEN l_returnflag <> 'R' THEN CASE WHEN l_linenumber = 5 THEN 'tip' ELSE 'debit' END ELSE 'credit' END AS type,
     CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)"""
 TRACE = """
 trace AS (SELECT user_id AS run_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'phase' WHEN 'error' THEN 'error' ELSE 'step' END AS type,
@@ -249,12 +250,13 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "succeeded")
         .otherwise("failed").alias("status"),
         F.col("o_orderdate").alias("created_at"), (100 + F.col("o_orderkey") % 900).alias("total_steps"),
-        F.lit(10).alias("epochs"), F.col("o_totalprice").alias("quoted"))
+        F.lit(10).alias("epochs"), F.col("o_totalprice").alias("quoted"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") * 0.75).when(F.col("o_orderkey") % 3 == 1, F.col("o_totalprice")).alias("total"))
 
 
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") != "R", "debit").otherwise("credit").alias("type"),
+        F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") != "R", F.when(F.col("l_linenumber") == 5, "tip").otherwise("debit")).otherwise("credit").alias("type"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
 
 

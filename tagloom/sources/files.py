@@ -74,18 +74,20 @@ def is_lossy(content: Column) -> Column:
 
 
 def read_images(spark: SparkSession, pattern: str) -> DataFrame:
-    return spark.read.format("image").option("dropInvalid", "true").load(pattern).select(
-        F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    """Decoded pictures; a file that can't be decoded keeps its row, without pixels and with an error."""
+    ok = F.col("image.height") > 0
+    return spark.read.format("image").load(pattern).select(
+        F.col("image.origin").alias("path"), *[F.when(ok, F.col(f"image.{a}")).alias(b) for a, b in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))],
+        F.when(~ok, "cannot be decoded").alias("error"))
 
 
 def _rgb(row) -> np.ndarray:
     """Pixels as height x width x 3 on white (the source stores blue first)."""
-    a = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels).astype(np.float64)
-    if row.channels == 1:
+    a = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.channels)).astype(np.float64)
+    if a.shape[2] == 1:
         return np.repeat(a, 3, 2)
     rgb = a[:, :, 2::-1]
-    return rgb if row.channels == 3 else rgb * a[:, :, 3:] / 255 + 255 * (1 - a[:, :, 3:] / 255)
+    return rgb if a.shape[2] == 3 else rgb * a[:, :, 3:] / 255 + 255 * (1 - a[:, :, 3:] / 255)
 
 
 def _shrink(a: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -107,6 +109,9 @@ def fingerprint(images: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples():
+                if r.data is None:
+                    out.append((r.path, None, None, None))
+                    continue
                 small = _shrink(_rgb(r), 32, 32)
                 low = (dct @ (small @ [0.299, 0.587, 0.114]) @ dct.T)[:8, :8].ravel()
                 bits = (low > np.median(low)).astype(np.int64)[::-1]
@@ -153,6 +158,9 @@ def detect_regions(images: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples():
+                if r.data is None:
+                    out.append((r.path, None, None))
+                    continue
                 small = np.rint(_shrink(_rgb(r), GRID_H * CELL, GRID_W * CELL))
                 white = (small.min(2) >= WHITE_MIN).reshape(GRID_H, CELL, GRID_W, CELL).mean((1, 3)) >= CELL_WHITE
                 out.append((r.path, *white_regions(white)))

@@ -57,11 +57,10 @@ def append_missing(stream: DataFrame, target: str, key: str, compute: Callable[[
     """Incremental features: each micro-batch computes only ids the target lacks and appends them."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(target).select(key)
-        except Exception:  # noqa: BLE001  the target does not exist before the first batch
-            have = None
-        todo = batch.dropDuplicates([key]) if have is None else batch.dropDuplicates([key]).join(have, key, "left_anti")
+        place = spark._jvm.org.apache.hadoop.fs.Path(target)
+        todo = batch.dropDuplicates([key])
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # it does not exist before the first batch
+            todo = todo.join(spark.read.parquet(target).select(key), key, "left_anti")
         compute(todo).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
