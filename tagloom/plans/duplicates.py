@@ -67,20 +67,37 @@ def groups(spark, sf):
     return N.near_groups(N.cut_lineage(fp))
 
 
-@query("near_groups")
+# A fingerprint keeps itself unless a better one that keeps itself is near: one walk by rank over those that have a better neighbour.
+GROUPS = f"""{FINGERPRINTS}, {RANKED},
+ranks AS (SELECT id, row_number() OVER (ORDER BY manual IS NULL, NOT matched, -(width * height), NOT lossless, id) AS rank FROM keyed),
+leaders AS (SELECT arg_min(f.id, r.rank) AS id, lo, hi, sig, min(r.rank) AS rank FROM fingerprints f JOIN ranks r ON r.id = f.id GROUP BY lo, hi, sig),
+near AS (SELECT * FROM (SELECT x.id, y.id AS better, x.rank, y.rank AS better_rank, list_sum([abs(p[1] - p[2]) FOR p IN list_zip(x.sig, y.sig)]) / 64.0 AS d
+  FROM leaders x JOIN leaders y ON y.rank < x.rank WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 16) WHERE d <= 4),
+steps AS (SELECT id, list(better) AS better, row_number() OVER (ORDER BY rank) AS n FROM near GROUP BY id, rank),
+walk(n, losers) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT s.n, CASE WHEN len(list_filter(s.better, lambda b: NOT list_contains(w.losers, b))) > 0 THEN list_append(w.losers, s.id) ELSE w.losers END FROM walk w JOIN steps s ON s.n = w.n + 1),
+losers AS (SELECT unnest(arg_max(losers, n)) AS id FROM walk),
+settled AS (SELECT n.id, arg_min(n.better, n.better_rank) AS keeper, arg_min(n.d, n.better_rank) AS d FROM near n JOIN losers l ON l.id = n.id
+  WHERE n.better NOT IN (SELECT id FROM losers) GROUP BY n.id),
+stars AS (SELECT coalesce(s.keeper, l.id) AS keeper, f.id AS member, round_even(CAST(coalesce(s.d, 0) AS DOUBLE), 2) AS d
+  FROM fingerprints f JOIN leaders l ON l.lo = f.lo AND l.hi = f.hi AND l.sig = f.sig LEFT JOIN settled s ON s.id = l.id WHERE f.id <> coalesce(s.keeper, l.id))"""
+
+
+@query("near_groups", f"WITH RECURSIVE {GROUPS} SELECT keeper, member, d FROM stars")
 def near_groups(spark, sf):
-    """Order-dependent greedy stars; checked against the sequential rule in the tests."""
+    """Greedy stars around the record worth keeping."""
     return groups(spark, sf)
 
 
-@query("dup_summary")
+@query("dup_summary", f"WITH RECURSIVE {GROUPS} SELECT count(DISTINCT keeper) AS groups, count(*) AS removable, max(d) AS widest, (SELECT count(*) FROM documents) AS total FROM stars")
 def dup_summary(spark, sf):
     total = table(spark, sf, "documents").agg(F.count("*").alias("total"))
     return groups(spark, sf).agg(F.countDistinct("keeper").alias("groups"), F.count("*").alias("removable"), F.max("d").alias("widest")) \
         .withColumn("total", total.scalar())
 
 
-@query("identical_copies")
+@query("identical_copies", f"""WITH RECURSIVE {GROUPS} SELECT s.keeper, count(*) AS members, count(*) FILTER (s.d = 0 AND m.width = k.width AND m.height = k.height) AS identical
+    FROM stars s JOIN keyed m ON m.id = s.member JOIN keyed k ON k.id = s.keeper GROUP BY 1""")
 def identical_copies(spark, sf):
     """Members with no difference and the keeper's own size."""
     size = items(spark, sf).select("id", "width", "height")
@@ -90,7 +107,10 @@ def identical_copies(spark, sf):
     return g.groupBy("keeper").agg(F.count("*").alias("members"), F.count_if(same).alias("identical"))
 
 
-@query("dup_removals")
+@query("dup_removals", f"""WITH RECURSIVE {GROUPS}, marked AS (SELECT s.*, l.quality, l.toxic FROM stars s LEFT JOIN labels l ON l.doc_id = s.member),
+    chosen AS (SELECT keeper, min(member) AS choice FROM marked WHERE toxic = 1 GROUP BY 1), skipped AS (SELECT DISTINCT keeper FROM marked WHERE quality = 0 AND toxic = 0 AND d > 3),
+    everyone AS (SELECT keeper, member FROM stars UNION SELECT keeper, keeper FROM stars)
+    SELECT e.keeper, e.member AS removed FROM everyone e LEFT JOIN chosen c ON c.keeper = e.keeper WHERE e.keeper NOT IN (SELECT keeper FROM skipped) AND e.member <> coalesce(c.choice, e.keeper)""")
 def dup_removals(spark, sf):
     """All members but the keeper; a user may choose another keeper (a toxic-labelled member) or skip a group."""
     g = N.cut_lineage(groups(spark, sf))

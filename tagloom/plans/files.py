@@ -127,9 +127,14 @@ def source_refs(spark, sf):
     return files(spark, sf).groupBy("root").agg(F.count_if(F.startswith(F.col("path"), F.lit("/en/"))).alias("refs"))
 
 
-@query("pack_batches")
+@query("pack_batches", f"""WITH RECURSIVE {FILES}, g AS (SELECT root, regexp_replace(path, '([^/])\\.[^./]+$', '\\1') AS stem_key, count(*) AS files, CAST(sum(size) AS BIGINT) AS size FROM files GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY stem_key) AS k FROM g),
+    walk AS (SELECT root, stem_key, files, size, k, 0::BIGINT AS batch, files AS n, size AS total FROM o WHERE k = 1 UNION ALL
+      SELECT o.root, o.stem_key, o.files, o.size, o.k, CASE WHEN w.n >= 3 OR w.total > 10000 THEN w.batch + 1 ELSE w.batch END,
+        CASE WHEN w.n >= 3 OR w.total > 10000 THEN o.files ELSE w.n + o.files END, CASE WHEN w.n >= 3 OR w.total > 10000 THEN o.size ELSE w.total + o.size END
+      FROM walk w JOIN o ON o.root = w.root AND o.k = w.k + 1) SELECT root, stem_key, files, size, batch FROM walk""")
 def pack_batches(spark, sf):
-    """Greedy, order-dependent; checked against a loop in the tests."""
+    """Greedy by root, in stem order."""
     return I.pack_batches(files(spark, sf).select("root", "path", "size"), 3, 10_000)
 
 
