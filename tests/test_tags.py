@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 import pytest
@@ -165,3 +166,14 @@ def test_edits(spark):
     t = F.array(F.lit("a"), F.lit("B"), F.lit("c d"))
     assert one(spark, E.add(t, "b, e", "front")) == ["e", "a", "B", "c d"] and one(spark, E.remove(t, "c*, b")) == ["a"]
     assert one(spark, E.replace(t, "b", "x, A")) == ["a", "x", "c d"]
+
+
+def test_predictions_load_once_and_keep_nulls(spark):
+    from tagloom.operators.tagger import predictions
+
+    rows = [(k, [float(k), 0.2] if k % 3 else None, "keep") for k in range(10)]
+    labels = [("r", "rating"), ("a", "general"), ("b", "general"), ("c", "character")]
+    load = lambda: lambda x: np.stack([x[:, 0] / 10, x[:, 1], x[:, 1], x[:, 0] / 100], axis=1)
+    got = {r["general_"]: r for r in predictions(spark.createDataFrame(rows, "general_ long, v array<float>, note string"), load, "v", 2, labels).collect()}
+    assert got[3]["general"] is None and got[3]["rating"] is None and got[3]["note"] == "keep"
+    assert [tuple(x) for x in got[7]["rating"]] == [("r", 0.7)] and [x["name"] for x in got[7]["general"]] == ["a", "b"] and got[7]["character"] == []
