@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ CARRIER = bytes(64)  # zstandard stores what is very short as it is; behind a fe
 PIECE = 2048
 NARROW = 0.0  # relative margin up to which a text is rejected
 _NO_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normal(text: str | None) -> bytes:
@@ -73,7 +75,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, relative margin)"""
         data = normal(text)
-        if not data or not self.names:
+        if not data or not self.names or not _LETTER.search(text):
             return "und", 0.0, 0.0
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
         for made, before in zip(self.levels, (b"", CARRIER)):

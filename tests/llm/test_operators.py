@@ -352,7 +352,7 @@ def test_language(spark):
     assert [name for name, _, _ in learned] == ["de", "en"]
     classify = language.Classifier(learned)
     assert all(classify(text(l, 40))[0] == l for l in vocabulary for _ in range(25))
-    assert classify(None) == classify("") == classify("12 34!") == ("und", 0.0, 0.0) and language.Classifier([])("text")[0] == "und"
+    assert classify(None) == classify("") == classify("12 34!") == classify("²³ ½ _") == ("und", 0.0, 0.0) and language.Classifier([])("text")[0] == "und"
     assert all(0 <= classify(text("en", n))[1] <= 1 for n in (1, 2, 5000))
 
 
