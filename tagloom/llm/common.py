@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,22 @@ def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(fn, schema)
 
 
+def squeezed(rows: DataFrame) -> DataFrame:
+    """The column ``text``, not null, as zstandard frames, before texts are shuffled; ``unsqueezed`` gives a text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            frames = pa.array([squeeze(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(c) if c != "text" else frames for c in batch.schema.names], batch.schema.names)
+
+    return in_batches(rows, run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+
+
+def unsqueezed(frames: list[bytes]) -> Iterator[bytes]:
+    return map(zstandard.ZstdDecompressor().decompress, frames)
+
+
 class Recent:
     """What was made of the keys that were needed lately, so that a worker makes it once for all its batches: at least the last ``most`` / 2
     keys, never more than ``most`` and those of one call. Long keys are forgotten at once."""

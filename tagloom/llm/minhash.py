@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash, texts
+from .common import in_batches, squeezed, stash, texts, unsqueezed
 from .graph import components
 
 PERMUTATIONS = 128
@@ -124,8 +124,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     Rows are spread by ranges of doc_id and pass their task in order, so that a row meets the next one where it stands. Only the last row
     of a task has to wait for the first row of the next task; these pairs are joined afterwards, two rows for each task.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    rows = texts(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    rows = squeezed(texts(docs).withColumn("h", F.xxhash64("text"))).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, names = TaskContext.get().partitionId(), None, [f.split(" ")[0] for f in _EDITS.split(", ")]
@@ -138,7 +138,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             made = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), unsqueezed(batch.column("text").to_pylist())):
+                text = data.decode("utf-8")
                 now = (doc_id, text, signature(text))
                 if held is None:
                     yield rows_of([(doc_id, None, None, now[2].tobytes(), None, None, None)], "first", text)

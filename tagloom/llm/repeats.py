@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, in_batches, stash, texts
+from .common import forget, in_batches, squeezed, stash, texts, unsqueezed
 
 LENGTH = 400
 GRAM = 200
@@ -186,8 +186,9 @@ def _window_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, h, text, taken in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "taken"))):
-                data, out, held = np.frombuffer(text.encode("utf-8", "replace"), np.uint8), [], 0
+            doc_ids, hs, frames, all_taken = (batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "taken"))
+            for doc_id, h, text, taken in zip(doc_ids, hs, unsqueezed(frames), all_taken):
+                data, out, held = np.frombuffer(text, np.uint8), [], 0
                 for zone in taken:
                     a, b = zone["first"], zone["last"]
                     place = np.arange(b - a + 1)
@@ -211,7 +212,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     forget(every)
     whole = shared.where("again").select("doc_id", "h", "first", "last")
     taken = shared.where("mixed AND head").groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last", "lead")).alias("taken"))
-    windows = stash(_window_rows(docs.join(taken, ["doc_id", "h"]).select("doc_id", "h", "text", "taken")))
+    windows = stash(_window_rows(squeezed(docs).join(taken, ["doc_id", "h"]).select("doc_id", "h", "text", "taken")))
     single = _buckets(windows, windows.count()).where("again").select("doc_id", "h", "first", "last")
     return whole.union(single)
 
@@ -234,8 +235,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                data = text.encode("utf-8", "replace")
+            for data, found in zip(unsqueezed(batch.column("text").to_pylist()), batch.column("spans").to_pylist()):
                 starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if found:
                     starts, ends = merged(np.array([s["first"] for s in found]), np.array([s["last"] for s in found]), len(data))
@@ -245,5 +245,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(spans, ["doc_id", "h"], "left").select("id", "text", "spans")
+    joined = squeezed(rows).join(spans, ["doc_id", "h"], "left").select("id", "text", "spans")
     return in_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
