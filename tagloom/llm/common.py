@@ -95,7 +95,7 @@ class Recent:
         return out
 
 
-def portions(rows: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def portions(rows: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """The rows in order, in lists of at most ``most`` characters, or of one row."""
     held, size = [], 0
     for row in rows:

@@ -26,7 +26,7 @@ from .common import Recent, in_batches, portions, stash, texts
 
 CAPACITY = 4096
 CLOSING = 1
-MEMO = 800_000  # pre-tokens whose ids a worker remembers
+MEMO = 400_000  # pre-tokens whose ids a worker remembers
 # Fixed value: how the tokenizer file splits normalised text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _worker: dict = {}
