@@ -114,12 +114,12 @@ def caption_fit(spark, sf):
 
 
 RESOLVED = PROJECTS + """,
-profile_dim(profile, family, token_limit, mode, thr, max_tags, rating, chars, vlm, prefix, pos, shuffle) AS (VALUES
-    ('pony_v6', 'sdxl', 75, 'tags', 0.35, 40, true, true, false, 'source_anime', 'prefix', true),
-    ('sdxl_base', 'sdxl', 75, 'hybrid', 0.4, 20, false, false, true, '', 'after_character', true),
-    ('flux1_dev', 'flux', 512, 'natural', 0.4, 30, false, false, true, '', 'after_character', true),
-    ('animagine_xl', 'sdxl', 75, 'tags', 0.35, 40, true, true, false, '', 'after_character', true),
-    ('illustrious', 'sdxl', 75, 'tags', 0.35, 40, false, true, false, '', 'after_character', true)),
+profile_dim(profile, family, token_limit, mode, thr, max_tags, rating, chars, vlm, prefix, pos, shuffle, quality) AS (VALUES
+    ('pony_v6', 'sdxl', 75, 'tags', 0.35, 40, true, true, false, 'source_anime', 'prefix', true, 3),
+    ('sdxl_base', 'sdxl', 75, 'hybrid', 0.4, 20, false, false, true, '', 'after_character', true, 0),
+    ('flux1_dev', 'flux', 512, 'natural', 0.4, 30, false, false, true, '', 'after_character', true, 0),
+    ('animagine_xl', 'sdxl', 75, 'tags', 0.35, 40, true, true, false, '', 'after_character', true, 4),
+    ('illustrious', 'sdxl', 75, 'tags', 0.35, 40, false, true, false, '', 'after_character', true, 2)),
 clean AS (SELECT * REPLACE (CASE WHEN profile = 'mystery' THEN 'illustrious' ELSE profile END AS profile,
     CASE WHEN lora_type = 'odd' THEN 'character' ELSE lora_type END AS lora_type) FROM projects),
 resolved AS (SELECT c.project_id, c.class_word, c.profile, c.lora_type, d.family, d.token_limit,
@@ -129,7 +129,7 @@ resolved AS (SELECT c.project_id, c.class_word, c.profile, c.lora_type, d.family
     CASE WHEN trim(coalesce(o_block_tag, ',')) = ',' THEN 'white rectangle' ELSE 'white box, grey' END AS block_tag,
     CASE WHEN o_vlm_tags IS NULL OR o_vlm_tags = 'bad' THEN 'off' ELSE o_vlm_tags END AS vlm_tags, o_use_wd14 AS use_wd14,
     d.chars AND c.lora_type <> 'style' AS include_character_tags, d.rating AS include_rating, d.vlm AS use_vlm, d.prefix AS prefix_tags,
-    d.pos AS rating_position, d.shuffle AS shuffle_caption,
+    d.pos AS rating_position, d.shuffle AS shuffle_caption, CASE WHEN coalesce(o_add_quality_tags, false) THEN d.quality ELSE 0 END AS quality_tags, coalesce(o_nl_position, '') <> 'after_tags' AS text_first,
     CASE c.lora_type WHEN 'character' THEN 'hair_color,eye_color' WHEN 'style' THEN 'style_medium' ELSE '' END AS prune_groups
   FROM clean c JOIN profile_dim d ON d.profile = c.profile)"""
 _SHOWN = ["project_id", "profile", "lora_type", "family", "token_limit", "caption_mode", "general_threshold", "max_tags", "trigger",
@@ -141,7 +141,7 @@ def settings_resolved(spark, sf):
     return C.resolve_settings(projects(spark, sf)).select(*_SHOWN)
 
 
-@query("profile_switch", f"""WITH {RESOLVED} SELECT project_id, lora_type, trigger, class_word, 'sdxl_base' AS profile, 'sdxl' AS family,
+@query("profile_switch", f"""WITH {RESOLVED} SELECT project_id, lora_type, trigger, class_word, '' AS blacklist, 'server' AS vlm_engine, '' AS vlm_cli_model, 'sdxl_base' AS profile, 'sdxl' AS family,
     'hybrid' AS caption_mode, 0.4::DOUBLE AS general_threshold, 20 AS max_tags, false AS include_character_tags FROM resolved""")
 def profile_switch(spark, sf):
     return C.switch_profile(C.resolve_settings(projects(spark, sf)), F.lit("sdxl_base"))
@@ -163,7 +163,7 @@ def settings_rejected(spark, sf):
 
 @query("training_hints", f"""WITH {RESOLVED} SELECT project_id, caption_mode NOT IN ('natural', 'trigger_only') AS shuffle_caption,
     CASE WHEN caption_mode IN ('natural', 'trigger_only') THEN 0 ELSE CAST(trigger <> '' AS INT) + CASE WHEN prefix_tags = '' THEN 0 ELSE 1 END
-      + CAST(include_rating AND rating_position = 'prefix' AS INT) + CAST(caption_mode = 'hybrid' AS INT) END AS keep_tokens FROM resolved""")
+      + CAST(include_rating AND rating_position = 'prefix' AS INT) + CAST(quality_tags AS INT) + CAST(caption_mode = 'hybrid' AND text_first AS INT) END AS keep_tokens FROM resolved""")
 def training_hints(spark, sf):
     return C.hint_columns(C.resolve_settings(projects(spark, sf)))
 
@@ -183,7 +183,6 @@ def policy_flag(spark, sf):
 
 @query("policy_split", f"WITH {FLAGGED} SELECT project_id, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS excluded FROM flagged GROUP BY 1")
 def policy_split(spark, sf):
-    kept, excluded = P.policy_split(items(spark, sf), **VOCABULARY)
-    both = kept.select("project_id", F.lit(1).alias("k"), F.lit(0).alias("x")).union(
-        excluded.select("project_id", F.lit(0), F.lit(1)))
-    return both.groupBy("project_id").agg(F.sum("k").alias("kept"), F.sum("x").alias("excluded"))
+    reason = P.policy_flag(F.col("tags"), F.col("rating"), F.col("nl"), **VOCABULARY)
+    flagged = items(spark, sf).select("project_id", reason.alias("reason"))
+    return flagged.groupBy("project_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count("reason").alias("excluded"))

@@ -79,7 +79,8 @@ projects AS (SELECT c_custkey AS project_id,
     CASE WHEN c_nationkey % 3 > 0 THEN ' T' || c_custkey || ' ' END AS o_trigger,
     CASE c_nationkey % 3 WHEN 0 THEN ' white box ,, grey ' WHEN 1 THEN ' , ' END AS o_block_tag,
     CASE c_nationkey % 7 WHEN 0 THEN 'merge' WHEN 1 THEN 'bad' WHEN 2 THEN 'only' END AS o_vlm_tags,
-    c_nationkey % 2 = 0 AS o_use_wd14, c_name AS class_word FROM customer)"""
+    c_nationkey % 2 = 0 AS o_use_wd14, CASE WHEN c_nationkey % 3 < 2 THEN c_nationkey % 3 = 0 END AS o_add_quality_tags,
+    CASE c_custkey % 3 WHEN 1 THEN 'after_tags' WHEN 2 THEN 'sideways' END AS o_nl_position, c_name AS class_word FROM customer)"""
 
 
 def projects(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +98,8 @@ def projects(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 3 > 0, F.concat(F.lit(" T"), F.col("c_custkey").cast("string"), F.lit(" "))).alias("o_trigger"),
         F.when(n % 3 == 0, " white box ,, grey ").when(n % 3 == 1, " , ").alias("o_block_tag"),
         F.when(n % 7 == 0, "merge").when(n % 7 == 1, "bad").when(n % 7 == 2, "only").alias("o_vlm_tags"),
-        (n % 2 == 0).alias("o_use_wd14"), F.col("c_name").alias("class_word"))
+        (n % 2 == 0).alias("o_use_wd14"), F.when(n % 3 < 2, n % 3 == 0).alias("o_add_quality_tags"),
+        F.when(F.col("c_custkey") % 3 == 1, "after_tags").when(F.col("c_custkey") % 3 == 2, "sideways").alias("o_nl_position"), F.col("c_name").alias("class_word"))
 
 
 # ------------------------------------------------------------------ tag_scores: one row per prediction

@@ -21,6 +21,7 @@ CAPTION_MODES = ["tags", "natural", "hybrid", "trigger_only"]
 VLM_TAG_MODES = ["off", "extra", "merge", "only"]
 VLM_ENGINES = ["server", "claude", "codex"]
 TOKEN_LIMITS = {"sd15": 75, "sdxl": 75, "anima": 512, "flux": 512}
+ONE_OF = {"vlm_engine": VLM_ENGINES, "nl_position": ["before_tags", "after_tags"]}
 KEPT_ON_PROFILE_SWITCH = ["trigger", "class_word", "blacklist", "vlm_engine", "vlm_cli_model"]
 
 _SIMPLE = {"questionable": "nsfw", "explicit": "nsfw"}
@@ -147,26 +148,50 @@ def profile_table(spark: SparkSession) -> DataFrame:
         "rating_map map<string,string>"))
 
 
+def _default(key: str) -> Column:
+    """The default of a key by the column ``profile``: that of the base where the profile says nothing."""
+    own = [x for name, p in PROFILES.items() if key in p["defaults"] for x in (F.lit(name), F.lit(p["defaults"][key]))]
+    return F.coalesce(F.create_map(*own)[F.col("profile")], F.lit(BASE[key])) if own else F.lit(BASE[key])
+
+
+def _setting(key: str, columns: list[str]) -> Column:
+    """A key that is not repaired in a way of its own: the override, where there is one of the key's type, else the default."""
+    default, override = _default(key), f"o_{key}"
+    if override not in columns:
+        return default.alias(key)
+    kind = {bool: "boolean", float: "double", int: "int"}.get(type(BASE[key]), "string")
+    value = F.col(override).cast("string")
+    value = F.nullif(F.trim(value), F.lit("")) if key == "nl_position" else value.try_cast(kind)
+    if key in ONE_OF:
+        value = F.when(value.isin(ONE_OF[key]), value)
+    return F.coalesce(value, default).alias(key)
+
+
 def one_of(value: Column, allowed: list[str], fallback: Any) -> Column:
     return F.when(value.isin(list(allowed)), value).otherwise(fallback if isinstance(fallback, Column) else F.lit(fallback))
 
 
+# Keys that resolve_settings derives in a way of their own.
+RESOLVED_KEYS = {"profile", "lora_type", "caption_mode", "general_threshold", "max_tags", "trigger", "block_tag", "vlm_tags", "use_wd14", "include_character_tags", "prune_groups"}
+
+
 def resolve_settings(projects: DataFrame) -> DataFrame:
     """Cascade override -> training kind -> profile -> base, with type repair, for a table of project overrides.
 
     ``projects`` has project_id, profile, lora_type and the nullable text overrides o_general_threshold, o_max_tags,
-    o_caption_mode, o_trigger, o_block_tag, o_vlm_tags and o_use_wd14. The profile side has nine rows by construction.
+    o_caption_mode, o_trigger, o_block_tag, o_vlm_tags and o_use_wd14; of any other key an override o_<key> may be given. All keys are in the
+    result. The profile side has nine rows by construction.
     """
     p = projects.withColumn("profile", one_of(F.col("profile"), list(PROFILES), BASE["profile"])) \
                 .withColumn("lora_type", one_of(F.col("lora_type"), list(PRUNE_BY_LORA_TYPE), "character"))
-    joined = p.join(F.broadcast(profile_table(projects.sparkSession)), "profile")
+    dims = profile_table(projects.sparkSession).drop("include_rating", "use_vlm", "quality_tags", "prefix_tags", "character_threshold")
+    joined = p.join(F.broadcast(dims), "profile")
     kinds = F.create_map(*[x for k, v in PRUNE_BY_LORA_TYPE.items() for x in (F.lit(k), F.lit(",".join(v)))])
     pieces = F.filter(F.transform(F.split("o_block_tag", ","), lambda x: F.trim(x)), lambda x: x != "")
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     return joined.select(
         *[c for c in projects.columns if not c.startswith("o_") and c not in ("profile", "lora_type")],
-        "profile", "lora_type", "family", "token_limit", "include_rating", "use_vlm", "quality_tags", "prefix_tags",
-        "rating_position", "shuffle_caption", "rating_map", "character_threshold",
+        "profile", "lora_type", "family", "token_limit", "rating_position", "shuffle_caption", "rating_map",
         F.when(F.col("o_caption_mode").isNull(), F.col("p_caption_mode"))
         .otherwise(one_of(F.col("o_caption_mode"), CAPTION_MODES, "tags")).alias("caption_mode"),
         unit(F.coalesce(F.col("o_general_threshold").try_cast("double"), "p_general_threshold")).alias("general_threshold"),
@@ -176,7 +201,8 @@ def resolve_settings(projects: DataFrame) -> DataFrame:
         one_of(F.coalesce("o_vlm_tags", F.lit("off")), VLM_TAG_MODES, "off").alias("vlm_tags"),
         F.coalesce("o_use_wd14", F.lit(BASE["use_wd14"])).alias("use_wd14"),
         (F.col("p_character_tags") & (F.col("lora_type") != "style")).alias("include_character_tags"),
-        kinds[F.col("lora_type")].alias("prune_groups"))
+        kinds[F.col("lora_type")].alias("prune_groups"),
+        *[_setting(k, projects.columns) for k in BASE if k not in RESOLVED_KEYS and k not in projects.columns])
 
 
 def switch_profile(resolved: DataFrame, new_profile: Column, kept: list[str] = KEPT_ON_PROFILE_SWITCH) -> DataFrame:
@@ -213,5 +239,6 @@ def hint_columns(resolved: DataFrame) -> DataFrame:
     off = F.col("caption_mode").isin("natural", "trigger_only") | ~F.col("shuffle_caption")
     rated = F.col("include_rating") & F.col("rating_map").isNotNull() & (F.col("rating_position") == "prefix")
     keep = ((F.col("trigger") != "").cast("int") + F.size(split_tags(F.col("prefix_tags"))) + rated.cast("int")
-            + (F.col("caption_mode") == "hybrid").cast("int"))
+            + F.when(F.col("add_quality_tags"), F.size(split_tags(F.col("quality_tags")))).otherwise(0)
+            + ((F.col("caption_mode") == "hybrid") & (F.col("nl_position") == "before_tags")).cast("int"))
     return resolved.select("project_id", (~off).alias("shuffle_caption"), F.when(off, 0).otherwise(keep).alias("keep_tokens"))
