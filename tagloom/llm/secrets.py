@@ -5,8 +5,8 @@ unwrapped in turn, until no new layer appears:
 
 * URL: the layer with every run of %XX decoded (UTF-8);
 * Unicode: the layer with every \\uXXXX, \\UXXXXXXXX and \\xXX replaced;
-* base64: each run of MIN_BASE64 or more characters of the standard or URL-safe alphabet, where it decodes to text or to a compressed layer;
-* gzip, zlib or zstandard data inside base64, where it expands to text.
+* base64: each run of MIN_BASE64 or more characters of the standard or URL-safe alphabet: the stretches of text in what it decodes to;
+* gzip, zlib or zstandard data inside base64: the stretches of text in what all its members and frames expand to.
 
 A layer that was seen before, by digest, is not entered again, which ends cycles (an archive that contains itself). Each layer knows for
 each of its characters which part of the original text it came from, so that spans always refer to the original text, in code points.
@@ -15,13 +15,13 @@ Kinds: ``assign`` is a key word, a separator and a value of 6 or more characters
 characters; ``hex`` is 24 or more lower-case hexadecimal digits. Matches are leftmost and do not overlap within a kind and layer.
 
 Defined cases: null counts as the empty text; a text without a secret has an empty list. Spans found in several layers at the same place
-are one span, marked as base if the text itself shows it. A compressed layer is expanded up to LAYER_BYTES, so that an archive bomb can't fill
-a worker; what lies beyond is not scanned. Repeated rows get equal answers.
+are one span, marked as base if the text itself shows it. A compressed layer is expanded to its end, in blocks that end with a line, so that an
+archive bomb takes time but can't fill a worker. Where LAYER_BYTES of it have no such end, blocks overlap by OVERLAP: only a run that is itself
+longer than that can be cut. zstandard frames that need a window over 128 MB, the library's bound, are not expanded. Repeated rows get equal answers.
 """
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -37,7 +37,11 @@ from .common import in_batches
 
 KINDS = ("assign", "access", "hex")
 MIN_BASE64 = 16
-LAYER_BYTES = 64 << 20
+LAYER_BYTES = 64 << 20  # of an expanded layer that has no end of a line to cut at, at most
+BLOCK = 1 << 20  # bytes of an expanded layer that are scanned together
+OVERLAP = 1 << 20
+STEP = 1024  # compressed bytes fed at a time: at most 32 MB come out
+SHORTEST = 12  # characters of the shortest secret
 MASK = "[SECRET]"
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -47,7 +51,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more are the leftmost m
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
-_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�]")
+_ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_INNER_ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|\A\x78[\x01\x5e\x9c\xda]")
+_PRINTED = re.compile(rb"(?:[\t-\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
+_TAIL = re.compile(rb"[A-Za-z0-9+/_-]{4}[ \t]*\r?\Z")
+_HEAD = re.compile(rb"[ \t]*(?:[A-Za-z0-9+/_-]|\Z)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,40 +69,119 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _expand(data: bytes) -> bytes | None:
-    """Contents of gzip, zlib or zstandard data, else None."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj(47).decompress(data, LAYER_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return next(iter(zstandard.ZstdDecompressor(max_window_size=LAYER_BYTES).read_to_iter(data, write_size=LAYER_BYTES)), b"")
-    except (zlib.error, zstandard.ZstdError, MemoryError):
-        pass
-    return None
+def _machine(head: bytes):
+    """A decompressor of the member or frame that begins so, else None."""
+    if _ARCHIVE.match(head):
+        return zlib.decompressobj(47) if head[0] in b"\x1f\x78" else zstandard.ZstdDecompressor().decompressobj()
+    return zstandard.ZstdDecompressor().decompressobj() if head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5 else None  # a skippable frame
+
+
+def _expanded(chunks: Iterator[bytes], used: list[int]) -> Iterator[bytes]:
+    """Contents of all gzip, zlib or zstandard members and frames that follow each other, zeros between them left out; up to the damage where
+    data is damaged. Little is fed at a time, so that what comes out at once is bounded. ``used``: bytes read up to the end of a member."""
+    pieces = (c[i:i + STEP] for c in chunks for i in range(0, len(c), STEP))
+    held, read = next(pieces, b""), 0
+    while True:
+        while len(held) < 4 and (more := next(pieces, b"")):
+            held += more
+        machine = _machine(held)
+        if machine is None:
+            zeros = len(held) - len(held.lstrip(b"\0"))
+            if not zeros or not read:
+                return
+            held, read = held[zeros:], read + zeros
+            continue
+        try:
+            while held and not machine.eof:
+                out = machine.decompress(held)
+                read += len(held) - len(machine.unused_data if machine.eof else b"")
+                held = machine.unused_data if machine.eof else next(pieces, b"")
+                if out:
+                    yield out
+        except (zlib.error, zstandard.ZstdError, MemoryError):
+            return
+        if not machine.eof:
+            return
+        used[0] = max(used[0], used[1] + read)
+
+
+def _skipped(chunks: Iterator[bytes], n: int) -> Iterator[bytes]:
+    for c in chunks:
+        if n < len(c):
+            yield c[n:]
+        n = max(0, n - len(c))
+
+
+def _line_end(held: bytearray) -> int:
+    """The end of the last line that neither a secret nor an encoded run goes on after, 0 if there is none."""
+    at = len(held) - 1
+    while (at := held.rfind(b"\n", 0, at)) > 0:
+        if not (_TAIL.search(held[max(0, at - 80):at]) and _HEAD.match(held[at + 1:at + 81])):
+            return at + 1
+    return 0
+
+
+def _blocks(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes): all bytes in blocks that end with a line; what has no such end in LAYER_BYTES is cut anywhere, and OVERLAP is read twice."""
+    held, at, limit = bytearray(), 0, BLOCK
+    for c in chunks:
+        held += c
+        if len(held) >= limit:
+            cut = _line_end(held)
+            if cut or len(held) >= LAYER_BYTES:
+                yield at, bytes(held[:cut or len(held)])
+                cut = cut or len(held) - OVERLAP
+                del held[:cut]
+                at += cut
+            limit = max(BLOCK, 2 * len(held))
+    if held:
+        yield at, bytes(held)
+
+
+def _unwrapped(source, place, magic: re.Pattern, seen: set, streamed: bool = False):
+    """(text, start, end) of the printed stretches of bytes and, whatever their size, of what archives in them expand to. ``source()`` reads
+    the bytes anew; ``place(start, end)`` is the origin of a part of them."""
+    used = 0
+    for at, block in _blocks(source()):
+        for m in _PRINTED.finditer(block):
+            text = m.group().decode("utf-8", "replace")
+            if len(text) >= SHORTEST:
+                yield text, *place(at + m.start(), at + m.end())
+        for m in magic.finditer(block):
+            p = at + m.start()
+            if p < used:
+                continue
+            ends = [p, p]
+            inner = lambda p=p, ends=ends: _expanded(_skipped(source(), p), ends)
+            first, whole = bytearray(), True
+            for c in inner():
+                first += c
+                if len(first) > BLOCK:
+                    whole = False
+                    break
+            mark = None
+            if whole:
+                inner, mark = (lambda data=bytes(first): iter((data,))), hashlib.blake2b(first)
+            elif streamed:
+                mark = hashlib.blake2b()
+                for c in inner():
+                    mark.update(c)
+            if first and (mark is None or (mark := mark.digest()) not in seen):
+                seen.add(mark)
+                origin = place(p, None)
+                yield from _unwrapped(inner, lambda *_, o=origin: o, _INNER_ARCHIVE, seen, not whole)
+            used = max(used, ends[0])
 
 
 def _as_text(data: bytes) -> str | None:
-    """Bytes as text, after any number of compressions; None if they are no text."""
-    seen = set()
-    while (inner := _expand(data)) is not None:
-        if (mark := hashlib.blake2b(data).digest()) in seen:
-            return None
-        seen.add(mark)
-        data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROLS.search(text) else text
-
-
-def _decoded(run: str) -> str | None:
+    """The first text in bytes, after any number of compressions."""
+    return next((text for text, *_ in _unwrapped(lambda: iter((data,)), lambda a, b: (a, b), _ARCHIVE, set())), None)
+
+
+def _bytes(run: str) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     body = body[:len(body) - (len(body) % 4 == 1)]
-    try:
-        return _as_text(base64.b64decode(body + "=" * (-len(body) % 4)))
-    except (binascii.Error, ValueError):
-        return None
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
 def _escapes(run: str) -> str:
@@ -125,6 +212,9 @@ def _rewritten(text: str, pattern: re.Pattern, decode, starts: np.ndarray, ends:
             b.append(np.full(len(new), ends[m.end() - 1]))
         at = m.end()
     parts.append(text[at:])
+    if not starts.strides[0]:  # one origin for all
+        new = "".join(parts)
+        return new, np.broadcast_to(starts[0], len(new)), np.broadcast_to(ends[0], len(new))
     return "".join(parts), np.concatenate([*a, starts[at:]]), np.concatenate([*b, ends[at:]])
 
 
@@ -135,9 +225,10 @@ def _layers(text: str, starts: np.ndarray, ends: np.ndarray):
     if "\\" in text and _UNICODE.search(text):
         yield _rewritten(text, _UNICODE, _escapes, starts, ends)
     for m in _BASE64.finditer(text):
-        inner = _decoded(m.group())
-        if inner:
-            yield inner, np.full(len(inner), starts[m.start()]), np.full(len(inner), ends[m.end() - 1])
+        origin = starts[m.start()], ends[m.end() - 1]
+        data = _bytes(m.group())
+        for inner, a, b in _unwrapped(lambda: iter((data,)), lambda *_: origin, _ARCHIVE, set()):
+            yield inner, np.broadcast_to(a, len(inner)), np.broadcast_to(b, len(inner))
 
 
 def find(text: str | None) -> list[tuple[int, int, int, bool]]:
@@ -146,15 +237,18 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
     found = {span: True for span in base_spans(text)}
     if "%" in text or "\\" in text or _BASE64.search(text):
         places = np.arange(len(text) + 1)
-        work, seen = [(text, places[:-1], places[1:])], {hashlib.blake2b(text.encode("utf-8", "replace")).digest()}
-        while work:
-            for layer, starts, ends in _layers(*work.pop()):
-                mark = hashlib.blake2b(layer.encode("utf-8", "replace") + f"\0{starts[0]}:{ends[-1]}".encode() if layer else b"").digest()
-                if layer and mark not in seen:
-                    seen.add(mark)
-                    work.append((layer, starts, ends))
-                    for start, kind, end in base_spans(layer):
-                        found.setdefault((int(starts[start]), kind, int(ends[end - 1])), False)
+        work, seen = [_layers(text, places[:-1], places[1:])], {hashlib.blake2b(text.encode("utf-8", "replace")).digest()}
+        while work:  # the deepest first, so that one block of each layer above is held
+            layer, starts, ends = next(work[-1], (None, None, None))
+            if layer is None:
+                work.pop()
+                continue
+            mark = hashlib.blake2b(layer.encode("utf-8", "replace") + f"\0{starts[0]}:{ends[-1]}".encode() if layer else b"").digest()
+            if layer and mark not in seen:
+                seen.add(mark)
+                work.append(_layers(layer, starts, ends))
+                for start, kind, end in base_spans(layer):
+                    found.setdefault((int(starts[start]), kind, int(ends[end - 1])), False)
     return [(a, k, b, base) for (a, k, b), base in sorted(found.items())]
 
 

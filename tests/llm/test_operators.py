@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 
 from tagloom.llm import bpe, exact, language, minhash, packing, quality, repeats, secrets, simhash, toxicity
 from tagloom.llm.graph import components
@@ -419,3 +420,19 @@ def test_quality_without_both_labels(spark):
     model = quality.fit(np.zeros((3, len(quality.FEATURES))), np.ones(3))
     assert np.allclose(model.scores(np.array([quality.features("any"), quality.features(None)])), quality.CUT)
     assert len(quality.features("a b c ")) == len(quality.features("")) == len(quality.FEATURES)
+
+
+def printed_noise(size):
+    """Text that hardly compresses, in lines without secrets or encoded runs."""
+    drawn = np.random.default_rng(9)
+    return b"".join(drawn.choice(np.frombuffer(b"bcdefgh ,.(", np.uint8), 60).tobytes() + b".\n" for _ in range(size // 62))
+
+
+@pytest.mark.parametrize("packed", [
+    lambda z: zstandard.compress(printed_noise(540_000) + z), lambda z: zstandard.compress(b"first frame ") + zstandard.compress(z),
+    lambda z: gzip.compress(b"hello my pass") + b"\0" * 5 + gzip.compress(b"word=hunter22"), lambda z: gzip.compress(("é" * 200_001).encode() + b"\n" + z),
+    lambda z: gzip.compress(zstandard.compress(printed_noise(3_000_000) + z)),
+    lambda z: gzip.compress(b"words of a line.\n" * ((secrets.LAYER_BYTES + 100_000) // 17) + z), lambda z: zlib.compress(b"x" * (secrets.LAYER_BYTES + 100_000) + b" " + z)])
+def test_compressed_layers_to_their_end(packed):
+    text = "see " + base64.b64encode(packed(b"password=hunter22")).decode() + " end"
+    assert secrets.find(text) == [(4, 0, len(text) - 4, False)]
