@@ -5,8 +5,10 @@ unwrapped in turn, until no new layer appears:
 
 * URL: the layer with every run of %XX decoded (UTF-8);
 * Unicode: the layer with every \\uXXXX, \\UXXXXXXXX and \\xXX replaced;
-* base64: each run of MIN_BASE64 or more characters of the standard or URL-safe alphabet: the stretches of text in what it decodes to;
-* gzip, zlib or zstandard data inside base64: the stretches of text in what all its members and frames expand to.
+* base64: each run of MIN_BASE64 or more characters of the standard or URL-safe alphabet, in one line or over lines whose ends are removed, decoded
+  at its four offsets: the stretches of text in the bytes;
+* gzip, zlib or zstandard data anywhere in such bytes or in those of runs of %XX, \\xXX and \\u00XX with plain characters between: the stretches of text
+  in what all its members and frames expand to.
 
 A layer that was seen before, by digest, is not entered again, which ends cycles (an archive that contains itself). Each layer knows for
 each of its characters which part of the original text it came from, so that spans always refer to the original text, in code points.
@@ -26,6 +28,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,14 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more are the leftmost m
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_LINE_END = r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+"
+_BREAK = re.compile(_LINE_END)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:%s[A-Za-z0-9+/_-]++)++={0,2}" % _LINE_END)
+_URL_BYTES = re.compile(r"""[x(]?(?:%[0-9A-Fa-f]{2}[^\s%"<>\\]*+)++""")
+_ESCAPED_BYTES = re.compile("|".join(rf"""{quote}[x(]?(?:\\(?:(?:x|u00)[0-9A-Fa-f]{{2}}|[abfnrtv0\\'"]){plain}*+)++""" for quote, plain in (
+    ("(?<=')", r"[ -&(-\[\]-~]"), ('(?<=")', r"[ !#-\[\]-~]"), ("", r"[ -\[\]-~]"))))  # up to the closing quote, where one opened just before
+_ESCAPE = re.compile(rb"""\\(?:(?:x|u00)([0-9A-Fa-f]{2})|([abfnrtv0\\'"]))""")
+_SHORT = dict(zip((bytes([b]) for b in b"abfnrtv0\\'\""), (bytes([b]) for b in b"\a\b\f\n\r\t\v\0\\'\"")))
 _ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 _INNER_ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\x28\xb5\x2f\xfd|\A\x78[\x01\x5e\x9c\xda]")
 _PRINTED = re.compile(rb"(?:[\t-\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
@@ -190,6 +201,10 @@ def _escapes(run: str) -> str:
     return "".join(chr(p) if p < 0x110000 else "�" for p in points).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _escaped_bytes(run: str) -> bytes:
+    return _ESCAPE.sub(lambda m: bytes([int(m[1], 16)]) if m[1] else _SHORT[m[2]], run.encode("utf-8", "replace"))
+
+
 def _unquoted(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
@@ -218,16 +233,42 @@ def _rewritten(text: str, pattern: re.Pattern, decode, starts: np.ndarray, ends:
     return "".join(parts), np.concatenate([*a, starts[at:]]), np.concatenate([*b, ends[at:]])
 
 
+def _from_base64(run: str):
+    """(bytes, where in the run a part of them comes from) at each of the four offsets, as what precedes base64 may look like it."""
+    size = len(run.rstrip("="))
+    for k in range(4):
+        yield _bytes(run[k:]), lambda a, b, k=k: (k + a * 4 // 3, len(run) if b is None or (e := k - (-b * 4 // 3)) >= size else e)
+
+
+def _runs(text: str):
+    """(place of each character, bytes, where in it a part of them comes from) of each run that encodes bytes."""
+    for m in _BASE64.finditer(text):
+        for found in _from_base64(m.group()):
+            yield range(m.start(), m.end()), *found
+    if "\n" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            if m.end() - m.start() > MIN_BASE64:
+                breaks = [b.span() for b in _BREAK.finditer(text, m.start(), m.end())]
+                parts = [*zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()])]
+                places = np.concatenate([np.arange(a, b) for a, b in parts])
+                if len(places) >= MIN_BASE64:
+                    for found in _from_base64("".join(text[a:b] for a, b in parts)):
+                        yield places, *found
+    for sign, pattern, decode in (("%", _URL_BYTES, unquote_to_bytes), ("\\", _ESCAPED_BYTES, _escaped_bytes)):
+        for m in pattern.finditer(text) if sign in text else ():
+            if _ARCHIVE.search(data := decode(m.group())):
+                yield range(m.start(), m.end()), data, lambda a, b, n=m.end() - m.start(): (0, n)
+
+
 def _layers(text: str, starts: np.ndarray, ends: np.ndarray):
     """What one layer unwraps to: (text, first origin of each character, end of its origin)"""
     if "%" in text and _URL.search(text):
         yield _rewritten(text, _URL, _unquoted, starts, ends)
     if "\\" in text and _UNICODE.search(text):
         yield _rewritten(text, _UNICODE, _escapes, starts, ends)
-    for m in _BASE64.finditer(text):
-        origin = starts[m.start()], ends[m.end() - 1]
-        data = _bytes(m.group())
-        for inner, a, b in _unwrapped(lambda: iter((data,)), lambda *_: origin, _ARCHIVE, set()):
+    for places, data, place in _runs(text):
+        origin = lambda a, b: (starts[places[(p := place(a, b))[0]]], ends[places[p[1] - 1]])  # noqa: E731, B023
+        for inner, a, b in _unwrapped(lambda: iter((data,)), origin, _ARCHIVE, set()):  # noqa: B023
             yield inner, np.broadcast_to(a, len(inner)), np.broadcast_to(b, len(inner))
 
 
@@ -235,7 +276,7 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base) of all secrets of a text and its layers, by start, kind and end."""
     text = text or ""
     found = {span: True for span in base_spans(text)}
-    if "%" in text or "\\" in text or _BASE64.search(text):
+    if "%" in text or "\\" in text or _BASE64.search(text) or _WRAPPED.search(text):
         places = np.arange(len(text) + 1)
         work, seen = [_layers(text, places[:-1], places[1:])], {hashlib.blake2b(text.encode("utf-8", "replace")).digest()}
         while work:  # the deepest first, so that one block of each layer above is held
