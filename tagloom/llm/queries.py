@@ -92,7 +92,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(3, 1).alias("held_out"), "text")
     model = toxicity.learn(rows.where("NOT held_out"), labels)
-    return toxicity.measured(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+    margins = toxicity.measured(rows, model, ["doc_id", "held_out"])
+    margins = stash(margins) if model else margins
+    found = toxicity.scored(margins, model, toxicity.cut(margins.where("NOT held_out"), labels) if model else 0.0)
+    return found.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
 
 
 @query("op10_repeats")

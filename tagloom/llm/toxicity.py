@@ -12,7 +12,8 @@ is a sum over the subsequences of the word, read from a table of those of the la
 
 Defined cases: null, empty or without letters: score 0. Labels of one kind only: all scores are 0. Characters between the letters of a word
 (i.d.i.o.t) and spaces between single letters are removed before comparing. Words longer than LONGEST letters are compared piece by piece,
-pieces overlapping by half. Equal texts have equal scores. At most about SAMPLES texts of each label are learned from, chosen by a hash of the text.
+pieces overlapping by half. Equal texts have equal scores. At most about SAMPLES texts of each label are learned from, chosen by a hash of the text;
+the cut is that of fewest errors over all labelled texts that may be learned from, at their own shares, whatever their number.
 """
 from __future__ import annotations
 
@@ -32,6 +33,7 @@ from .quality import sample
 ORDER = 3
 DECAY = 0.6
 POWER = 3
+BIN = 1 / 1024  # width of the margins that are counted together to find the cut
 LANDMARKS = 128
 WORDS = 4000  # words learned from in each round, at most: half of them those that tell most for toxic texts
 RIDGE = 3e-4
@@ -142,16 +144,12 @@ class Model:
     marks: list[str]  # the landmarks
     weights: np.ndarray
     bias: float
-    shift: float
     slope: float
 
     def margins(self, given: list[str]) -> np.ndarray:
         """Value of the machine at each word."""
         return similar(given, _columns(tuple(self.marks))).astype(np.float64) @ self.weights + self.bias
 
-    def score(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip((margin - self.shift) * self.slope + np.log(CUT / (1 - CUT)), -40, 40))))
-
 
 def fit(given: list[str], bad: np.ndarray, clean: np.ndarray, seed: int = 0) -> Model:
     """Support vector machine of words, all at most LONGEST letters, by the number of toxic and of clean texts that each occurs in: squared
@@ -177,7 +175,7 @@ def fit(given: list[str], bad: np.ndarray, clean: np.ndarray, seed: int = 0) ->
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(marks, root @ w[:-1], float(w[-1]), 0.0, 6.0)
+    return Model(marks, root @ w[:-1], float(w[-1]), 6.0)
 
 
 def _surplus(bad: np.ndarray, clean: np.ndarray) -> np.ndarray:
@@ -202,8 +200,7 @@ def _word_rows(texts: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
-    """From rows with doc_id and text, and a table of labels by doc_id; None if there are not both kinds. What reaches the driver are at most 3 * WORDS words
-    and one margin for each sampled text."""
+    """From rows with doc_id and text, and a table of labels by doc_id; None if there are not both kinds. What reaches the driver are at most 3 * WORDS words."""
     chosen = sample(docs.select("doc_id", F.xxhash64("text").alias("h")), labels, label)  # about 2 * SAMPLES ids
     sampled = stash(docs.join(F.broadcast(chosen), "doc_id").select("text", "label"))
     totals = {r["label"]: r["n"] for r in sampled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -223,22 +220,25 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
         if round_ < 2:
             near = _with_margins(seen.where("bad < all"), model).orderBy(F.desc("margin"), "word").limit(WORDS // 2)
             known |= {r["word"]: (r["bad"], r["all"]) for r in near.collect()}
-    got = measured(sampled, model, ["label"]).select("label", "margin").collect()
-    margins, truth = np.array([r["margin"] for r in got]), np.array([r["label"] for r in got])
-    model.shift = _edge(margins, truth)
     forget(seen)
     forget(sampled)
     return model
 
 
-def _edge(margins: np.ndarray, truth: np.ndarray) -> float:
-    """Where texts of both labels are told apart with fewest errors, in the middle of the gap there."""
-    order = np.argsort(margins, kind="stable")
-    m, t = margins[order], truth[order]
-    errors = np.concatenate([[0], np.cumsum(t)]) + (1 - t).sum() - np.concatenate([[0], np.cumsum(1 - t)])
+def cut(margins: DataFrame, labels: DataFrame, label: str = "toxic") -> float:
+    """Where the labelled ones of rows with doc_id and ``margin``, all of them, are told apart with fewest errors, in the middle of the gap there.
+    What reaches the driver are counts of each BIN of margins."""
+    known = margins.join(labels.select("doc_id", F.col(label).cast("int").alias("label")), "doc_id").where("label IN (0, 1) AND margin > double('-Infinity')")
+    bins = known.groupBy(F.floor(F.col("margin") / BIN).alias("bin")).agg(
+        F.min("margin").alias("low"), F.max("margin").alias("high"), F.sum("label").alias("bad"), F.count("*").alias("all")).orderBy("bin").collect()
+    low, high, bad, all_ = np.array([tuple(r)[1:] for r in bins], np.float64).reshape(-1, 4).T
+    if not len(low):
+        return 0.0
+    clean = all_ - bad
+    errors = np.concatenate([[0], np.cumsum(bad)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
     best = np.flatnonzero(errors == errors.min())
     i = int(best[len(best) // 2])
-    return float(m[min(i, len(m) - 1)] + m[max(i - 1, 0)]) / 2
+    return float(high[i - 1] + low[i]) / 2 if 0 < i < len(low) else float(low[0]) if not i else float(np.nextafter(high[-1] + BIN, np.inf))
 
 
 def _with_margins(rows: DataFrame, model: Model) -> DataFrame:
@@ -273,7 +273,7 @@ class Judge:
 
 
 def measured(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The kept columns of all rows, with ``margin`` (negative infinity without a word) and ``score``."""
+    """The kept columns of all rows, with ``margin``, negative infinity without a word."""
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +281,14 @@ def measured(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             margins = judge(texts) if judge else [-np.inf] * len(texts)
-            scores = [model.score(m) if np.isfinite(m) else 0.0 for m in margins]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(margins), pa.array(scores)], ["row", "margin", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(margins, pa.float64())], ["row", "margin"])
+
+    done = in_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, margin double")
+    return done.select(*[F.col(f"row.`{c}`") for c in keep], "margin")
+
 
-    done = in_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, margin double, score double")
-    return done.select(*[F.col(f"row.`{c}`") for c in keep], "margin", "score")
+def scored(margins: DataFrame, model: Model | None, shift: float) -> DataFrame:
+    """The rows with ``score``, which is CUT at the margin ``shift`` and 0 without a word."""
+    distance = (F.col("margin") - shift) * (model.slope if model else 0.0) + float(np.log(CUT / (1 - CUT)))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), distance))))
+    return margins.withColumn("score", F.when(F.col("margin") > float("-inf"), score).otherwise(0.0))

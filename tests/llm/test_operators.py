@@ -467,3 +467,14 @@ def test_long_runs_take_linear_time(run):
 
     began = time.process_time()
     assert secrets.find(run) == [] and time.process_time() - began < 20
+
+
+def test_toxicity_is_cut_over_all_labelled_rows(spark, monkeypatch):
+    """Fewest errors at the real shares of labels, also where few texts are learned from."""
+    monkeypatch.setattr(quality, "SAMPLES", 40)
+    got = {r["doc_id"]: r for r in LLM_QUERIES["op6_toxicity"](spark, BIGGER).collect()}
+    known = [(got[r["doc_id"]], r["toxic"]) for r in spark.read.parquet(f"{BIGGER}/labels.parquet").collect() if not got[r["doc_id"]]["held_out"]]
+    assert len(known) > 200
+    wrong = lambda cut: sum((r["margin"] >= cut) != y for r, y in known)
+    fewest = min(wrong(c) for c in [r["margin"] for r, _ in known] + [float("inf")])
+    assert sum(r["predicted"] != y for r, y in known) <= fewest + 1  # texts of one bin are not told apart
