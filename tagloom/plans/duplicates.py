@@ -30,7 +30,7 @@ _CLASSES = FINGERPRINTS + ", classes AS (SELECT min(id) AS id, lo, hi, sig, coun
     SELECT a, b, copies_a, copies_b, round(CAST(d AS DOUBLE), 6) AS d FROM d WHERE d <= 16""")
 def near_pairs(spark, sf):
     """Pairs of distinct fingerprints with their copy counts; copies themselves are in fingerprint_copies."""
-    classes = N.distinct_fingerprints(fingerprints(spark, sf))
+    classes = N.cut_lineage(N.distinct_fingerprints(fingerprints(spark, sf)))
     pairs = N.near_pairs(classes)
     n = classes.select("id", "copies")
     return pairs.join(n.select(F.col("id").alias("a"), F.col("copies").alias("copies_a")), "a") \
