@@ -4,99 +4,159 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .order import number_rows
+from ..session import cut_lineage
 
 Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
-BLOCK = 4096  # references held by one task at a time
+BLOCK = 1024  # references of a tile, about
+ROWS = 2048  # rows of a tile at most
+GATHER = 256  # distances of one record that may travel
+BINS = 256  # value ranges counted for one record in a pass
 
 
-def _scorer(ids: np.ndarray, heads: np.ndarray, metric: Metric):
-    """Batches of (id, embedding) -> (id, distances); a row never counts its own reference."""
+def _joined(vectors: pa.Array | pa.ChunkedArray) -> bytes:
+    flat = (vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors).flatten()
+    return np.asarray(flat, dtype=np.float64).tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                d = metric(np.stack(b["embedding"].to_numpy()).astype(np.float64), heads)
-                d[b["id"].to_numpy()[:, None] == ids[None, :]] = np.nan
-                yield pd.DataFrame({"id": b["id"], "d": [r[~np.isnan(r)] for r in d]})
 
-    return run
+def _reference_block(table: pa.Table) -> pa.Table:
+    role, block = table.column("role")[0].as_py(), table.column("block")[0].as_py()
+    ids = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))
+    return pa.table([pa.array([role]), pa.array([block], pa.int32()), ids, pa.array([_joined(table.column("embedding"))], pa.binary())],
+                    names=["role", "block", "heads", "matrix"])
+
+
+def _row_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, at most ROWS side by side in one row."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, ROWS):
+            b = whole.slice(k, ROWS)
+            listed = [pa.array([b.column(c).to_pylist()], pa.list_(b.schema.field(c).type)) for c in ("id", "role", "lo", "hi")]
+            yield pa.RecordBatch.from_arrays([*listed, pa.array([_joined(b.column("embedding"))], pa.binary())], ["id", "role", "lo", "hi", "rows"])
 
 
-def _blocks(heads: DataFrame, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """References in blocks of a bounded size. Usually one; more references only add blocks."""
-    first = heads.limit(size + 1).toPandas()
-    if len(first) <= size:
-        parts = [first] if len(first) else []
+def _distances(t: dict, metric: Metric) -> np.ndarray:
+    """Distances of a tile. What does not count is NaN: a reference to itself, and negatives for rows outside the pool."""
+    shape = lambda b, n: np.frombuffer(b, np.float64).reshape(n, -1)
+    d = np.array(metric(shape(t["rows"], len(t["id"])), shape(t["matrix"], len(t["heads"]))), dtype=np.float64)
+    if t["head_role"] == "neg":
+        d[[r != "pool" for r in t["role"]]] = np.nan
     else:
-        n = number_rows(heads, ["id"], "_n").withColumn("_b", F.floor((F.col("_n") - 1) / size))
-        total = n.agg(F.max("_b")).first()[0]
-        parts = [n.where(F.col("_b") == i).select("id", "embedding").toPandas() for i in range(total + 1)]
-    return [(p["id"].to_numpy(), np.stack(p["embedding"].to_numpy()).astype(np.float64)) for p in parts]
+        at = {h: j for j, h in enumerate(t["heads"])}
+        for i, (key, role) in enumerate(zip(t["id"], t["role"])):
+            if role == "ref" and key in at:
+                d[i, at[key]] = np.nan
+    return d
 
 
-def _distances(rows: DataFrame, blocks: list[tuple[np.ndarray, np.ndarray]], metric: Metric) -> DataFrame:
-    """(id, d array<double>): one scan of ``rows`` per block of references."""
-    parts = [rows.mapInPandas(_scorer(i, m, metric), "id long, d array<double>") for i, m in blocks]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("id").agg(F.flatten(F.collect_list("d")).alias("d"))
+def _gathered(metric: Metric, id_type: pa.DataType):
+    """Distances between lo and hi to references, in order; the smallest distance to a negative."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.to_pylist():
+                d, n = _distances(t, metric), len(t["id"])
+                if t["head_role"] == "neg":
+                    low = np.fmin.reduce(d, axis=1)
+                    values, neg = [[]] * n, [None if np.isnan(x) else x for x in low.tolist()]
+                else:
+                    ok = (d >= np.asarray(t["lo"])[:, None]) & (d <= np.asarray(t["hi"])[:, None])
+                    values, neg = [d[i, ok[i]] for i in range(n)], [None] * n
+                yield pa.RecordBatch.from_arrays([pa.array(t["id"], id_type), pa.array(values, pa.list_(pa.float64())), pa.array(neg, pa.float64())], ["id", "v", "neg"])
 
-def median(d: str):
-    s, n = F.sort_array(d), F.size(d)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
+    return run
 
 
-def _one_pass(refs: tuple, negs: tuple | None, metric: Metric):
-    """Scores straight from the matrices while all references fit in one block."""
-    ids, heads = refs
+def _binned(metric: Metric, id_type: pa.DataType):
+    """How many distances fall into each part of lo..hi, with the smallest and the largest; an endless range has one part for all finite ones."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                rows = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                d = metric(rows, heads)
-                d[b["id"].to_numpy()[:, None] == ids[None, :]] = np.nan
-                some = ~np.isnan(d).all(1)
-                score = np.full(len(b), np.nan)
-                score[some] = np.nanmedian(d[some], axis=1)
-                neg = np.full(len(b), np.nan)
-                pool = (b["role"] == "pool").to_numpy()
-                if negs is not None and pool.any():
-                    neg[pool] = metric(rows[pool], negs[1]).min(1)
-                nulls = lambda a: pd.Series(a).astype(object).where(~np.isnan(a), None)
-                yield b.drop(columns="embedding").reset_index(drop=True).assign(score=nulls(score), neg_score=nulls(neg))
+            for t in b.to_pylist():
+                d, lo, hi = _distances(t, metric), np.asarray(t["lo"])[:, None], np.asarray(t["hi"])[:, None]
+                row, col = np.nonzero((d >= lo) & (d <= hi))
+                v, lo, hi = d[row, col], lo[row, 0], hi[row, 0]
+                part = 1 + np.isposinf(v) - np.isneginf(v)  # of an endless range
+                ends = np.isfinite(lo) & np.isfinite(hi)
+                share = (v[ends] / 2 - lo[ends] / 2) / np.maximum(hi[ends] / 2 - lo[ends] / 2, np.finfo(float).tiny)  # halves: no overflow
+                part[ends] = np.minimum(BINS - 1, share * BINS).astype(np.int64)
+                key = row * BINS + part
+                order = np.lexsort((v, key))
+                key, v = key[order], v[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                n = np.diff(np.append(first, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(t["id"], id_type).take(pa.array(key[first] // BINS)), pa.array(key[first] % BINS), pa.array(n),
+                                                  pa.array(v[first]), pa.array(v[first + n - 1])], ["id", "part", "n", "low", "high"])
 
     return run
 
 
-def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+def _tiles(rows: DataFrame, heads: DataFrame, blocks: int) -> DataFrame:
+    """Every tile of rows next to every block of references: an equi-join on the number of the block, which Spark broadcasts if the references
+    are small and splits where a block meets many tiles."""
+    listed = ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in ("id", "role", "lo", "hi"))
+    packed = rows.select("id", "role", "lo", "hi", "embedding").mapInArrow(_row_tiles, listed + ", rows binary")
+    return packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(heads, "block")
+
+
+def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK, carry: tuple[str, ...] = (), gather: int = GATHER) -> DataFrame:
     """id, role, carried columns, score = median distance to the references, neg_score = smallest distance to a negative.
 
-    References are compared with the *other* references. Without references every score is null. Up to ``size``
-    references and negatives go to every task (a bounded matrix) and one scan without a shuffle does it all; beyond
-    that, blocks of references are scanned one after another and their distances gathered per record.
+    References are compared with the *other* references; without references every score is null. ``features``: id, role (pool, ref or neg),
+    embedding. Blocks of about ``size`` references meet tiles of rows, and no task holds more than one of each. The median is exact without
+    an array of all distances: while more than ``gather`` of a record's distances may be the median, a pass counts them by value range and keeps
+    the range that holds the middle ranks; then the few that are left travel and are sorted. Equal distances end a range at once.
     """
-    of = lambda role: features.where(F.col("role") == role).select("id", "embedding")
-    rows = features.where(F.col("role") != "neg")
-    refs, negs = _blocks(of("ref"), size), _blocks(of("neg"), size)
+    id_type = pa.string() if features.schema["id"].dataType.simpleString() == "string" else pa.int64()
+    kept, id_sql = features.where(F.col("role") != "neg"), features.schema["id"].dataType.simpleString()
+    sizes = {r["role"]: r["n"] for r in features.where(F.col("role") != "pool").groupBy("role").agg(F.count("*").alias("n")).collect()}
     null = F.lit(None).cast("double")
-    if not refs:
-        return rows.select("id", "role", *carry, null.alias("score"), null.alias("neg_score"))
-    if len(refs) == 1 and len(negs) <= 1:
-        plain = rows.select("id", "role", *carry, "embedding")
-        schema = plain.drop("embedding").schema.simpleString()[7:-1] + ", score double, neg_score double"
-        return plain.mapInPandas(_one_pass(refs[0], negs[0] if negs else None, metric), schema)
-    near = _distances(rows.select("id", "embedding"), refs, metric)
-    out = rows.select("id", "role", *carry).join(near.select("id", median("d").alias("score")), "id", "left")
-    if not negs:
-        return out.withColumn("neg_score", null)
-    far = _distances(of("pool"), negs, metric)
-    return out.join(far.select("id", F.array_min("d").alias("neg_score")), "id", "left")
+    if not sizes.get("ref"):
+        return kept.select("id", "role", *carry, null.alias("score"), null.alias("neg_score"))
+    blocks = -(-max(sizes.values()) // size)
+    numbered = features.where(F.col("role") != "pool").select("id", "role", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    heads = cut_lineage(numbered.groupBy("role", "block").applyInArrow(_reference_block, f"role string, block int, heads array<{id_sql}>, matrix binary"))
+    heads = heads.withColumnRenamed("role", "head_role")
+    refs = heads.where("head_role = 'ref'")
+    all_values = [F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")]
+    state = kept.select("id", "role", "embedding", *all_values, F.lit(sizes["ref"]).cast("long").alias("left"), F.lit(None).cast("long").alias("k1"),
+                        F.lit(None).cast("long").alias("k2"), null.alias("v1"), null.alias("v2"))
+    most = sizes["ref"]
+    while most > gather:
+        wide = state.where((F.col("left") > gather) & (F.col("v1").isNull() | F.col("v2").isNull()))
+        parts = _tiles(wide, refs, blocks).mapInArrow(_binned(metric, id_type), f"id {id_sql}, part long, n long, low double, high double") \
+            .groupBy("id", "part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        state = cut_lineage(_narrowed(state, parts, gather))
+        most = state.where(F.col("v1").isNull() | F.col("v2").isNull()).agg(F.max("left")).first()[0] or 0
+    open_ = state.withColumn("hi", F.when(F.col("v1").isNotNull() & F.col("v2").isNotNull(), F.lit(float("-inf"))).otherwise(F.col("hi")))  # settled: no values
+    found = _tiles(open_, heads, blocks).mapInArrow(_gathered(metric, id_type), f"id {id_sql}, v array<double>, neg double")
+    found = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("v"), F.min("neg").alias("neg_score"))
+    at = lambda k, half: F.get("v", F.coalesce(k, half).cast("int"))
+    low = F.coalesce("v1", at(F.col("k1"), F.floor((F.size("v") - 1) / 2)))
+    high = F.coalesce("v2", at(F.col("k2"), F.floor(F.size("v") / 2)))
+    scores = state.select("id", "k1", "k2", "v1", "v2").join(found, "id").select("id", ((low + high) / 2).alias("score"), "neg_score")
+    return kept.select("id", "role", *carry).join(scores, "id", "left")
+
+
+def _narrowed(state: DataFrame, parts: DataFrame, gather: int) -> DataFrame:
+    """The state after a pass: the middle ranks k1 and k2 among the values left, the range that holds them, or their values."""
+    order = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
+    ranked = parts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("id")))
+    ranked = ranked.join(state.select("id", "k1", "k2"), "id").withColumns({
+        "k1": F.coalesce("k1", F.floor((F.col("total") - 1) / 2)), "k2": F.coalesce("k2", F.floor(F.col("total") / 2))})
+    inside = lambda k: (F.col(k) >= F.col("before")) & (F.col(k) < F.col("before") + F.col("n"))
+    known = lambda k: F.when(inside(k), F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col(k) == F.col("before"), F.col("low"))
+                             .when(F.col(k) == F.col("before") + F.col("n") - 1, F.col("high")))
+    hit = ranked.where(inside("k1") | inside("k2")).withColumns({"v1": known("k1"), "v2": known("k2")})
+    still = F.when((inside("k1") & F.col("v1").isNull()) | (inside("k2") & F.col("v2").isNull()), F.struct("low", "high", "n", "before"))
+    best = hit.withColumn("range", still).groupBy("id").agg(F.max("v1").alias("w1"), F.max("v2").alias("w2"), F.max("range").alias("range"),
+                                                           F.max("k1").alias("j1"), F.max("k2").alias("j2"))
+    off = F.coalesce("range.before", F.lit(0))
+    none = F.col("j1").isNull() & F.col("v1").isNull() & (F.col("left") > gather)  # no distance at all
+    return state.join(best, "id", "left").select(
+        "id", "role", "embedding", F.coalesce("range.low", "lo").alias("lo"), F.coalesce("range.high", "hi").alias("hi"), F.when(none, 0).otherwise(F.coalesce("range.n", "left")).alias("left"),
+        F.coalesce(F.col("j1") - off, "k1").alias("k1"), F.coalesce(F.col("j2") - off, "k2").alias("k2"), F.coalesce("v1", "w1").alias("v1"), F.coalesce("v2", "w2").alias("v2"))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions.vectors import euclidean
@@ -86,19 +87,45 @@ def test_pack(spark):
     assert list(r) == [40, 40, 20] and sorted(got[got.root == "big"]["batch"]) == [0, 0, 1, 1]
 
 
-def test_scores_in_blocks(spark):
+def plain_scores(d, role):
+    """Median to the other references, and the smallest to a negative for the pool."""
+    refs, negs, out = [i for i, r in enumerate(role) if r == "ref"], [i for i, r in enumerate(role) if r == "neg"], {}
+    for i, r in enumerate(role):
+        others = [d[i, j] for j in refs if j != i]
+        if r != "neg":
+            out[i] = (round(float(np.median(others)), 5) if others else None, round(float(min(d[i, j] for j in negs)), 5) if negs and r == "pool" else None)
+    return out
+
+
+def scored(df, **k):
+    return {r.id: (r.score if r.score is None else round(r.score, 5), r.neg_score if r.neg_score is None else round(r.neg_score, 5)) for r in SC.ref_scores(df, euclidean, **k).collect()}
+
+
+@pytest.mark.parametrize("refs, size, gather", [(7, 1024, 256), (7, 3, 256), (40, 8, 5), (41, 1024, 1), (1, 5, 0)])
+def test_scores_in_blocks(spark, refs, size, gather):
+    """One block or many; distances gathered at once, or the middle ranks found by counting first."""
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(60, 8))
-    role = ["ref"] * 7 + ["neg"] * 3 + ["pool"] * 50
-    df = spark.createDataFrame(pd.DataFrame({"id": range(60), "role": role, "embedding": [list(map(float, x)) for x in v]}), "id long, role string, embedding array<float>")
-    for size in (4096, 3):
-        got = {r.id: (round(r.score, 5), r.neg_score and round(r.neg_score, 5)) for r in SC.ref_scores(df, euclidean, size).collect()}
-        d = np.linalg.norm(v[:, None] - v[None], axis=2)
-        assert got[20] == (round(float(np.median(d[20, :7])), 5), round(float(d[20, 7:10].min()), 5))
-        assert got[0] == (round(float(np.median(d[0, 1:7])), 5), None)
+    v = rng.normal(size=(refs + 33, 8)).astype(np.float32).astype(float)
+    v[refs // 2 : refs] = v[0] if refs > 10 else v[refs // 2 : refs]  # a crowd of equal references
+    role = ["ref"] * refs + ["neg"] * 3 + ["pool"] * 30
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(v)), "role": role, "embedding": [list(map(float, x)) for x in v]}), "id long, role string, embedding array<float>")
+    assert scored(df, size=size, gather=gather) == plain_scores(np.linalg.norm(v[:, None] - v[None], axis=2), role)
+
+
+def test_scores_of_odd_distances(spark):
+    """Far apart by many orders of magnitude, endless, or no distance at all; string ids; no references."""
+    d = {f"r{k}": x for k, x in enumerate([0.0, 1e-300, 1e-9, 1.0, 2.0, 1e300, 1.7e308, float("inf"), float("inf"), 3.0])}
+    rows = [(k, "ref", [x]) for k, x in d.items()] + [("p", "pool", [0.0]), ("q", "pool", [float("nan")])]
+    df = spark.createDataFrame(rows, "id string, role string, embedding array<double>")
+    metric = lambda a, b: np.abs(b.T - a * 0)
+    got = {r.id: r.score for r in SC.ref_scores(df, metric, size=4, gather=1).collect()}
+    want = sorted(d.values())
+    assert got["p"] == (want[4] + want[5]) / 2 and got["q"] is None
+    for k, x in d.items():
+        rest = sorted(y for j, y in d.items() if j != k)
+        assert x == float("inf") or got[k] == rest[4]  # inf * 0 is no distance
     assert SC.ref_scores(df.where("role = 'pool'")).where("score is not null").count() == 0
 
-
 def test_decisions(spark):
     s = M.Session(threshold=0.2, people_mode="crop", recover=0.1, include=["a"], exclude=["b"])
     rows = [(1, 0.2, None, None, None, ["a"]), (2, 0.2, 0.2, None, None, ["a"]), (3, 0.25, None, None, "found", ["a"]), (4, 0.1, None, -1, None, ["a"]),
