@@ -1,14 +1,14 @@
 """From a file listing to records."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.tags import canon_text, collapse_sql, each, only, quoted, strip_sql, tidy
+from .scans import Machine, scan
 
 
 def parse_sidecar(text: Column, trigger: str = "") -> tuple[Column, Column]:
@@ -61,30 +61,45 @@ def url_entries(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumn("name", F.when(ok, named)).withColumn("reason", F.when(~ok, "http only"))
 
 
-def _pack(files: int, size: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, total, batch = None, 0, 0, 0
-        for b in batches:
-            out = []
-            for r, f, s in zip(b["root"], b["files"], b["size"]):
-                if r != now:
-                    now, n, total, batch = r, 0, 0, 0
-                elif n >= files or total > size:
-                    n, total, batch = 0, 0, batch + 1
-                n, total = n + f, total + s
-                out.append(batch)
-            yield b.assign(batch=out)
-
-    return run
+def packing(files: int, size: float) -> Machine:
+    """Greedy batches; the state is the files, bytes and number of the open batch. Where a batch starts decides all that follows, and the open batch
+    of an earlier row closes within ``files`` rows, so a stretch of rows is told by what becomes of those few possible starts."""
+
+    def step(state, f: int, s: int):
+        n, total, batch = state or (0, 0, 0)
+        if state and (n >= files or total > size):
+            n, total, batch = 0, 0, batch + 1
+        return (n + f, total + s, batch), (batch,)
+
+    def summary(rows: list[tuple]):
+        count, nbytes = (np.concatenate([[0], np.cumsum([r[k] for r in rows], dtype=np.int64)]) for k in (0, 1))
+        onward = np.minimum(np.searchsorted(count, count + files, "left"), np.searchsorted(nbytes, nbytes + size, "right"))  # next start after a start
+        last, closed = np.arange(len(rows) + 1), np.zeros(len(rows) + 1, np.int64)
+        for p in range(len(rows) - 1, -1, -1):
+            if onward[p] < len(rows):
+                last[p], closed[p] = last[onward[p]], closed[onward[p]] + 1
+        k = min(files, len(rows)) + 1
+        return count[:k], nbytes[:k], count[-1] - count[last[:k]], nbytes[-1] - nbytes[last[:k]], closed[:k], (len(rows), count[-1], nbytes[-1])
+
+    def advance(told, state):
+        count, nbytes, n_out, size_out, closed, (rows, n_all, size_all) = told
+        n, total, batch = state or (0, 0, 0)
+        start, more = 0, 0
+        if state:
+            shut = np.flatnonzero((n + count >= files) | (total + nbytes > size))
+            if not len(shut) or shut[0] >= rows:
+                return n + int(n_all), total + int(size_all), batch
+            start, more = shut[0], 1
+        return int(n_out[start]), int(size_out[start]), batch + more + int(closed[start])
+
+    return Machine(step, summary, advance)
 
 
 def pack_batches(files: DataFrame, count: int = 40, size: float = 80e6) -> DataFrame:
     """Upload batches per root in stem order: a batch with 40 files or over 80 MB closes at the next stem.
 
-    Greedy packing is a scan. Files are first reduced to one row per stem, then each root streams through a task in
-    order with three numbers of state.
+    Files are first reduced to one row per stem. Greedy packing is a scan, and a root may lie over any number of tasks.
     """
     stems = files.withColumn("stem_key", P.stem(F.col("path"))).groupBy("root", "stem_key").agg(
         F.count("*").alias("files"), F.sum("size").alias("size"))
-    ordered = stems.repartition("root").sortWithinPartitions("root", "stem_key")
-    return ordered.mapInPandas(_pack(count, size), ordered.schema.simpleString()[7:-1] + ", batch long")
+    return scan(stems, ["root"], ["stem_key"], ["files", "size"], packing(count, size), {"batch": ("long", pa.int64())})

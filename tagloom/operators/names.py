@@ -1,14 +1,16 @@
 """Collision-free export names, exact for any amount of collisions and without per-group tasks."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .order import positions
+from .scans import Machine, scan
 
 
 def unique_names(df: DataFrame, group: list[str], order: list[str], name: str = "name", out: str = "unique") -> DataFrame:
@@ -20,22 +22,37 @@ def unique_names(df: DataFrame, group: list[str], order: list[str], name: str =
     return p.withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(numbered)).drop("_k", "_n")
 
 
-def _scan_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per parent, in slot order: is the literal name already used when the parent's counter reaches it?
+def skipping() -> Machine:
+    """Per parent, in slot order: is the literal name already used when the parent's counter reaches it? The state is the number of skipped slots.
 
-    Constant state per parent (the number of skipped slots so far), so a parent with many literal children streams.
+    A slot is skipped by states below some bound, so over a stretch of rows the skips fall as the entering state grows: they are the bounds, as
+    bounds on the entering state, that lie above it.
     """
-    now, skipped = None, 0
-    for b in batches:
-        flags, shift = [], []
-        for g, p, slot, used, own in zip(b["g"], b["p"], b["slot"], b["used"], b["own"]):
-            if (g, p) != now:
-                now, skipped = (g, p), 0
-            skip = slot - skipped - own > used
-            skipped += skip
-            flags.append(skip)
-            shift.append(skipped)
-        yield b[["g", "p", "k", "slot"]].assign(skip=flags, shift=shift)
+
+    def step(skipped, slot: int, used: int, own: int):
+        skipped = skipped or 0
+        skip = slot - skipped - own > used
+        return skipped + skip, (skip, skipped + skip)
+
+    def summary(rows: list[tuple]):
+        bounds: list[int] = []  # sorted; entering with s skips as many slots as there are bounds above s
+        for slot, used, own in rows:
+            low, high = slot - own - used - len(bounds) - 1, slot - own - used
+            while low < high:  # the first entering state that comes to this row with no skip left to make
+                mid = (low + high) // 2
+                if mid + len(bounds) - bisect_right(bounds, mid) >= slot - own - used:
+                    high = mid
+                else:
+                    low = mid + 1
+            if low > 0:
+                insort(bounds, low)
+        return np.array(bounds, np.int64)
+
+    def advance(bounds, skipped):
+        skipped = skipped or 0
+        return skipped + len(bounds) - int(np.searchsorted(bounds, skipped, "right"))
+
+    return Machine(step, summary, advance)
 
 
 def unique_stems(df: DataFrame, group: str, order: str, base: str = "base", out: str = "stem") -> DataFrame:
@@ -89,16 +106,14 @@ def _resolve(rows: DataFrame, rel: DataFrame, order: str) -> tuple[DataFrame, Da
     marks = rel.select("g", "p", F.col("f").alias("at"), F.lit(0).alias("use"), "k")
     counted = positions(uses.unionByName(marks), ["g", "p"], ["at", "use", "k"], "used", F.col("use"))
     todo = cut_lineage(rel.join(counted.where("use = 0").select("g", "p", "k", "used"), ["g", "p", "k"]))
-    schema = "g string, p string, k string, slot long, skip boolean, shift long"
-    types = dict(todo.dtypes)
-    schema = schema.replace("g string", f"g {types['g']}")
     skips = own = None
     while todo.limit(1).count():
         inner = todo.select("g", F.col("k").alias("p")).distinct()
         now = todo.join(inner, ["g", "p"], "left_anti")
         now = now.join(own.select("g", F.col("k").alias("p"), "own"), ["g", "p"], "left") if own is not None else now.withColumn("own", F.lit(0).cast("long"))
         ready = now.withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).select("g", "p", "k", "slot", "used", "own")
-        done = cut_lineage(ready.repartition("g", "p").sortWithinPartitions("g", "p", "slot").mapInPandas(_scan_slots, schema))
+        told = scan(ready, ["g", "p"], ["slot", "k"], ["slot", "used", "own"], skipping(), {"skip": ("boolean", pa.bool_()), "shift": ("long", pa.int64())})
+        done = cut_lineage(told.select("g", "p", "k", "slot", "skip", "shift"))
         gone, taken = done.where("skip"), done.where("not skip").select("g", "k", F.lit(1).cast("long").alias("own"))
         skips = gone if skips is None else skips.unionByName(gone)
         own = taken if own is None else own.unionByName(taken)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
     """Range-partitioned and sorted by ``keys``, with partition number and row index; written once, so both passes see
     the same partitions even if an executor is lost."""
     spread = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
@@ -18,7 +18,7 @@ def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """1-based global row number. The order must be total. The offset table has one row per partition."""
-    r = _ranged(df, order)
+    r = ranged(df, order)
     sizes = r.groupBy("_pid").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
@@ -35,7 +35,7 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str = "po
     partition, whatever the data. ``first`` names a column whose value in the group's first row is added as "first".
     """
     value = F.lit(1).cast("long") if running is None else running.cast("long")
-    r = _ranged(df.withColumn("_v", value), group + order)
+    r = ranged(df.withColumn("_v", value), group + order)
     key = F.struct(*[F.col(g) for g in group])
     ends = r.groupBy("_pid").agg(F.min_by(key, "_idx").alias("_a"), F.max_by(key, "_idx").alias("_b"))
     edge = ends.select("_pid", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_g"))
