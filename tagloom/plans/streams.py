@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import runs as U
 from ..streaming import jobs as J
 from ..streaming import trace as T
+from ..streaming import ttl as TTL
 from .registry import query
 from .views import TRACE, table, trace
 
@@ -45,9 +46,36 @@ def events_sliding(spark, sf):
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, epoch_us(min(ts)) AS start, {_N} FROM s GROUP BY user_id, k""")
 def events_session(spark, sf):
-    """Sessions with a two-hour gap; complete mode, so the sessions still open at the end of input are in the result."""
-    s = T.windowed(events(spark, sf), "1 hour", F.session_window("ts", "2 hours"), ["user_id"])
-    return J.drain_complete(s.select("user_id", F.unix_micros("w.start").alias("start"), "n", "cents"), "session")
+    """Sessions with a two-hour gap in append mode: the watermark closes a session, the end of input closes the open ones."""
+    def closed(e):
+        s = T.windowed(e, "1 hour", F.session_window("ts", "2 hours"), ["user_id"])
+        return s.select("user_id", F.unix_micros("w.start").alias("start"), "n", "cents")
+
+    return J.drain_closed(events(spark, sf).select("user_id", "ts", "cents"), closed, "session")
+
+
+@query("cache_sights", """WITH RECURSIVE ordered AS (SELECT user_id || '/' || event_type AS key, epoch_us(ts) AS ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    walk AS (SELECT key, ts, event_id, n, ts AS stored, event_id AS value, false AS hit FROM ordered WHERE n = 1
+      UNION ALL SELECT o.key, o.ts, o.event_id, o.n, CASE WHEN o.ts // 1000 - w.stored // 1000 < 86400000 THEN w.stored ELSE o.ts END,
+        CASE WHEN o.ts // 1000 - w.stored // 1000 < 86400000 THEN w.value ELSE o.event_id END, o.ts // 1000 - w.stored // 1000 < 86400000
+      FROM walk w JOIN ordered o ON o.key = w.key AND o.n = w.n + 1)
+    SELECT key, value, hit, count(*) AS sights FROM walk GROUP BY ALL""")
+def cache_sights(spark, sf):
+    """Hits and misses of a cache whose entries live for a day, as keyed state that timers free."""
+    e = events(spark, sf).select(F.concat_ws("/", "user_id", "event_type").alias("key"), "ts", F.col("event_id").alias("value"))
+    with J.timed_state(spark):
+        seen = J.drain_append(TTL.cached(e, days=1), "cache", "update")
+    return seen.groupBy("key", "value", "hit").agg(F.count("*").alias("sights"))
+
+
+@query("silent_runs", """SELECT user_id AS run_id, epoch_us(max(ts)) // 1000 AS updated_ms, arg_max(event_type, (ts, event_type = 'purchase')) <> 'purchase' AND max(epoch_us(ts)) // 1000 + 259200000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) AS stale
+    FROM events GROUP BY 1""")
+def silent_runs(spark, sf):
+    """Runs that have not been heard of for three days when the stream ends and have not ended themselves; timers find them."""
+    e = events(spark, sf).select(F.col("user_id").alias("run_id"), "ts", (F.col("event_type") == "purchase").alias("ended"))
+    with J.timed_state(spark):
+        found = J.drain_update(TTL.silent(e, 3 * 86400), "silent", ["run_id"])
+    return found.select("run_id", F.unix_millis("updated_at").alias("updated_ms"), "stale")
 
 
 @query("stream_dedup", "SELECT user_id, event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day FROM events GROUP BY ALL")

@@ -1,56 +1,94 @@
 """Running a stream to the end of its input and reading the result back."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.stats import latest
 from ..session import checkpoint_folder
+from .ttl import ROCKS
+
+END = "9999-01-01 00:00:00"  # event time of the row that ends an input
 
 
 def _place(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
-def drain_append(stream: DataFrame, name: str) -> DataFrame:
-    """Append-mode stream into a Parquet folder in the shared checkpoint area."""
+def drain_append(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All rows that a stream emits, in a folder of the shared checkpoint area with one part for a micro-batch. ``mode`` is that of the operators."""
     spark, place = stream.sparkSession, _place(stream.sparkSession, name)
-    q = stream.writeStream.format("parquet").option("path", place + "/rows").option("checkpointLocation", place + "/state") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(place + "/rows")
+    if mode == "append":
+        q = stream.writeStream.format("parquet").option("path", place + "/rows").option("checkpointLocation", place + "/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(place + "/rows")
+    _drain(stream, place, mode)
+    return _batches(stream, place).drop("batch")
 
 
-def drain_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Update-mode stream: every micro-batch appends its changes with a batch number, the newest per key is the result.
-
-    Rewriting a batch after a failure overwrites that batch's own folder, so the result stays exact.
-    """
-    spark, place = stream.sparkSession, _place(stream.sparkSession, name)
-
+def _drain(stream: DataFrame, place: str, mode: str):
+    """Runs a stream to its end. Rewriting a batch after a failure overwrites that batch's own folder, so the result stays exact."""
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/rows/batch={epoch}")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", place + "/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", place + "/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.parquet(place + "/rows")
-    return latest(rows, keys, ["batch"]).drop("batch")
+    return q
 
 
-def drain_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Complete-mode stream: the whole result of the last micro-batch."""
-    spark, place = stream.sparkSession, _place(stream.sparkSession, name)
-    last = []
+def _batches(stream: DataFrame, place: str) -> DataFrame:
+    """The rows of all batches with their number; none if no batch ran."""
+    spark, schema = stream.sparkSession, StructType([*stream.schema.fields, StructField("batch", LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place + "/rows")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(place + "/rows")
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={epoch}")
-        last.append(epoch)
 
-    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", place + "/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{place}/rows/batch={max(last)}")
+@contextmanager
+def timed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that state with timers needs, for the streams started inside; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def drain_update(stream: DataFrame, name: str, keys: list[str], progress: list[dict] | None = None) -> DataFrame:
+    """Update-mode stream: the newest row of each key. ``progress`` receives what the query reported of its batches."""
+    place = _place(stream.sparkSession, name)
+    q = _drain(stream, place, "update")
+    if progress is not None:
+        progress += [json.loads(p.json) for p in q.recentProgress]
+    return latest(_batches(stream, place), keys, ["batch"]).drop("batch")
+
+
+def drain_closed(events: DataFrame, closed: Callable[[DataFrame], DataFrame], name: str, time: str = "ts") -> DataFrame:
+    """Append-mode stream of what the watermark closes, and at the end of the input of all that is still open.
+
+    ``closed`` aggregates ``events`` under a watermark. The end of input is told by one late-dated row without keys, from a folder that is read next
+    to the events and empty until they have run out: it moves the watermark past every open window, and its own never closes.
+    """
+    spark, place = events.sparkSession, _place(events.sparkSession, name)
+    end = spark.createDataFrame([(END,)], "t string").select(F.to_timestamp("t").alias(time))
+    end = end.select(*[F.col(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    end.limit(0).write.parquet(place + "/end")
+    stream = closed(events.unionByName(spark.readStream.schema(end.schema).parquet(place + "/end")))
+    for last in (False, True):
+        if last:
+            end.coalesce(1).write.mode("append").parquet(place + "/end")
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", place + "/rows").option("checkpointLocation", place + "/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(place + "/rows")
 
 
 def append_missing(stream: DataFrame, target: str, key: str, compute: Callable[[DataFrame], DataFrame], state: str):

@@ -17,7 +17,6 @@ from tagloom.sources import export as X
 from tagloom.sources import files as S
 from tagloom.streaming import jobs as J
 from tagloom.streaming import trace as T
-from tagloom.streaming import ttl
 
 
 def png(path, a):
@@ -149,16 +148,3 @@ def test_incremental_append(spark, tmp_path):
         spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").parquet(src)
         J.append_missing(spark.readStream.schema("id long").parquet(src), out, "id", lambda d: d.withColumn("f", F.col("id") * 2), state).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
-
-
-def test_cache_lifetime(spark, tmp_path):
-    day = 86400
-    pd_rows = [("k", 0, 1), ("k", 24 * day, 2), ("k", 25 * day, 3), ("j", 5, 9)]
-    spark.createDataFrame(pd_rows, "key string, at long, value long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        s = ttl.cached(spark.readStream.schema("key string, at long, value long").parquet(str(tmp_path / "in")))
-        rows = J.drain_update(s, "ttl", ["key", "at"]).orderBy("key", "at").collect()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert [(r.key, r.value, r.hit) for r in rows] == [("j", 9, False), ("k", 1, False), ("k", 1, True), ("k", 3, False)]

@@ -9,6 +9,8 @@ from tagloom.operators import names as NM
 from tagloom.operators import runs as U
 from tagloom.sources import files as S
 from tagloom.streaming import jobs as J
+from tagloom.streaming import trace as T
+from tagloom.streaming import ttl
 from pyspark.sql import functions as F
 
 
@@ -19,7 +21,7 @@ def parts(spark, sf, tmp_path_factory):
     return str(where)
 
 
-@pytest.mark.parametrize("name", ["events_tumbling", "events_sliding", "events_session", "stream_dedup", "trace_last_stream"])
+@pytest.mark.parametrize("name", ["events_tumbling", "events_sliding", "events_session", "stream_dedup", "trace_last_stream", "cache_sights", "silent_runs"])
 def test_folder_of_part_files(spark, parts, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -70,3 +72,60 @@ def test_append_missing_computes_each_id_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
         J.append_missing(stream, target, "id", compute, str(tmp_path / f"state{k}")).awaitTermination()
     assert spark.read.parquet(target).count() == 20
+
+
+def arrivals(spark, folder, batches, schema):
+    """One file, and so one micro-batch, for each list of rows; days since 2024 become times."""
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("day") * 86400)).drop("day")
+        df.coalesce(1).write.parquet(f"{folder}/{k:03d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(folder))
+
+
+def days(at):
+    return (at - __import__("datetime").datetime(2024, 1, 1)).total_seconds() / 86400
+
+
+def test_cached_keys_expire(spark, tmp_path):
+    """A key is a hit within 25 days and a miss after; when the watermark has passed, its state is gone."""
+    batches = [[("k", 0.0, 1), ("j", 0.5, 9), ("k", 0.25, 7)], [("k", 24.0, 2)], [("k", 25.0, 3)], [("z", 60.0, 4)], [("z", 61.0, 5)]]
+    progress = []
+    with J.timed_state(spark):
+        s = ttl.cached(arrivals(spark, tmp_path / "in", batches, "key string, day double, value long"))
+        rows = J.drain_update(s, "ttl", ["key", "ts"], progress).where("ts is not null").collect()
+    assert sorted((r.key, days(r.ts), r.value, r.hit) for r in rows) == [
+        ("j", 0.5, 9, False), ("k", 0.0, 1, False), ("k", 0.25, 1, True), ("k", 24.0, 1, True), ("k", 25.0, 3, False), ("z", 60.0, 4, False), ("z", 61.0, 4, True)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in progress if p["stateOperators"])
+    assert max(held) > held[-1] and removed > 0  # k and j went, z is left
+
+
+def test_timers_report_silent_runs(spark, tmp_path):
+    """Run 1 falls silent, run 2 comes back, run 3 has ended, run 4 keeps the watermark going."""
+    batches = [[(1, 0.0, False), (2, 0.0, False), (3, 0.0, False), (3, 0.5, True)], [(4, 4.0, False)], [(4, 4.5, False)], [(4, 5.0, False), (2, 4.9, False)], [(4, 6.0, False)]]
+    with J.timed_state(spark):
+        s = ttl.silent(arrivals(spark, tmp_path / "in", batches, "run_id long, day double, ended boolean"), 3 * 86400)
+        told = J.drain_append(s, "silent", "update").collect()
+    told = sorted((r.run_id, days(r.updated_at), r.stale) for r in told)
+    assert told == [(1, 0.0, False), (1, 0.0, True), (2, 0.0, False), (2, 0.0, True), (2, 4.9, False), (3, 0.5, False), (4, 4.0, False), (4, 4.5, False), (4, 5.0, False), (4, 6.0, False)]
+
+
+def test_sessions_close_by_watermark_and_at_the_end(spark, tmp_path):
+    batches = [[(1, 0.0, 5), (1, 0.05, 5)], [(2, 1.0, 1)], [(2, 1.05, 1), (1, 1.06, 2)]]
+    events = arrivals(spark, tmp_path / "in", batches, "user_id long, day double, cents long")
+
+    def closed(e):
+        return T.windowed(e, "1 hour", F.session_window("ts", "2 hours"), ["user_id"]).select("user_id", "w.start", "n", "cents")
+
+    rows = J.drain_closed(events, closed, "sessions").collect()
+    assert sorted((r.user_id, days(r.start), r.n, r.cents) for r in rows) == [(1, 0.0, 2, 10), (1, 1.06, 1, 2), (2, 1.0, 2, 2)]
+
+
+def test_streams_without_input(spark, tmp_path):
+    spark.createDataFrame([], "run_id long, ts timestamp, ended boolean").write.parquet(str(tmp_path / "none"))
+    empty = spark.readStream.schema("run_id long, ts timestamp, ended boolean").parquet(str(tmp_path / "none"))
+    with J.timed_state(spark):
+        assert J.drain_update(ttl.silent(empty, 60), "none", ["run_id"]).count() == 0
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ttl.ROCKS
+    counted = lambda e: T.windowed(e.select("run_id", "ts", F.lit(1).alias("cents")), "1 hour", F.session_window("ts", "2 hours"), ["run_id"]).select("run_id", "n")
+    assert J.drain_closed(empty, counted, "none").count() == 0
