@@ -147,10 +147,12 @@ def _scored(tags: Column, general: Column) -> Column:
                                              "cast(g.score as double) AS s, cast(null as string) AS t)")
     rows = F.concat(scores, each(tags, f"(t, i) -> struct(lower({canon_sql('t')}) AS k, true AS tag, i AS i, "
                                        "cast(null as double) AS s, t AS t)"))
-    attached = let(F.sort_array(rows), (
-        "a -> aggregate(a, struct(cast(array() as array<struct<tag:boolean,i:int,t:string,k:string,score:double>>) AS done, cast(null as string) AS k, cast(null as double) AS s), "
-        "(acc, x) -> struct(CASE WHEN x.tag THEN array_append(acc.done, struct(true AS tag, x.i AS i, x.t AS t, x.k AS k, CASE WHEN acc.k = x.k THEN acc.s END AS score)) ELSE acc.done END AS done, "
-        "CASE WHEN x.tag THEN acc.k ELSE x.k END AS k, CASE WHEN x.tag THEN acc.s ELSE x.s END AS s), acc -> acc.done)"))
+    last = let(F.sort_array(rows), "a -> filter(a, (x, j) -> x.tag OR coalesce(get(a, j + 1).tag OR get(a, j + 1).k <> x.k, true))")
+    # Equal names now stand side by side, the score first. It is handed on over distances of 1, 2, 4 ... so that no step depends on all before it.
+    attached = let(last, (
+        "a -> aggregate(sequence(0, cast(ceil(log2(greatest(size(a), 1))) as int)), transform(a, x -> x.s), "
+        "(s, j) -> transform(s, (v, i) -> coalesce(v, CASE WHEN get(a, i - shiftleft(1, j)).k = get(a, i).k THEN get(s, i - shiftleft(1, j)) END)), "
+        "s -> transform(a, (x, i) -> struct(x.tag AS tag, x.i AS i, x.t AS t, x.k AS k, get(s, i) AS score)))"))
     return only(attached, "x -> x.tag")
 
 

@@ -8,6 +8,7 @@ from ..functions import paths as P
 from ..operators.names import unique_stems
 from ..operators.order import number_rows, positions
 from ..operators.policy import policy_split
+from .captions import CaptionFiles
 
 
 def prepare(items: DataFrame, **vocabulary) -> DataFrame:
@@ -48,8 +49,10 @@ def write_jsonl(named: DataFrame, path: str) -> None:
 
 
 def write_captions(manifest_: DataFrame, path: str) -> None:
-    """Captions as Parquet keyed by target path, spread by path so that no task writes everything."""
-    manifest_.select("caption_path", "caption").write.mode("overwrite").parquet(path)
+    """One text file for each record at its ``caption_path`` below ``path``, with the caption and a line end."""
+    spark = manifest_.sparkSession
+    spark.dataSource.register(CaptionFiles)
+    manifest_.select("caption_path", "caption").write.format(CaptionFiles.name()).option("path", path).mode("append").save()
 
 
 def snapshot(items: DataFrame, project: str, order: list[str]) -> DataFrame:

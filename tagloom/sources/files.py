@@ -3,16 +3,20 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import paths as P
 from ..functions.vectors import dct_matrix
+from ..session import cut_lineage
 
 # ---- fixed values for region detection ----
 GRID_W, GRID_H, CELL = 96, 54, 4
@@ -33,22 +37,104 @@ def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+RANGE = 64 << 20  # stored bytes of the members that a task reads from one archive
+CELL_MAX = 1 << 30  # bytes of a member that fit a cell
+
+
+class _Seekable(io.RawIOBase):
+    """A file of any store as zipfile expects it: a place in front of the file is an OSError."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        try:
+            self.file.seek(offset, whence)
+        except pa.ArrowInvalid as e:
+            raise OSError(str(e)) from e
+        return self.file.tell()
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def _opened(path: str) -> zipfile.ZipFile:
+    """An archive read by seeking, so that only what is asked for is fetched. Any store that Arrow knows by its address."""
+    store, inner = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    return zipfile.ZipFile(io.BufferedReader(_Seekable(store.open_input_file(inner)), 1 << 16))
+
+
+def _ranges(most: int):
+    """Stretches of members of an archive, from its directory alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path in b.column("path").to_pylist():
+                try:
+                    with _opened(path) as z:
+                        start, held = 0, 0
+                        members = z.infolist()
+                    for k, info in enumerate(members):
+                        if held and held + info.compress_size > most:
+                            out.append((path, start, k, None))
+                            start, held = k, 0
+                        held += info.compress_size
+                    out.append((path, start, len(members), None))
+                except (zipfile.BadZipFile, NotImplementedError, ValueError):
+                    out.append((path, 0, 0, "corrupt archive"))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["archive", "first", "past", "error"])
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(archive: str, path: str | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
+        values = zip((archive, path, content, error), (pa.string(), pa.string(), pa.binary(), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["archive", "path", "content", "error"])
+
     for b in batches:
-        for path, content in zip(b["path"], b["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():  # one member at a time
-                        if not info.is_dir():
-                            yield pd.DataFrame({"archive": [path], "path": [info.filename], "content": [z.read(info)], "error": [None]})
-            except zipfile.BadZipFile:
-                yield pd.DataFrame({"archive": [path], "path": [None], "content": [None], "error": ["corrupt archive"]})
-
-
-def read_archives(spark: SparkSession, pattern: str) -> DataFrame:
-    """Members of zip files as rows; a broken archive becomes an error row."""
-    zips = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    rows = zips.mapInPandas(_members, "archive string, path string, content binary, error string")
+        for r in b.to_pylist():
+            if r["error"]:
+                yield row(r["archive"], None, None, r["error"])
+                continue
+            with _opened(r["archive"]) as z:
+                for info in z.infolist()[r["first"] : r["past"]]:  # one member at a time
+                    if info.is_dir():
+                        continue
+                    try:
+                        if info.file_size > CELL_MAX:
+                            raise ValueError("member too large")
+                        yield row(r["archive"], info.filename, z.read(info), None)
+                    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                        yield row(r["archive"], info.filename, None, "corrupt member")
+                    except ValueError as e:
+                        yield row(r["archive"], info.filename, None, str(e))
+
+
+def read_archives(spark: SparkSession, pattern: str, stretch: int = RANGE) -> DataFrame:
+    """Members of zip files as rows. An archive of any size is split by its directory into stretches of about ``stretch`` stored bytes, which tasks
+    read side by side, each by seeking to its own members. A broken archive, and a member that is broken or over 1 GB, becomes an error row."""
+    found = spark.read.format("binaryFile").load(pattern).select("path")  # no contents
+    ranges = found.mapInArrow(_ranges(stretch), "archive string, first long, past long, error string")
+    spread = cut_lineage(ranges).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive", "first")
+    rows = spread.mapInArrow(_members, "archive string, path string, content binary, error string")
     return rows.where(F.col("error").isNotNull() | P.is_wanted(F.col("path")))
 
 

@@ -148,3 +148,38 @@ def test_incremental_append(spark, tmp_path):
         spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").parquet(src)
         J.append_missing(spark.readStream.schema("id long").parquet(src), out, "id", lambda d: d.withColumn("f", F.col("id") * 2), state).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_archives_are_read_in_stretches(spark, tmp_path):
+    """Many members over several tasks, a member with broken bytes, and an archive of nothing."""
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for k in range(60):
+            z.writestr(f"d{k % 3}/{k:03d}.txt", os.urandom(500) + bytes([k]))
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    data = bytearray((tmp_path / "many.zip").read_bytes())
+    at = data.find(b"d1/007.txt") + len(b"d1/007.txt") + 20
+    data[at] ^= 0xFF
+    (tmp_path / "hurt.zip").write_bytes(bytes(data))
+    for stretch in (S.RANGE, 2000):
+        got = S.read_archives(spark, str(tmp_path / "*.zip"), stretch).withColumn("task", F.spark_partition_id()).collect()
+        rows = {(os.path.basename(r.archive), r.path): (r.content, r.error) for r in got}
+        assert len(rows) == len(got) == 120, [(k, v) for k, v in rows.items() if v[1]]
+        assert rows["hurt.zip", "d1/007.txt"] == (None, "corrupt member")
+        assert all(rows[a, f"d{k % 3}/{k:03d}.txt"][0][-1] == k for a in ("many.zip", "hurt.zip") for k in range(60) if (a, k) != ("hurt.zip", 7))
+        assert len({r.task for r in got}) > (1 if stretch == 2000 else 0)
+
+
+def test_caption_files(spark, tmp_path):
+    rows = [(f"img/{k % 4}_x/{k:03d}.txt", f"caption {k} é") for k in range(200)] + [("top.txt", None)]
+    df = spark.createDataFrame(rows, "caption_path string, caption string").withColumn("other", F.lit(1)).repartition(5)
+    for _ in range(2):  # the same again changes nothing
+        X.write_captions(df, str(tmp_path / "out"))
+        found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+        assert found.pop("_SUCCESS") == "201"
+        assert found == {p: (t or "") + "\n" for p, t in rows}
+        assert not list((tmp_path / "out").glob("_staging*"))
+    bad = df.withColumn("caption_path", F.when(F.col("caption_path") == "top.txt", F.lit("top.txt/below.txt")).otherwise(F.col("caption_path")))
+    with pytest.raises(Exception):
+        X.write_captions(bad, str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "_SUCCESS").exists() and not list((tmp_path / "out").glob("_staging*"))

@@ -65,6 +65,23 @@ def test_last_score_of_a_name_counts(spark):
     assert sorted((r.t, r.score) for r in rows) == [("AA BB", 0.1), ("aa bb", 0.1), ("cc", None)]
 
 
+def test_scores_of_many_and_repeated_tags(spark):
+    """Twenty thousand tags in one record, a third of them one tag, within seconds."""
+    import random
+    import time
+
+    draw = random.Random(1)
+    tags = [draw.choice(["hot tag", "HOT_TAG", f"t{draw.randint(0, 9000)}", f"u{k}"]) for k in range(20_000)]
+    general = [(f"t{k}", k / 9000) for k in range(9000)] + [("hot_tag", 0.2), ("hot tag", 0.7), ("t1", None), ("t2", 0.9)]
+    df = spark.createDataFrame([(tags, general), (["a"], None), ([], [("a", 0.5)])], "tags array<string>, general array<struct<name:string,score:double>>")
+    start = time.time()
+    got = [r.x for r in df.select(K._scored(F.col("tags"), F.col("general")).alias("x")).collect()]
+    assert time.time() - start < 60
+    known = {n.replace("_", " "): s for n, s in general}
+    assert {(x.i, x.t, x.score) for x in got[0]} == {(k, t, known.get(t.lower().replace("_", " "))) for k, t in enumerate(tags)}
+    assert [(x.t, x.score) for x in got[1]] == [("a", None)] and got[2] == []
+
+
 def test_append_missing_computes_each_id_once(spark, tmp_path):
     spark.range(20).write.parquet(str(tmp_path / "in"))
     target, compute = str(tmp_path / "out"), lambda d: d.withColumn("twice", F.col("id") * 2)
