@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import dedupe as D
 from ..operators import near as N
 from ..operators import order as O
+from ..sources import projects as PR
 from .registry import query
 from .views import FINGERPRINTS, fingerprints, items, table, texts
 
@@ -198,3 +199,39 @@ def import_final_ids(spark, sf):
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     existing = import_check(spark, sf).select("id").join(lab.where(F.col("quality") == 1).select("id"), "id", "left_anti")
     return sel.join(lab.where(F.col("toxic") == 1).select("id"), "id", "left_anti").join(existing, "id", "left_anti")
+
+
+_IMPORT = r"""WITH RECURSIVE rows AS (SELECT doc_id AS id, source = 'src3' AS there, sha1(text) AS h,
+    'pic' || doc_id % 7 || CASE WHEN doc_id % 5 = 0 THEN ' (' || (doc_id % 9 + 1) || ')' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '.PNG' ELSE '.png' END AS name FROM documents),
+  sel AS (SELECT * FROM rows WHERE NOT there),
+  marked AS (SELECT *, CASE WHEN {dup} THEN 'duplicate' END AS reason FROM sel),
+  asked AS (SELECT *, regexp_replace(name, ' \(\d+\)', '') AS bare, lower(regexp_replace(name, ' \(\d+\)', '')) AS root, coalesce(nullif(regexp_extract(name, '\((\d+)\)', 1), '')::BIGINT, 1) AS number FROM (
+    SELECT id, name, reason FROM marked WHERE reason IS NULL UNION ALL SELECT NULL, name, NULL FROM rows WHERE there)),
+  there AS (SELECT DISTINCT root, number FROM asked WHERE id IS NULL),
+  wins AS (SELECT root, number, min(id) AS id FROM asked a WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM there t WHERE t.root = a.root AND t.number = a.number) GROUP BY 1, 2),
+  taken AS (SELECT root, number, number - row_number() OVER (PARTITION BY root ORDER BY number) AS v FROM (SELECT root, number FROM there UNION ALL SELECT root, number FROM wins)),
+  rest AS (SELECT id, root, bare, row_number() OVER (PARTITION BY root ORDER BY id) AS j FROM asked WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM wins)),
+  numbers AS (SELECT id, number AS n FROM wins UNION ALL SELECT r.id, r.j + (SELECT count(*) FROM taken t WHERE t.root = r.root AND t.v < r.j) FROM rest r)
+  SELECT m.id, m.reason, CASE WHEN n.n = 1 THEN a.bare WHEN n.n > 1 THEN regexp_replace(a.bare, '(\.[^.]*)$', ' (' || n.n || ')\1') END AS given
+  FROM marked m LEFT JOIN numbers n ON n.id = m.id LEFT JOIN asked a ON a.id = m.id"""
+
+
+def _importing(spark, sf, allow: bool):
+    i = F.col("doc_id")
+    number = F.when(i % 5 == 0, F.concat(F.lit(" ("), (i % 9 + 1).cast("string"), F.lit(")"))).otherwise("")
+    name = F.concat(F.lit("pic"), (i % 7).cast("string"), number, F.when(i % 3 == 0, ".PNG").otherwise(".png"))
+    rows = table(spark, sf, "documents").select(i.alias("id"), "source", name.alias("name"), F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
+    present = rows.where("source = 'src3'").select("name", "sha1")
+    return PR.import_plan(rows.where("source <> 'src3'").drop("source"), present, "id", allow).select("id", "reason", "given")
+
+
+@query("project_import", _IMPORT.replace("{dup}", "h IN (SELECT h FROM rows WHERE there) OR id <> min(id) OVER (PARTITION BY h)"))
+def project_import(spark, sf):
+    """What an import into a project adds, under which free names, and what it skips as already there."""
+    return _importing(spark, sf, False)
+
+
+@query("project_import_all", _IMPORT.replace("{dup}", "false"))
+def project_import_all(spark, sf):
+    """The same with duplicates allowed."""
+    return _importing(spark, sf, True)

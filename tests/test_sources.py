@@ -15,6 +15,7 @@ from tagloom.operators import match as M
 from tagloom.operators import score as SC
 from tagloom.sources import export as X
 from tagloom.sources import files as S
+from tagloom.sources import projects as P_
 from tagloom.streaming import jobs as J
 from tagloom.streaming import trace as T
 
@@ -183,3 +184,58 @@ def test_caption_files(spark, tmp_path):
     with pytest.raises(Exception):
         X.write_captions(bad, str(tmp_path / "out"))
     assert not (tmp_path / "out" / "_SUCCESS").exists() and not list((tmp_path / "out").glob("_staging*"))
+
+
+def free_by_trying(rows, present):
+    """Names by the rule: who asks first for a free number gets it, then the others take the next free numbers."""
+    import re
+
+    def asks(name):
+        m = re.fullmatch(r"(.+) \(([1-9]\d*)\)(\.[^.]*)?", name)
+        stem, ext = (m[1], m[3] or "") if m else os.path.splitext(name)
+        return stem, ext, int(m[2]) if m else 1
+
+    used, out = {(s.lower(), e.lower(), n) for s, e, n in map(asks, present)}, {}
+    for k, name in rows:
+        s, e, n = asks(name)
+        if (s.lower(), e.lower(), n) not in used:
+            used.add((s.lower(), e.lower(), n))
+            out[k] = s + (f" ({n})" if n > 1 else "") + e
+    for k, name in rows:
+        if k not in out:
+            s, e, _ = asks(name)
+            n = next(n for n in range(1, 10_000) if (s.lower(), e.lower(), n) not in used)
+            used.add((s.lower(), e.lower(), n))
+            out[k] = s + (f" ({n})" if n > 1 else "") + e
+    return out
+
+
+def test_import_into_a_project_is_done_once(spark, tmp_path):
+    import random
+
+    draw = random.Random(4)
+    names = ["a.png", "A.png", "a (2).png", "a (4).PNG", "b", "b (2)", "c.tar.gz", "a (1).png"]
+    rows = [(k, draw.choice(names), draw.choice([None, f"h{draw.randint(0, 80)}"])) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, name string, sha1 string").withColumn("more", F.lit(1))
+    path = str(tmp_path / "project")
+    schema = "id long, name string, sha1 string"
+    present, added = [], set()
+    for batch, part in (("one", rows[:40]), ("two", rows[40:]), ("one", rows[:40]), ("two", rows[40:])):  # the second round repeats the first
+        plan = {r.id: (r.reason, r.given) for r in P_.to_project(df.where(F.col("id").isin([r[0] for r in part])), path, batch).collect()}
+        held = P_.project(spark, path, schema).collect()
+        if batch not in added:
+            seen, fresh = {h for _, h in present}, []
+            for k, name, h in part:
+                if h is None or h not in seen:
+                    fresh.append((k, name))
+                    seen.add(h)
+            want = free_by_trying(fresh, [n for n, _ in present])
+            assert plan == {k: (None, want[k]) if k in want else ("duplicate", None) for k, _, _ in part}
+            present += [(want[k], h) for k, _, h in part if k in want]
+            added.add(batch)
+        assert sorted((r.name, r.sha1 or "") for r in held) == sorted((n, h or "") for n, h in present)
+    assert len({n.lower() for n, _ in present}) == len(present)
+    (tmp_path / "project" / "batch=two" / "_SUCCESS").unlink()  # a batch that did not end does not count
+    assert {r.batch for r in P_.project(spark, path, schema).collect()} == {"one"}
+    twice = P_.to_project(df, path, "three", allow_duplicates=True)
+    assert twice.where("reason IS NOT NULL").count() == 0 and P_.project(spark, path, schema).where("batch = 'three'").count() == 120
