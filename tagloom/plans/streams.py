@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import runs as U
+from ..sources import merged as M
 from ..streaming import jobs as J
 from ..streaming import trace as T
 from ..streaming import ttl as TTL
@@ -91,3 +92,23 @@ def trace_last_stream(spark, sf):
     """The batch plan of trace_last, unchanged, on a stream."""
     s = U.last_events(trace(stream(spark, sf))).select("run_id", "type", "event_id", "step")
     return J.drain_update(s, "last", ["run_id", "type"])
+
+
+@query("merge_stream", """SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts,
+    arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2 HAVING arg_max(value, (ts, event_id)) >= 10""")
+def merge_stream(spark, sf):
+    """Newest event of each user and type, merged into a table batch by batch; a small value takes the key out of the table."""
+    place, s = J.new_place(spark, "merge"), stream(spark, sf).select("user_id", "event_type", "event_id", "ts", "value")
+    J.merge_into(s, place + "/table", ["user_id", "event_type"], ["ts", "event_id"], place + "/state", F.col("value") < 10).awaitTermination()
+    return M.merged(spark, place + "/table", s.schema)
+
+
+@query("incremental_features", """SELECT text, length(text) AS chars, len(string_split(text, ' ')) AS words, CASE WHEN bool_or(lang = 'en') THEN 1 ELSE 2 END AS run
+    FROM documents WHERE text IS NOT NULL GROUP BY text""")
+def incremental_features(spark, sf):
+    """Features of each distinct text, computed in the first of two runs that meets it: the English documents, then all."""
+    place, docs = J.new_place(spark, "features"), stream(spark, sf, "documents").where("text IS NOT NULL")
+    for run, some in ((1, docs.where("lang = 'en'")), (2, docs)):
+        measured = lambda d, run=run: d.select("text", F.length("text").cast("long").alias("chars"), F.size(F.split("text", " ")).cast("long").alias("words"), F.lit(run).alias("run"))
+        J.append_missing(some.select("text"), place + "/table", ["text"], measured, f"{place}/state{run}").awaitTermination()
+    return J.features(spark, place + "/table", "text string, chars long, words long, run int").drop("part")

@@ -21,7 +21,7 @@ def parts(spark, sf, tmp_path_factory):
     return str(where)
 
 
-@pytest.mark.parametrize("name", ["events_tumbling", "events_sliding", "events_session", "stream_dedup", "trace_last_stream", "cache_sights", "silent_runs"])
+@pytest.mark.parametrize("name", ["events_tumbling", "events_sliding", "events_session", "stream_dedup", "trace_last_stream", "cache_sights", "silent_runs", "merge_stream"])
 def test_folder_of_part_files(spark, parts, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -83,12 +83,41 @@ def test_scores_of_many_and_repeated_tags(spark):
 
 
 def test_append_missing_computes_each_id_once(spark, tmp_path):
-    spark.range(20).write.parquet(str(tmp_path / "in"))
-    target, compute = str(tmp_path / "out"), lambda d: d.withColumn("twice", F.col("id") * 2)
+    """Two streams into one target: ids that are there are not computed, failed ones again, unfinished batches do not count."""
+    target, seen = str(tmp_path / "out"), []
+
+    def compute(d):
+        seen.append(sorted(r.id for r in d.collect()))
+        return d.withColumn("twice", F.col("id") * 2).withColumn("error", F.when(F.col("id") % 10 == 3, "unreadable"))
+
+    spark.range(20).union(spark.range(5)).write.parquet(str(tmp_path / "in"))
     for k in range(2):
         stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-        J.append_missing(stream, target, "id", compute, str(tmp_path / f"state{k}")).awaitTermination()
-    assert spark.read.parquet(target).count() == 20
+        J.append_missing(stream, target, ["id"], compute, str(tmp_path / f"state{k}"), buckets=4).awaitTermination()
+    assert seen == [list(range(20)), [3, 13]]
+    (tmp_path / "out" / "rows" / "part=feed-0").mkdir()
+    rows = J.features(spark, target, "id long, twice long")
+    assert sorted((r.id, r.twice) for r in rows.collect()) == [(k, 2 * k) for k in range(20) if k % 10 != 3]
+    assert J.features(spark, str(tmp_path / "none"), "id long").count() == 0
+
+
+def test_append_missing_after_a_failure(spark, tmp_path):
+    """The first try writes its features but not its keys; the second gives each row once."""
+    from tagloom.sources import merged as M
+
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    target, state, commit = str(tmp_path / "out"), str(tmp_path / "state"), M._commit
+
+    def run():
+        J.append_missing(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), target, ["id"], lambda d: d.withColumn("x", F.lit(1)), state).awaitTermination()
+
+    with pytest.MonkeyPatch.context() as m, pytest.raises(Exception):
+        m.setattr(M, "_commit", lambda *a: 1 / 0)
+        run()
+    assert J.features(spark, target, "id long, x int").count() == 0 and M._commit is commit
+    run()
+    run()
+    assert sorted(r.id for r in J.features(spark, target, "id long, x int").collect()) == list(range(20))
 
 
 def arrivals(spark, folder, batches, schema):
