@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import paths as P
+from ..functions.pixels import grey, resample
 from ..functions.vectors import dct_matrix
 from ..session import cut_lineage
 
@@ -168,12 +169,15 @@ def read_images(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def _rgb(row) -> np.ndarray:
-    """Pixels as height x width x 3 on white (the source stores blue first)."""
-    a = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.channels)).astype(np.float64)
+    """Pixels as height x width x 3 bytes on white (the source stores blue first)."""
+    a = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.channels))
     if a.shape[2] == 1:
         return np.repeat(a, 3, 2)
     rgb = a[:, :, 2::-1]
-    return rgb if a.shape[2] == 3 else rgb * a[:, :, 3:] / 255 + 255 * (1 - a[:, :, 3:] / 255)
+    if a.shape[2] == 3:
+        return rgb
+    cover = a[:, :, 3:].astype(np.uint32)
+    return np.rint((rgb * cover + 255 * (255 - cover)) / 255).astype(np.uint8)
 
 
 def _shrink(a: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -188,7 +192,7 @@ def _shrink(a: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def fingerprint(images: DataFrame) -> DataFrame:
-    """path, lo, hi, sig: low-frequency cosine bits against their median, and a 32 x 32 colour thumbnail."""
+    """path, lo, hi, sig: low-frequency cosine bits of the Lanczos-resampled brightness against their median, and a 32 x 32 colour thumbnail of box means."""
     dct = dct_matrix(32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,11 +202,11 @@ def fingerprint(images: DataFrame) -> DataFrame:
                 if r.data is None:
                     out.append((r.path, None, None, None))
                     continue
-                small = _shrink(_rgb(r), 32, 32)
-                low = (dct @ (small @ [0.299, 0.587, 0.114]) @ dct.T)[:8, :8].ravel()
+                rgb = _rgb(r)
+                low = (dct @ resample(grey(rgb), 32, 32, "lanczos").astype(np.float64) @ dct.T)[:8, :8].ravel()
                 bits = (low > np.median(low)).astype(np.int64)[::-1]
                 power = 1 << np.arange(32, dtype=np.int64)
-                out.append((r.path, int(bits[:32] @ power), int(bits[32:] @ power), np.rint(small).astype(np.int32).ravel()))
+                out.append((r.path, int(bits[:32] @ power), int(bits[32:] @ power), resample(rgb, 32, 32, "box").astype(np.int32).ravel()))
             yield pd.DataFrame(out, columns=["path", "lo", "hi", "sig"])
 
     return images.mapInPandas(run, "path string, lo long, hi long, sig array<int>")

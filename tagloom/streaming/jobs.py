@@ -100,15 +100,17 @@ def merge_into(stream: DataFrame, path: str, keys: list[str], by: list[str], sta
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def append_missing(stream: DataFrame, target: str, keys: list[str], compute: Callable[[DataFrame], DataFrame], state: str, buckets: int = M.BUCKETS):
+def append_missing(stream: DataFrame, target: str, keys: str | list[str], compute: Callable[[DataFrame], DataFrame], state: str, buckets: int = M.BUCKETS):
     """Incremental features: each micro-batch computes only keys that ``target`` lacks, each once, and appends them.
 
-    ``target/index`` holds the present keys in hash buckets, so a batch reads the key files of its own buckets and no features. ``compute`` gives the key
+    ``target/_index`` holds the present keys in hash buckets, so a batch reads the key files of its own buckets and no features. ``compute`` gives the key
     columns, the features and optionally ``error``: a row with an error is not kept, and its key is tried again when it comes again. The features of a batch are
     a folder of their own, which counts once the index names its keys; a batch that failed in between is written over.
     """
+    keys = [keys] if isinstance(keys, str) else keys
+
     def write(batch: DataFrame, epoch: int) -> None:
-        spark, index = batch.sparkSession, target + "/index"
+        spark, index = batch.sparkSession, target + "/_index"
         schema = StructType([*[batch.schema[k] for k in keys], StructField("_part", StringType())])
         part = f"{uuid5(NAMESPACE_URL, state).hex}-{epoch}"
         if M.version(spark, index).batches.get(state, -1) >= epoch:
@@ -116,7 +118,7 @@ def append_missing(stream: DataFrame, target: str, keys: list[str], compute: Cal
         found = compute(M.missing(batch.dropDuplicates(keys), index, keys, schema))
         if "error" in found.columns:
             found = found.where("error IS NULL").drop("error")
-        place = f"{target}/rows/part={part}"
+        place = f"{target}/part={part}"
         found.write.mode("overwrite").parquet(place)
         present = spark.read.schema(found.schema).parquet(place).select(*keys, F.lit(part).alias("_part"))
         M.merge(present, index, keys, ["_part"], epoch, state, buckets=buckets)
@@ -126,9 +128,9 @@ def append_missing(stream: DataFrame, target: str, keys: list[str], compute: Cal
 
 def features(spark: SparkSession, target: str, schema: str) -> DataFrame:
     """What ``append_missing`` has computed, with ``part``, the batch it came in; batches that are not finished are left out."""
-    done = {uuid5(NAMESPACE_URL, state).hex: last for state, last in M.version(spark, target + "/index").batches.items()}
-    parts = [n.removeprefix("part=").split("-") for n in M.names(spark, target + "/rows") if n.startswith("part=")]
-    places = [f"{target}/rows/part={who}-{k}" for who, k in parts if int(k) <= done.get(who, -1)]
+    done = {uuid5(NAMESPACE_URL, state).hex: last for state, last in M.version(spark, target + "/_index").batches.items()}
+    parts = [n.removeprefix("part=").split("-") for n in M.names(spark, target) if n.startswith("part=")]
+    places = [f"{target}/part={who}-{k}" for who, k in parts if int(k) <= done.get(who, -1)]
     if not places:
         return spark.createDataFrame([], schema + ", part string")
-    return spark.read.schema(schema + ", part string").option("basePath", target + "/rows").parquet(*places)
+    return spark.read.schema(schema + ", part string").option("basePath", target).parquet(*places)

@@ -1,4 +1,5 @@
 import json
+import math
 import os
 import struct
 import zipfile
@@ -9,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions import pixels as PX
 from tagloom.functions.vectors import euclidean
 from tagloom.operators import imports as I
 from tagloom.operators import match as M
@@ -57,6 +59,55 @@ def test_images(spark, tmp_path):
     assert regions["mark.png"].rects == [[round(20 / 96, 3), round(10 / 54, 3), round(40 / 96, 3), round(30 / 54, 3)]]
 
 
+def _plain(values, to, kind):
+    """One line of bytes resampled by the definition, in whole numbers."""
+    scale, out = len(values) / to, []
+    wide = max(scale, 1.0)
+    reach = (0.5 if kind == "box" else 3.0) * wide
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    kernel = (lambda x: float(-0.5 < x <= 0.5)) if kind == "box" else (lambda x: sinc(x) * sinc(x / 3) if -3 <= x < 3 else 0.0)
+    for k in range(to):
+        centre = (k + 0.5) * scale
+        window = range(max(0, int(centre - reach + 0.5)), min(len(values), int(centre + reach + 0.5)))
+        share = [kernel((x - centre + 0.5) / wide) for x in window]
+        whole = [int(s / sum(share) * 4194304 + (0.5 if s >= 0 else -0.5)) for s in share]
+        out.append(min(255, max(0, sum(w * int(values[x]) for w, x in zip(whole, window)) + 2097152 >> 22)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["box", "lanczos"])
+@pytest.mark.parametrize("height, width", [(54, 96), (32, 32), (7, 131), (1, 1), (300, 33)])
+def test_resampling_by_definition(kind, height, width):
+    a = np.random.default_rng(height).integers(0, 256, (height, width)).astype(np.uint8)
+    a[: height // 2] = np.where(a[: height // 2] > 127, 255, 0)  # overshoot is cut off
+    across = np.array([_plain(line, 32, kind) for line in a])
+    want = np.array([_plain(line, 32, kind) for line in across.T]).T
+    for cells in (1 << 22, 200):
+        assert (PX.resample(a, 32, 32, kind, cells) == want).all()
+        assert (PX.resample(np.stack([a, a], 2), 32, 32, kind, cells)[:, :, 1] == want).all()
+    if (height, width) == (32, 32):
+        assert (want == a).all()
+
+
+def test_fingerprint_bits(spark, tmp_path):
+    """Bits and thumbnail of a picture from the definition, brightest and plain pictures included."""
+    rng = np.random.default_rng(5)
+    shown = {"noise.png": rng.integers(0, 256, (50, 80, 3)), "plain.png": np.full((9, 5, 3), 255), "ramp.png": np.add.outer(np.arange(64), np.arange(40))[:, :, None].repeat(3, 2)}
+    for name, a in shown.items():
+        png(tmp_path / name, a)
+    fp = {os.path.basename(r.path): r for r in S.fingerprint(S.read_images(spark, str(tmp_path))).collect()}
+    for name, a in shown.items():
+        bright = [[int(r) * 19595 + int(g) * 38470 + int(b) * 7471 + 32768 >> 16 for r, g, b in line] for line in a]
+        across = np.array([_plain(line, 32, "lanczos") for line in bright])
+        small = np.array([_plain(line, 32, "lanczos") for line in across.T]).T.astype(float)
+        c = np.array([[math.cos(math.pi * (2 * x + 1) * u / 64) * math.sqrt((1 if u else 0.5) / 16) for x in range(32)] for u in range(32)])
+        low = (c @ small @ c.T)[:8, :8].ravel()
+        if name == "noise.png":  # no ties with the median
+            assert fp[name].hi << 32 | fp[name].lo == int("".join("1" if v > np.median(low) else "0" for v in low), 2)
+        thumb = np.stack([np.array([_plain(line, 32, "box") for line in np.array([_plain(line, 32, "box") for line in a[:, :, k]]).T]).T for k in range(3)], 2)
+        assert list(fp[name].sig) == thumb.ravel().tolist()
+
+
 def test_largest_rect():
     rng = np.random.default_rng(4)
     for _ in range(60):

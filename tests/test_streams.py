@@ -95,7 +95,7 @@ def test_append_missing_computes_each_id_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
         J.append_missing(stream, target, ["id"], compute, str(tmp_path / f"state{k}"), buckets=4).awaitTermination()
     assert seen == [list(range(20)), [3, 13]]
-    (tmp_path / "out" / "rows" / "part=feed-0").mkdir()
+    (tmp_path / "out" / "part=feed-0").mkdir()
     rows = J.features(spark, target, "id long, twice long")
     assert sorted((r.id, r.twice) for r in rows.collect()) == [(k, 2 * k) for k in range(20) if k % 10 != 3]
     assert J.features(spark, str(tmp_path / "none"), "id long").count() == 0
