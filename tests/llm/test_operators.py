@@ -34,6 +34,12 @@ def awkward():
     return [(i, t, ["en", "de", None][k % 3], None if k % 5 == 0 else "s", None if t is None else len(t)) for k, (i, t) in enumerate(rows)]
 
 
+VECTOR_KINDS, TURN_KINDS = "vec_id long, label int, embedding array<float>", "conv_id long, turn int, role string, text string"
+VECTORS = [(1, 0, [1.0, 0.0, 2.0]), (2, None, [2.0, 0.0, 4.0]), (3, 1, [0.0, 1.0, 0.0]), (4, 1, None), (5, 1, [0.0, 0.0, 0.0]), (6, 1, [1.0, None, 2.0]), (7, 1, [1.0, 0.0, 2.01])]
+TURNS = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Hello."), (1, 1, "assistant", "Hello."), (2, None, None, None), (3, 5, "user", ""), (3, 9, "system", "long " * 30_000),
+         (None, 0, "user", "No id.")]
+
+
 @pytest.fixture(scope="module")
 def rows():
     return awkward()
@@ -56,6 +62,8 @@ def folder(spark, rows, tmp_path_factory):
     where = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(rows, KINDS).repartition(2).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(1, 19)] + [(99, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame(VECTORS, VECTOR_KINDS).write.parquet(f"{where}/embeddings.parquet")
+    spark.createDataFrame(TURNS, TURN_KINDS).write.parquet(f"{where}/conversations.parquet")
     return str(where)
 
 
@@ -64,14 +72,25 @@ def empty_folder(spark, tmp_path_factory):
     where = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], KINDS).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([], VECTOR_KINDS).write.parquet(f"{where}/embeddings.parquet")
+    spark.createDataFrame([], TURN_KINDS).write.parquet(f"{where}/conversations.parquet")
     return str(where)
 
 
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_awkward_and_empty_tables(spark, folder, empty_folder, rows, name):
     got = LLM_QUERIES[name](spark, folder).collect()
-    ids = Counter(r["doc_id"] for r in got if "piece" not in r or r["piece"] == 0)
-    assert ids == Counter(i for i, *_ in rows)
+    if name == "op11_spelling":  # a row for each word
+        words = [r["word"] for r in got]
+        assert len(words) == len(set(words)) > 0 and all(r["n"] >= 3 and r["form"] in {None, *words} and r["root"] in words for r in got)
+    elif name == "op12_vectors":
+        assert Counter(r["vec_id"] for r in got) == Counter(i for i, *_ in VECTORS)
+        assert {r["vec_id"]: r["component_id"] for r in got if r["vec_id"]} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}
+    elif name == "op13_conversations":
+        assert Counter(r["conv_id"] for r in got) == Counter({i for i, *_ in TURNS})
+    else:
+        ids = Counter(r["doc_id"] for r in got if "piece" not in r or r["piece"] == 0)
+        assert ids == Counter(i for i, *_ in rows)
     assert LLM_QUERIES[name](spark, empty_folder).count() == 0
 
 
