@@ -103,12 +103,12 @@ def merge_stream(spark, sf):
     return M.merged(spark, place + "/table", s.schema)
 
 
-@query("incremental_features", """SELECT text, length(text) AS chars, len(string_split(text, ' ')) AS words, CASE WHEN bool_or(lang = 'en') THEN 1 ELSE 2 END AS run
+@query("incremental_features", """SELECT sha256(text) AS sha, length(text) AS chars, len(string_split(text, ' ')) AS words, CASE WHEN bool_or(lang = 'en') THEN 1 ELSE 2 END AS run
     FROM documents WHERE text IS NOT NULL GROUP BY text""")
 def incremental_features(spark, sf):
-    """Features of each distinct text, computed in the first of two runs that meets it: the English documents, then all."""
+    """Features of each distinct text, computed in the first of two runs that meets it: the English documents, then all. Texts are known by their hash."""
     place, docs = J.new_place(spark, "features"), stream(spark, sf, "documents").where("text IS NOT NULL")
     for run, some in ((1, docs.where("lang = 'en'")), (2, docs)):
-        measured = lambda d, run=run: d.select("text", F.length("text").cast("long").alias("chars"), F.size(F.split("text", " ")).cast("long").alias("words"), F.lit(run).alias("run"))
-        J.append_missing(some.select("text"), place + "/table", ["text"], measured, f"{place}/state{run}").awaitTermination()
-    return J.features(spark, place + "/table", "text string, chars long, words long, run int").drop("part")
+        measured = lambda d, run=run: d.select("sha", F.length("text").cast("long").alias("chars"), F.size(F.split("text", " ")).cast("long").alias("words"), F.lit(run).alias("run"))
+        J.append_missing(some.select(F.sha2("text", 256).alias("sha"), "text"), place + "/table", ["sha"], measured, f"{place}/state{run}").awaitTermination()
+    return J.features(spark, place + "/table", "sha string, chars long, words long, run int").drop("part")
