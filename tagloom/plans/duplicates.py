@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import dedupe as D
 from ..operators import near as N
 from ..operators import order as O
+from ..operators import reports as RP
 from ..sources import projects as PR
 from .registry import query
 from .views import FINGERPRINTS, fingerprints, items, table, texts
@@ -68,6 +69,21 @@ def groups(spark, sf):
     return N.near_groups(N.cut_lineage(fp))
 
 
+def records(spark, sf):
+    """The rows of a report. In part of the queries one source has no fingerprints yet, which failed for some of it."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    i = items(spark, sf).select("id", "name", "width", "height", F.col("id").alias("created"))
+    return i.join(d, "id").join(fingerprints(spark, sf), "id", "left").join(lab, "id", "left").select(
+        "id", "name", "width", "height", "created", "source", "lo", "hi", "sig", F.lit(False).alias("failed"), (F.col("lang") == "fr").alias("odd"),
+        F.when(F.col("toxic") == 1, 1).alias("manual"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("matched"))
+
+
+def unfinished(rows):
+    late = F.col("source") == "src1"
+    return rows.withColumns({c: F.when(~late, F.col(c)) for c in ("lo", "hi", "sig")} | {"failed": late & F.col("odd")})
+
+
 # A fingerprint keeps itself unless a better one that keeps itself is near: one walk by rank over those that have a better neighbour.
 GROUPS = f"""{FINGERPRINTS}, {RANKED},
 ranks AS (SELECT id, row_number() OVER (ORDER BY manual IS NULL, NOT matched, -(width * height), NOT lossless, id) AS rank FROM keyed),
@@ -92,20 +108,38 @@ def near_groups(spark, sf):
 
 @query("dup_summary", f"WITH RECURSIVE {GROUPS} SELECT count(DISTINCT keeper) AS groups, count(*) AS removable, max(d) AS widest, (SELECT count(*) FROM documents) AS total FROM stars")
 def dup_summary(spark, sf):
-    total = table(spark, sf, "documents").agg(F.count("*").alias("total"))
-    return groups(spark, sf).agg(F.countDistinct("keeper").alias("groups"), F.count("*").alias("removable"), F.max("d").alias("widest")) \
-        .withColumn("total", total.scalar())
+    return RP.report(records(spark, sf)).summary().select("groups", "removable", "widest", "total")
+
+
+def _scoped(test: str) -> str:
+    """The groups among records in scope that have a fingerprint, and the figures of the report."""
+    rest = GROUPS.replace("FROM fingerprints f JOIN", "FROM scoped f JOIN").replace("\nranks AS", f"""
+inscope AS (SELECT k.id, k.width, k.height, d.source, d.lang FROM keyed k JOIN documents d ON d.doc_id = k.id WHERE {test}),
+scoped AS (SELECT f.* FROM fingerprints f JOIN inscope i ON i.id = f.id WHERE i.source <> 'src1'),
+ranks AS""", 1)
+    return f"""WITH RECURSIVE {rest} SELECT count(DISTINCT keeper) AS groups, count(*) AS removable, count(*) FILTER (d = 0 AND m.width = k.width AND m.height = k.height) AS identical, max(d) AS widest,
+    (SELECT count(*) FROM inscope) AS total, (SELECT count(*) FROM inscope WHERE CASE WHEN source = 'src1' THEN lang <> 'fr' ELSE id NOT IN (SELECT id FROM fingerprints) END) AS missing
+    FROM stars s JOIN inscope m ON m.id = s.member JOIN inscope k ON k.id = s.keeper"""
+
+
+@query("dup_scope_matches", _scoped("k.matched"))
+def dup_scope_matches(spark, sf):
+    """The report within the current matches."""
+    return RP.report(unfinished(records(spark, sf)), within=F.col("matched")).summary()
+
+
+@query("dup_scope_ids", _scoped("k.id IN (SELECT doc_id FROM labels WHERE toxic = 0)"))
+def dup_scope_ids(spark, sf):
+    """The report among given ids."""
+    ids = table(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("id"))
+    return RP.report(unfinished(records(spark, sf)), ids=ids).summary()
 
 
 @query("identical_copies", f"""WITH RECURSIVE {GROUPS} SELECT s.keeper, count(*) AS members, count(*) FILTER (s.d = 0 AND m.width = k.width AND m.height = k.height) AS identical
     FROM stars s JOIN keyed m ON m.id = s.member JOIN keyed k ON k.id = s.keeper GROUP BY 1""")
 def identical_copies(spark, sf):
     """Members with no difference and the keeper's own size."""
-    size = items(spark, sf).select("id", "width", "height")
-    g = N.cut_lineage(groups(spark, sf)).join(size.withColumnRenamed("id", "member"), "member") \
-        .join(size.select(F.col("id").alias("keeper"), F.col("width").alias("kw"), F.col("height").alias("kh")), "keeper")
-    same = (F.col("d") == 0) & (F.col("width") == F.col("kw")) & (F.col("height") == F.col("kh"))
-    return g.groupBy("keeper").agg(F.count("*").alias("members"), F.count_if(same).alias("identical"))
+    return RP.report(records(spark, sf)).identical()
 
 
 @query("dup_removals", f"""WITH RECURSIVE {GROUPS}, marked AS (SELECT s.*, l.quality, l.toxic FROM stars s LEFT JOIN labels l ON l.doc_id = s.member),
@@ -114,14 +148,11 @@ def identical_copies(spark, sf):
     SELECT e.keeper, e.member AS removed FROM everyone e LEFT JOIN chosen c ON c.keeper = e.keeper WHERE e.keeper NOT IN (SELECT keeper FROM skipped) AND e.member <> coalesce(c.choice, e.keeper)""")
 def dup_removals(spark, sf):
     """All members but the keeper; a user may choose another keeper (a toxic-labelled member) or skip a group."""
-    g = N.cut_lineage(groups(spark, sf))
+    r = RP.report(records(spark, sf))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("member"), "quality", "toxic")
-    marked = g.join(lab, "member", "left")
+    marked = r.members.join(lab, "member", "left")
     chosen = marked.where(F.col("toxic") == 1).groupBy("keeper").agg(F.min("member").alias("choice"))
-    skipped = marked.where((F.col("quality") == 0) & (F.col("toxic") == 0) & (F.col("d") > 3)).select("keeper").distinct()
-    everyone = g.select("keeper", "member").union(g.select("keeper", "keeper")).distinct()
-    return everyone.join(chosen, "keeper", "left").join(skipped, "keeper", "left_anti") \
-        .where(F.col("member") != F.coalesce("choice", "keeper")).select("keeper", F.col("member").alias("removed"))
+    return r.removals(chosen, marked.where((F.col("quality") == 0) & (F.col("toxic") == 0) & (F.col("d") > 3)).select("keeper"))
 
 
 @query("content_copies", """SELECT doc_id, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) - 1 AS copy,
