@@ -1,6 +1,7 @@
 """Helpers shared by the text operators."""
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
 
-ARROW_ROWS = 1000  # rows in one Arrow batch, so that long texts do not fill a worker
+ARROW_ROWS = 1000  # rows in one Arrow batch
+ARROW_BYTES = 4 << 20  # bytes after which an Arrow batch ends, so that long texts do not fill a worker; one row may be longer
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +49,26 @@ def forget(df: DataFrame) -> None:
 
 
 def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return df.mapInArrow(fn, schema)
+    """``fn`` over Arrow batches bounded in rows and bytes. A task gives its free memory back at its end, as workers outlive it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives free memory of Arrow and, where the C library can, of Python back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def squeezed(rows: DataFrame) -> DataFrame:

@@ -96,13 +96,13 @@ def identify(docs: DataFrame, learned: list[tuple[str, int, bytes]], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(learned)
         for batch in batches:
-            got = [classify(t) for t in batch.column("_text").to_pylist()]
+            got = [classify(t) for t in batch.column("_row").field(text).to_pylist()]
             found = pa.StructArray.from_arrays(
                 [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()),
                  pa.array([g[0] != "und" and g[2] > narrow for g in got], pa.bool_())], ["name", "score", "margin", "accepted"])
             yield pa.RecordBatch.from_arrays([batch.column("_row"), found], ["row", "language"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     schema = f"row {packed.schema['_row'].dataType.simpleString()}, language struct<name:string,score:double,margin:double,accepted:boolean>"
     return in_batches(packed, run, schema)
 

@@ -312,13 +312,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
         for batch in batches:
-            given = batch.column("_text").to_pylist()
+            given = batch.column("_row").field(text).to_pylist()
             spans = [find(t) for t in given]
             cells = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in s] for s in spans]
             clean = [redacted(t, s) if s else None for t, s in zip(given, spans)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cells, pa.list_(kind)), pa.array(clean, pa.string())], ["row", "spans", "redacted"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return in_batches(packed, run, f"row {packed.schema['_row'].dataType.simpleString()}, spans {SPANS}, redacted string")
 
 

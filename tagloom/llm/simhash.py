@@ -61,10 +61,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            found = np.array([fingerprint(t) for t in batch.column("row").field("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(found.view(np.int64))], ["row", "id", "fp"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
     return in_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, id long, fp long")
 
 
