@@ -15,6 +15,10 @@ Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 BLOCK = 1024  # references of a tile, about
 ROWS = 2048  # rows of a tile at most
 GATHER = 256  # distances of one record that may travel
+RESIDENT = 64 << 20  # bytes of all references up to which a task holds them
+HELD = 4 << 20  # bytes of rows that meet them together, about
+SPREAD = 1 << 24  # distances that are worth a group of their own, as long as some cores would idle
+CELLS = 2_000_000  # distances of a group worked on at once
 BINS = 256  # value ranges counted for one record in a pass
 
 
@@ -103,24 +107,107 @@ def _tiles(rows: DataFrame, heads: DataFrame, blocks: int) -> DataFrame:
     return packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(heads, "block")
 
 
-def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK, carry: tuple[str, ...] = (), gather: int = GATHER) -> DataFrame:
+def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as lines; a null vector is a line of NaN."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    out = np.full((len(flat), width), np.nan)
+    some = np.asarray(flat.is_valid())
+    out[some] = np.asarray(flat.drop_null().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
+    return out
+
+
+def _middle(d: np.ndarray) -> np.ndarray:
+    """Median of each line without its NaNs; NaN for a line without values."""
+    n = d.shape[1] - np.isnan(d).sum(1)
+    out = np.full(len(d), np.nan)
+    for k in np.unique(n[n > 0]):
+        at = np.flatnonzero(n == k)
+        part = np.partition(d[at], ((k - 1) // 2, k // 2), axis=1)  # NaN comes last
+        out[at] = (part[:, (k - 1) // 2] + part[:, k // 2]) / 2
+    return out
+
+
+def _whole(metric: Metric, id_type: pa.DataType):
+    """Scores of a group of rows against all references, some rows at a time. Rows that share an id share their distances."""
+
+    def run(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        ids, roles = rows.column("id").to_pylist(), rows.column("role").to_pylist()
+        order = sorted((k for k in range(len(ids)) if ids[k] is not None), key=ids.__getitem__)
+        sides = {}
+        for side in ("ref", "neg"):
+            listed = [h for h in sorted(heads.select(["head_role", "block", "heads", "matrix"]).to_pylist(), key=lambda h: h["block"]) if h["head_role"] == side]
+            names = [x for h in listed for x in h["heads"]]
+            sides[side] = names, np.frombuffer(b"".join(h["matrix"] for h in listed), np.float64).reshape(len(names), -1) if names else None
+        refs, matrix = sides["ref"]
+        at = {h: j for j, h in enumerate(refs)}
+        matrix = np.zeros((0, 1)) if matrix is None else matrix
+        v = _matrix(rows.column("embedding"), matrix.shape[1])
+        starts = [k for k in range(len(order)) if not k or ids[order[k]] != ids[order[k - 1]]] + [len(order)]
+        step = max(1, CELLS // max(1, len(refs), len(sides["neg"][0])))
+        names, times, scores, lows = [], [], [], []
+
+        def settle(i: int, j: int) -> None:
+            """Ids from the i-th to before the j-th."""
+            at_rows = order[starts[i]:starts[j]]
+            first = np.array(starts[i:j]) - starts[i]
+            d = np.array(metric(v[at_rows], matrix), dtype=np.float64)
+            for k, row in enumerate(at_rows):
+                if roles[row] == "ref" and ids[row] in at:
+                    d[k, at[ids[row]]] = np.nan
+            if len(at_rows) == j - i:
+                scores.extend(_middle(d))
+            else:
+                scores.extend(_middle(part.reshape(1, -1))[0] for part in np.split(d, first[1:]))
+            if sides["neg"][0]:
+                d = np.array(metric(v[at_rows], sides["neg"][1]), dtype=np.float64)
+                d[[roles[row] != "pool" for row in at_rows]] = np.nan
+                lows.extend(np.fmin.reduceat(np.fmin.reduce(d, axis=1), first))
+            times.extend(np.diff(starts[i : j + 1]))
+            names.extend(ids[order[starts[k]]] for k in range(i, j))
+
+        i = 0
+        while i < len(starts) - 1:
+            j = i + 1
+            while j < len(starts) - 1 and starts[j + 1] - starts[i] <= step:
+                j += 1
+            settle(i, j)
+            i = j
+        null = lambda x: pa.array(np.asarray(x, dtype=np.float64), pa.float64(), from_pandas=True)
+        found = pa.table([pa.array(names, id_type), null(scores), null(lows if lows else [np.nan] * len(names))], names=["id", "score", "neg_score"])
+        return found.take(pa.array(np.repeat(np.arange(len(names)), np.array(times, dtype=np.int64))))
+
+    return run
+
+
+def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK, carry: tuple[str, ...] = (), gather: int = GATHER,
+               resident: int = RESIDENT) -> DataFrame:
     """id, role, carried columns, score = median distance to the references, neg_score = smallest distance to a negative.
 
     References are compared with the *other* references; without references every score is null. ``features``: id, role (pool, ref or neg),
-    embedding. Blocks of about ``size`` references meet tiles of rows, and no task holds more than one of each. The median is exact without
+    embedding. References of up to ``resident`` bytes go to every group of rows, which settles its rows some at a time. Of more, blocks of about
+    ``size`` references meet tiles of rows, and no task holds more than one of each. The median is then exact without
     an array of all distances: while more than ``gather`` of a record's distances may be the median, a pass counts them by value range and keeps
     the range that holds the middle ranks; then the few that are left travel and are sorted. Equal distances end a range at once.
     """
     id_type = pa.string() if features.schema["id"].dataType.simpleString() == "string" else pa.int64()
     kept, id_sql = features.where(F.col("role") != "neg"), features.schema["id"].dataType.simpleString()
-    sizes = {r["role"]: r["n"] for r in features.where(F.col("role") != "pool").groupBy("role").agg(F.count("*").alias("n")).collect()}
+    marked = features.where((F.col("role") != "pool") & F.col("embedding").isNotNull())
+    sizes = {r["role"]: r["n"] for r in marked.groupBy("role").agg(F.count("*").alias("n")).collect()}
     null = F.lit(None).cast("double")
     if not sizes.get("ref"):
         return kept.select("id", "role", *carry, null.alias("score"), null.alias("neg_score"))
     blocks = -(-max(sizes.values()) // size)
-    numbered = features.where(F.col("role") != "pool").select("id", "role", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    numbered = marked.select("id", "role", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     heads = cut_lineage(numbered.groupBy("role", "block").applyInArrow(_reference_block, f"role string, block int, heads array<{id_sql}>, matrix binary"))
     heads = heads.withColumnRenamed("role", "head_role")
+    all_rows, width = kept.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if sum(sizes.values()) * (width or 0) * 8 <= resident:
+        spread = min(4 * features.sparkSession.sparkContext.defaultParallelism, all_rows * sum(sizes.values()) // SPREAD)
+        groups = max(1, spread, all_rows * width * 8 // HELD)
+        rows = kept.select("id", "role", "embedding", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).repartition(groups, "g")
+        every = heads.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "g")
+        scores = rows.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(_whole(metric, id_type), f"id {id_sql}, score double, neg_score double")
+        return _attached(kept, carry, scores)
     refs = heads.where("head_role = 'ref'")
     all_values = [F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")]
     state = kept.select("id", "role", "embedding", *all_values, F.lit(sizes["ref"]).cast("long").alias("left"), F.lit(None).cast("long").alias("k1"),
@@ -139,6 +226,10 @@ def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK,
     low = F.coalesce("v1", at(F.col("k1"), F.floor((F.size("v") - 1) / 2)))
     high = F.coalesce("v2", at(F.col("k2"), F.floor(F.size("v") / 2)))
     scores = state.select("id", "k1", "k2", "v1", "v2").join(found, "id").select("id", ((low + high) / 2).alias("score"), "neg_score")
+    return _attached(kept, carry, scores)
+
+
+def _attached(kept: DataFrame, carry: tuple[str, ...], scores: DataFrame) -> DataFrame:
     return kept.select("id", "role", *carry).join(scores, "id", "left")
 
 

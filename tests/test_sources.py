@@ -163,6 +163,20 @@ def test_scores_in_blocks(spark, refs, size, gather):
     assert scored(df, size=size, gather=gather) == plain_scores(np.linalg.norm(v[:, None] - v[None], axis=2), role)
 
 
+def test_scores_of_many_references_and_awkward_rows(spark):
+    """Held references and blocks of them agree; repeated ids share their distances, null vectors and null ids have no score."""
+    rng = np.random.default_rng(3)
+    rows = [(k, "ref" if k % 5 == 0 else "neg" if k % 7 == 1 else "pool", list(map(float, rng.normal(size=4)))) for k in range(300)]
+    plain = spark.createDataFrame(rows, "id long, role string, embedding array<double>")
+    assert scored(plain) == scored(plain, resident=0, size=16, gather=4) == scored(plain, resident=0)
+    plan = SC.ref_scores(plain)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "")  # no row for every record and range
+    odd = spark.createDataFrame(rows + [rows[2], (None, "pool", [0.0] * 4), (999, "pool", None), (1000, "ref", None)], "id long, role string, embedding array<double>")
+    got = scored(odd)
+    assert got[999] == got[None] == (None, None) and got[2] == scored(plain)[2] and got[7] == scored(plain)[7]
+    assert SC.ref_scores(odd, euclidean).where("id = 2").count() == 4
+
+
 def test_scores_of_odd_distances(spark):
     """Far apart by many orders of magnitude, endless, or no distance at all; string ids; no references."""
     d = {f"r{k}": x for k, x in enumerate([0.0, 1e-300, 1e-9, 1.0, 2.0, 1e300, 1.7e308, float("inf"), float("inf"), 3.0])}
