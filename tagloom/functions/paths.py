@@ -1,7 +1,9 @@
 """Paths, file names and slugs."""
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -72,10 +74,14 @@ def host_and_share(text: Column, share: Column) -> tuple[Column, Column]:
     return host, F.regexp_replace(found, r"^[/\\]+|[/\\]+$", "")
 
 
-@F.pandas_udf(StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without its non-ASCII rest; Spark has no built-in for it."""
-    return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+def _folded(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+
+
+@F.arrow_udf(StringType())
+def ascii_fold(s: pa.Array) -> pa.Array:
+    """Compatibility decomposition without its non-ASCII rest; Spark has no built-in for it. One text at a time is a Python string."""
+    return pa.array((_folded(t.as_py()) for t in s), pa.string())
 
 
 def slugify(text: Column, fallback: Column | str = "") -> Column:
