@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +16,10 @@ def _millis(times: pd.Series) -> pd.Series:
     return times.dt.tz_localize(None).astype("datetime64[us]").astype("int64") // 1000
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.dt.tz_localize(None).to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
 class _Cache(StatefulProcessor):
     """First sight of a key is a miss and is remembered; sights within the lifetime are hits and give the stored value. Once the watermark has
     passed the end of the lifetime, a timer frees the key."""
@@ -26,21 +31,24 @@ class _Cache(StatefulProcessor):
         self._handle, self._slot = handle, handle.getValueState("slot", "value long, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self._slot.get() if self._slot.exists() else None
-        held = before
-        seen = pd.concat(list(rows)).sort_values(["ts", "value"])  # the sights of one key in one micro-batch
-        out = []
-        for ts, at, value in zip(seen["ts"], _millis(seen["ts"]), seen["value"]):
+        before = held = self._slot.get()
+        frames = list(rows)  # the sights of one key in one micro-batch
+        seen = frames[0] if len(frames) == 1 else pd.concat(frames)
+        ats, values = _micros(seen["ts"]), seen["value"].to_numpy()
+        order = np.lexsort((values, np.where(ats < -(1 << 62), 1 << 62, ats)))  # no time: last
+        stored, hits = [], []
+        for at, value in zip((ats[order] // 1000).tolist(), values[order].tolist()):
             hit = held is not None and at - held[1] < self.lifetime
             if not hit:
-                held = (int(value), int(at))
-            out.append((*key, ts, held[0], hit))
+                held = (int(value), at)
+            stored.append(held[0])
+            hits.append(hit)
         if held != before:
             if before is not None:
                 self._handle.deleteTimer(before[1] + self.lifetime)
             self._slot.update(held)
             self._handle.registerTimer(held[1] + self.lifetime)
-        yield pd.DataFrame(out, columns=["key", "ts", "value", "hit"])
+        yield pd.DataFrame({"key": key[0], "ts": seen["ts"].array.take(order), "value": stored, "hit": hits})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._slot.clear()
