@@ -177,3 +177,25 @@ def test_predictions_load_once_and_keep_nulls(spark):
     got = {r["general_"]: r for r in predictions(spark.createDataFrame(rows, "general_ long, v array<float>, note string"), load, "v", 2, labels).collect()}
     assert got[3]["general"] is None and got[3]["rating"] is None and got[3]["note"] == "keep"
     assert [tuple(x) for x in got[7]["rating"]] == [("r", 0.7)] and [x["name"] for x in got[7]["general"]] == ["a", "b"] and got[7]["character"] == []
+
+
+def test_texts_fold_one_at_a_time():
+    """A batch of texts is never held as Python strings together."""
+    import pyarrow as pa
+
+    from tagloom.functions.paths import _folded, ascii_fold
+
+    assert [_folded(t) for t in ("Ünïcode ﬁx", "plain", "", "日本", None)] == ["Unicode fix", "plain", "", "", None]
+    assert isinstance(ascii_fold.func(pa.array(["é", None])), pa.Array)
+
+
+def test_plain_tags_are_canonical():
+    """What the short test lets through needs no other look."""
+    import re
+
+    from tagloom.functions.tags import _PLAIN, canon_text
+
+    plain = re.compile(_PLAIN.replace(r"\z", r"\Z"))
+    for t in ("", "red ring", "a (b)", "solo", "x:y", "é", "a_b", "a  b", " a", "a ", "a\n", "a\tb", "a\\b", "\\(a\\)", "0_0"):
+        assert bool(plain.match(t)) == (t in ("", "red ring", "a (b)", "solo", "x:y")), t
+        assert not plain.match(t) or canon_text(t) == t
