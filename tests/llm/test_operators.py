@@ -497,3 +497,25 @@ def test_toxicity_is_cut_over_all_labelled_rows(spark, monkeypatch):
     wrong = lambda cut: sum((r["margin"] >= cut) != y for r, y in known)
     fewest = min(wrong(c) for c in [r["margin"] for r, _ in known] + [float("inf")])
     assert sum(r["predicted"] != y for r, y in known) <= fewest + 1  # texts of one bin are not told apart
+
+
+def test_quality_learns_from_every_labelled_text(spark, monkeypatch):
+    """The model of a table is that of all its rows at once, however they are dealt; nothing is drawn."""
+    rng = np.random.default_rng(3)
+    n, width = 900, len(quality.FEATURES)
+    y = (rng.random(n) < 0.8).astype(int)
+    x = rng.normal(size=(n, width)) + y[:, None] * 0.4
+    x[600:] = x[:300]  # equal texts, some of both labels
+    h = np.arange(n) % 600
+    rows = spark.createDataFrame([(i, int(h[i]), x[i].tolist()) for i in range(n)], "doc_id long, h long, features array<double>")
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(n)] + [(0, int(y[0])), (5, None), (n + 7, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLES", 20)
+    monkeypatch.setattr(quality, "PARTNERS", 10**6)
+    got, want = quality.learn(rows, labels), quality.fit(x, y)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale) and np.allclose(got.weights, want.weights, atol=1e-6)
+    strength = np.clip((x - want.mean) / want.scale, -8, 8) @ got.weights
+    error = lambda cut: np.mean(strength[y == 1] < cut) + np.mean(strength[y == 0] >= cut)
+    assert abs(error(got.threshold) - min(map(error, [*strength, np.inf]))) < 1e-9
+    monkeypatch.setattr(quality, "PARTNERS", 20)
+    dealt = quality.learn(rows, labels)
+    assert np.corrcoef(dealt.weights, want.weights)[0, 1] > 0.9
