@@ -11,6 +11,7 @@ Other columns of the pieces are carried along. A piece of length 0 or above the
 """
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,30 +30,51 @@ CLOSING = 1
 MEMO = 400_000  # pre-tokens whose ids a worker remembers
 # Fixed value: how the tokenizer file splits normalised text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FAR = re.compile("[^\0-\u024f\u2000-\u206f]")  # no letter below has other cases or compositions in one version of Unicode than in the next
 _worker: dict = {}
 
 
+def _plain_pattern() -> re.Pattern:
+    """PATTERN for ``re``, which is faster, with its classes written out; for text without characters above U+FFFF."""
+
+    signs = "".join(map(chr, range(0x10000)))
+
+    def listed(kind: str) -> str:
+        return "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(f"{kind}+", signs))
+
+    letter, number, white = listed(r"\p{L}"), listed(r"\p{N}"), listed(r"\s")
+    return re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{white}{letter}{number}]+")
+
+
 class WordIds:
     """Ids of texts by a tokenizer that normalises (NFC, lower case), drops white space, splits by PATTERN and marks the last id of each
     pre-token. Pre-tokens that were met before are not encoded again; new ones are encoded together, one space apart, and their ids parted
     at the marked ones. Texts that normalisation may split otherwise, or with a special token, are encoded by the tokenizer as a whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parted.normalizer, self.parted.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), bytewise])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.plain, self.wide = regex.compile(PATTERN), _plain_pattern(), re.compile("[\U00010000-\U0010ffff]")
         self.recent = Recent(self._made, MEMO)
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text that needs no normalisation."""
+        return (self.plain if text.isascii() or not self.wide.search(text) else self.pattern).findall(text)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _made(self, tokens: list[str]) -> list[bytes]:
-        ids = self._ids(" ".join(tokens))
+        joined = " ".join(tokens)
+        near = not FAR.search(joined) and joined == joined.lower()  # then normalisation changes nothing, and the spaces are where PATTERN splits
+        ids = np.array(self.parted.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4") if near else self._ids(joined)
         ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
         if len(ends) != len(tokens):
             return [self._ids(t).tobytes() for t in tokens]
@@ -72,7 +94,7 @@ class WordIds:
         out = []
         for some in portions(given):
             lower = [self._lower(t) for t in some]
-            known = iter(self.recent.joined([self.pattern.findall(t) for t in lower if t is not None]))
+            known = iter(self.recent.joined([self.split(t) for t in lower if t is not None]))
             out += [self._ids(t).tobytes() if plain is None else next(known) for t, plain in zip(some, lower)]
         return out
 

@@ -275,6 +275,32 @@ def test_pack_keeps_columns(spark):
     assert got.columns == [*pieces.columns, "sequence_id", "offset"] and got.count() == 50
 
 
+def test_pre_tokens_are_encoded_as_parts_of_a_text():
+    """Without normalising them again, unless they have upper case, as those of a text with a capital sigma."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    plain = lambda t: words.tokenizer.encode(t, add_special_tokens=False).ids
+    drawn, known = random.Random(4), words._ids
+    signs = list(" \n a'stlé²1_-.\u00df\u00a0\u2014\u2019\x1c\0")
+    texts = ["".join(drawn.choice(signs) for _ in range(drawn.randrange(30))) for _ in range(2000)]
+    words._ids = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in words(texts)] == [plain(t) for t in texts]
+    words._ids = known
+    for some in (["\u03a3"], ["\u03a3 Abc D\u00c9"], ["abc d\u00e9"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in words(some)] == [plain(t) for t in some]
+
+
+def test_plain_and_full_pattern_split_alike():
+    """Each character by itself and between others; only text with characters above U+FFFF goes to the slower pattern."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for c in (chr(k) for k in range(0x10400) if not 0xD800 <= k < 0xE000):
+        for text in (c, f"a{c}b", f"'s{c}'", f"1{c}-{c}"):
+            assert words.split(text) == words.pattern.findall(text)
+    words.pattern = None
+    assert words.split("it's \u00e9t\u00e9, 42\u00a0\u2014 don'\u00df") == ["it", "'s", "\u00e9t\u00e9", ",", "4", "2", "\u2014", "don", "'", "\u00df"]
+    with pytest.raises(AttributeError):
+        words.split("\U0001d400")
+
+
 def test_bpe_is_tiktoken(spark, folder, rows):
     import tiktoken
 
