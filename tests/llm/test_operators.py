@@ -2,6 +2,7 @@
 import base64
 import gzip
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 import zstandard
+from pyspark import cloudpickle
 
 from tagloom.llm import bpe, exact, language, minhash, packing, quality, repeats, secrets, simhash, toxicity
 from tagloom.llm.graph import components
@@ -301,6 +303,42 @@ def test_plain_and_full_pattern_split_alike():
         words.split("\U0001d400")
 
 
+def test_many_texts_are_split_and_looked_up_together(monkeypatch):
+    """As PATTERN splits one text, with characters of all planes, and as the tokenizer encodes one, whatever is remembered."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    drawn = random.Random(6)
+    signs = [*" \n  ''''aaetstrvemldd123-_.,é߲ —　\x1c\x85\0中́\U0001d400🙂\U0001d7d8�", "'s", "'re", "'ll", "'ve"]
+    texts = ["".join(drawn.choice(signs) for _ in range(drawn.randrange(60))) for _ in range(3000)]
+    texts += [chr(k).join(("", "a", "'s", "1")) for k in range(0, 0x30000, 7) if not 0xD800 <= k < 0xE000] + ["", "'", "a'", "'r", "'v"]
+    for some in (texts, [t for t in texts if t.isascii()], [*texts, "it'l"], [*texts, "don't"]):
+        tokens, before = words.split_all(some)
+        tokens = tokens.to_pylist()
+        assert [tokens[a:b] for a, b in zip(before, before[1:])] == [words.pattern.findall(t) for t in some]
+    monkeypatch.setattr(packing, "SHORT", 0)
+    words.split = None  # for few texts only
+    texts = [t for t in texts if len(t) > 8] + ["x" * 100 + "yz" * k for k in range(9)]
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (400_000, 300, 2):
+        monkeypatch.setattr(packing, "MEMO", most)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in words(texts)] == want
+            assert len(words.tokens) == len(words.ids) == len(words.used) <= most and max(map(len, words.tokens.to_pylist())) <= packing.LONG
+
+
+def test_tokenizer_stays_with_the_worker_and_places_come_with_the_pieces(spark, docs):
+    """All tasks of a worker find the same tokenizer, which remembers pre-tokens, and packing needs no second worker."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert pickle.loads(cloudpickle.dumps(packing._words)) is packing._words and packing._words(path) is packing._words(path)
+    pieces = packing.tokenized(docs, path)
+    got = packing.pack(pieces, place="place")
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    plain = packing.pack(pieces.drop("place"))
+    count = lambda df: Counter((r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in df.collect())
+    assert count(got) == count(plain) == count(pieces)
+    slots = lambda df: Counter((r["sequence_id"], r["offset"], r["length"]) for r in df.collect())
+    assert slots(got) == slots(plain) and max(slots(got).values()) == 1
+
+
 def test_bpe_is_tiktoken(spark, folder, rows):
     import tiktoken
 
