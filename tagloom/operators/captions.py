@@ -172,9 +172,11 @@ def fit_captions(df: DataFrame, s: dict[str, Any], limit: int = MAX_CAPTION) ->
     fixed = each(caption_parts(empty(), nl, rating, names, extra, s), f"x -> lower({strip_sql('x')})")
     base = base.withColumn("_fixed", F.when(long, F.array_distinct(fixed))) \
                .withColumn("_scored", F.when(long, _scored(F.col("tags"), F.col("general"))))
-    order = F.sort_array(each(only(F.col("_scored"), f"x -> x.k NOT IN ({keep})"), (
+    # The fixed pieces are bound outside the lambda over tags: a column made of them may be inlined there, and then they are made anew for each tag.
+    order = let(F.col("_fixed"), (
+        f"fixed -> sort_array(transform(filter(_scored, x -> x.k NOT IN ({keep})), "
         "x -> struct(x.score IS NULL AS unscored, coalesce(x.score, 0D) AS score, -x.i AS back, x.t AS t, "
-        f"CASE WHEN array_contains(_fixed, lower({shown})) THEN 0 ELSE length({shown}) + 2 END AS frees)")))
+        f"CASE WHEN array_contains(fixed, lower({shown})) THEN 0 ELSE length({shown}) + 2 END AS frees)))"))
     base = base.withColumn("_order", F.when(long, order))
     bodiless = s["caption_mode"] == "trigger_only" and bool(s["trigger"].strip() or s["class_word"].strip())
     frees = (lambda x: F.lit(0)) if bodiless else (lambda x: x["frees"])

@@ -138,6 +138,16 @@ def test_fit_removes_as_the_rule_says(spark, profile, mode):
     assert all(len(c) <= 90 for c, _ in got.values())
 
 
+@pytest.mark.parametrize("wanted", [["removed"], ["caption", "removed"]])
+def test_fixed_pieces_are_made_once_for_a_record(spark, wanted):
+    """Whatever columns are asked for, no tag makes the pieces of the caption anew: the lambda over tags looks into a list that is bound outside."""
+    row = [(1, ["a"], "b", "general", [], [], [("a", 0.5)])]
+    df = spark.createDataFrame(row, "id int, tags array<string>, nl string, rating string, names array<string>, extra array<string>, general array<struct<name:string,score:double>>")
+    fitted = K.fit_captions(df, C.defaults_for("noobai_xl", trigger="the", append_tags="white rectangle", max_tags=0)).select(*wanted)
+    looks = fitted._jdf.queryExecution().optimizedPlan().toString().split("array_contains(")[1:]
+    assert any(x.startswith("lambda fixed") for x in looks) and not any(x.startswith(("CASE", "if", "array_distinct", "transform")) for x in looks)
+
+
 def test_sidecar(spark):
     tags, nl = I.parse_sidecar(F.lit("1girl, solo, Trig, a girl is standing in the rain alone.\nend."), "trig")
     assert one(spark, tags) == ["1girl", "solo"] and one(spark, nl) == "a girl is standing in the rain alone., end."
