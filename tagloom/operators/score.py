@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ RESIDENT = 64 << 20  # bytes of all references up to which a task holds them
 HELD = 4 << 20  # bytes of rows that meet them together, about
 SPREAD = 1 << 24  # distances that are worth a group of their own, as long as some cores would idle
 CELLS = 2_000_000  # distances of a group worked on at once
+LEAF, DIRECT = 16, 1 << 16  # lines of a box, and its distances, from which on it is cut again
 BINS = 256  # value ranges counted for one record in a pass
 
 
@@ -127,54 +129,118 @@ def _middle(d: np.ndarray) -> np.ndarray:
     return out
 
 
-def _whole(metric: Metric, id_type: pa.DataType):
-    """Scores of a group of rows against all references, some rows at a time. Rows that share an id share their distances."""
+def _ranked(v: np.ndarray, heads: np.ndarray, low: int, high: int, metric: Metric) -> np.ndarray:
+    """Of each line of ``v`` its distances to ``heads`` of ranks ``low`` to ``high`` (from 0), exact, for finite numbers and a metric with the triangle inequality.
+
+    Lines lie in a tree of boxes. A line at most r from a middle m has distances that differ from those of m by at most r, and so do those of a
+    rank; heads whose distance to m is more than 2 r away from those ranks are surely below or above, for all lines of the box and the
+    boxes in it, and are looked at no more. Equal lines are one box of no extent, compared once.
+    """
+    out = np.empty((len(v), high - low + 1))
+    slack = 1e-9 * v.shape[1] * (np.abs(v).max(initial=0) + np.abs(heads).max(initial=0))  # above the rounding of distances
+    boxes = [(np.arange(len(v)), heads, 0)]
+    while boxes:
+        at, some, below = boxes.pop()
+        p = v[at]
+        least, most = p.min(0), p.max(0)
+        same = bool((least == most).all())
+        if not same and len(at) > LEAF and len(at) * len(some) > DIRECT:
+            middle = ((least + most) / 2)[None, :]
+            reach = 2 * metric(middle, p).max() + slack
+            d = metric(middle, some)[0]
+            ends = np.partition(d, (low - below, high - below))[[low - below, high - below]]
+            under = d < ends[0] - reach
+            some, below = some[~under & (d <= ends[1] + reach)], below + int(under.sum())
+            order = np.argpartition(p[:, (most - least).argmax()], len(at) // 2)
+            boxes += [(at[part], some, below) for part in (order[: len(at) // 2], order[len(at) // 2 :])]
+            continue
+        ranks = np.arange(low - below, high - below + 1)
+        if same:
+            out[at] = np.partition(metric(p[:1], some)[0], ranks)[ranks]
+            continue
+        step = max(1, CELLS // len(some))
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.partition(metric(p[k : k + step], some), ranks, axis=1)[:, ranks]
+    return out
+
+
+def _middle_of(v: np.ndarray, heads: np.ndarray, own: np.ndarray, metric: Metric) -> np.ndarray:
+    """Median distance of each line to ``heads``, without the one that ``own`` names (-1: none), by ``_ranked``."""
+    n = len(heads)
+    low, high = max(0, (n - 2) // 2), min(n - 1, (n - 1) // 2 + 1)
+    x = _ranked(v, heads, low, high, metric)
+    out = (x[:, (n - 1) // 2 - low] + x[:, n // 2 - low]) / 2
+    mine = np.flatnonzero(own >= 0)
+    if len(mine) and n == 1:
+        out[mine] = np.nan
+    elif len(mine):
+        d = np.array([metric(v[k : k + 1], heads[own[k] : own[k] + 1])[0, 0] for k in mine])
+        rest = lambda rank: np.where(d <= x[mine, rank - low], x[mine, min(rank + 1, high) - low], x[mine, rank - low])
+        out[mine] = (rest((n - 2) // 2) + rest((n - 1) // 2)) / 2
+    return out
+
+
+def _whole(metric: Metric, carry: tuple[str, ...]):
+    """Rows of a group with their scores against all references. Rows that share an id share their distances, and each comes once for each of them."""
 
     def run(rows: pa.Table, heads: pa.Table) -> pa.Table:
-        ids, roles = rows.column("id").to_pylist(), rows.column("role").to_pylist()
-        order = sorted((k for k in range(len(ids)) if ids[k] is not None), key=ids.__getitem__)
         sides = {}
         for side in ("ref", "neg"):
             listed = [h for h in sorted(heads.select(["head_role", "block", "heads", "matrix"]).to_pylist(), key=lambda h: h["block"]) if h["head_role"] == side]
             names = [x for h in listed for x in h["heads"]]
             sides[side] = names, np.frombuffer(b"".join(h["matrix"] for h in listed), np.float64).reshape(len(names), -1) if names else None
-        refs, matrix = sides["ref"]
-        at = {h: j for j, h in enumerate(refs)}
+        (refs, matrix), (negs, away) = sides["ref"], sides["neg"]
+        known = {h: j for j, h in enumerate(refs)}
         matrix = np.zeros((0, 1)) if matrix is None else matrix
         v = _matrix(rows.column("embedding"), matrix.shape[1])
-        starts = [k for k in range(len(order)) if not k or ids[order[k]] != ids[order[k - 1]]] + [len(order)]
-        step = max(1, CELLS // max(1, len(refs), len(sides["neg"][0])))
-        names, times, scores, lows = [], [], [], []
-
-        def settle(i: int, j: int) -> None:
-            """Ids from the i-th to before the j-th."""
-            at_rows = order[starts[i]:starts[j]]
-            first = np.array(starts[i:j]) - starts[i]
-            d = np.array(metric(v[at_rows], matrix), dtype=np.float64)
-            for k, row in enumerate(at_rows):
-                if roles[row] == "ref" and ids[row] in at:
-                    d[k, at[ids[row]]] = np.nan
-            if len(at_rows) == j - i:
-                scores.extend(_middle(d))
-            else:
-                scores.extend(_middle(part.reshape(1, -1))[0] for part in np.split(d, first[1:]))
-            if sides["neg"][0]:
-                d = np.array(metric(v[at_rows], sides["neg"][1]), dtype=np.float64)
-                d[[roles[row] != "pool" for row in at_rows]] = np.nan
-                lows.extend(np.fmin.reduceat(np.fmin.reduce(d, axis=1), first))
-            times.extend(np.diff(starts[i : j + 1]))
-            names.extend(ids[order[starts[k]]] for k in range(i, j))
-
-        i = 0
-        while i < len(starts) - 1:
-            j = i + 1
-            while j < len(starts) - 1 and starts[j + 1] - starts[i] <= step:
-                j += 1
-            settle(i, j)
-            i = j
-        null = lambda x: pa.array(np.asarray(x, dtype=np.float64), pa.float64(), from_pandas=True)
-        found = pa.table([pa.array(names, id_type), null(scores), null(lows if lows else [np.nan] * len(names))], names=["id", "score", "neg_score"])
-        return found.take(pa.array(np.repeat(np.arange(len(names)), np.array(times, dtype=np.int64))))
+        column = rows.column("id").combine_chunks()
+        given = np.asarray(column.is_valid())
+        coded = column.dictionary_encode()
+        codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        times = np.ones(len(codes), np.int64)
+        times[given] = np.bincount(codes[given])[codes[given]]
+        pool, ref = (np.asarray(pc.fill_null(pc.equal(rows.column("role"), side), False)) for side in ("pool", "ref"))
+        own = np.full(len(codes), -1)
+        mine = np.flatnonzero(ref & given)
+        own[mine] = [known.get(x, -1) for x in column.take(pa.array(mine)).to_pylist()]
+        scores, lows = np.full(len(codes), np.nan), np.full(len(codes), np.nan)
+        step = max(1, CELLS // max(1, len(refs), len(negs)))
+
+        def distances(at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            d = np.array(metric(v[at], matrix), dtype=np.float64)
+            d[np.flatnonzero(own[at] >= 0), own[at][own[at] >= 0]] = np.nan
+            if not negs:
+                return d, None
+            e = np.array(metric(v[at], away), dtype=np.float64)
+            e[~pool[at]] = np.nan
+            return d, e
+
+        alone = given & (times == 1)
+        near = np.zeros(len(codes), bool)
+        if getattr(metric, "triangle", False) and refs and np.isfinite(matrix).all() and (not negs or np.isfinite(away).all()):
+            near = alone & np.isfinite(v).all(1)
+            at = np.flatnonzero(near)
+            scores[at] = _middle_of(v[at], matrix, own[at], metric)
+            at = np.flatnonzero(near & pool)
+            if negs:
+                lows[at] = _ranked(v[at], away, 0, 0, metric)[:, 0]
+        rest = np.flatnonzero(alone & ~near)
+        for k in range(0, len(rest), step):
+            at = rest[k : k + step]
+            d, e = distances(at)
+            scores[at] = _middle(d)
+            if negs:
+                lows[at] = np.fmin.reduce(e, axis=1)
+        shared = np.flatnonzero(given & (times > 1))
+        shared = shared[np.argsort(codes[shared], kind="stable")]
+        for at in np.split(shared, np.flatnonzero(np.diff(codes[shared])) + 1) if len(shared) else ():
+            d, e = distances(at)
+            scores[at] = _middle(d.reshape(1, -1))[0]
+            if negs:
+                lows[at] = np.fmin.reduce(np.fmin.reduce(e, axis=1))
+        null = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+        found = rows.select(["id", "role", *carry]).append_column("score", null(scores)).append_column("neg_score", null(lows))
+        return found if (times == 1).all() else found.take(pa.array(np.repeat(np.arange(len(times)), times)))
 
     return run
 
@@ -184,7 +250,8 @@ def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK,
     """id, role, carried columns, score = median distance to the references, neg_score = smallest distance to a negative.
 
     References are compared with the *other* references; without references every score is null. ``features``: id, role (pool, ref or neg),
-    embedding. References of up to ``resident`` bytes go to every group of rows, which settles its rows some at a time. Of more, blocks of about
+    embedding. References of up to ``resident`` bytes go to every group of rows, which settles its rows some at a time; with a metric marked
+    ``triangle`` by boxes of rows, each of which leaves most references out. Of more, blocks of about
     ``size`` references meet tiles of rows, and no task holds more than one of each. The median is then exact without
     an array of all distances: while more than ``gather`` of a record's distances may be the median, a pass counts them by value range and keeps
     the range that holds the middle ranks; then the few that are left travel and are sorted. Equal distances end a range at once.
@@ -192,7 +259,8 @@ def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK,
     id_type = pa.string() if features.schema["id"].dataType.simpleString() == "string" else pa.int64()
     kept, id_sql = features.where(F.col("role") != "neg"), features.schema["id"].dataType.simpleString()
     marked = features.where((F.col("role") != "pool") & F.col("embedding").isNotNull())
-    sizes = {r["role"]: r["n"] for r in marked.groupBy("role").agg(F.count("*").alias("n")).collect()}
+    counted = features.groupBy("role").agg(F.count("*").alias("all"), F.count("embedding").alias("n"), F.max(F.size("embedding")).alias("width")).collect()  # a few roles
+    sizes = {r["role"]: r["n"] for r in counted if r["role"] is not None and r["role"] != "pool" and r["n"]}
     null = F.lit(None).cast("double")
     if not sizes.get("ref"):
         return kept.select("id", "role", *carry, null.alias("score"), null.alias("neg_score"))
@@ -200,14 +268,15 @@ def ref_scores(features: DataFrame, metric: Metric = cosine, size: int = BLOCK,
     numbered = marked.select("id", "role", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     heads = cut_lineage(numbered.groupBy("role", "block").applyInArrow(_reference_block, f"role string, block int, heads array<{id_sql}>, matrix binary"))
     heads = heads.withColumnRenamed("role", "head_role")
-    all_rows, width = kept.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    if sum(sizes.values()) * (width or 0) * 8 <= resident:
+    some = [r for r in counted if r["role"] is not None and r["role"] != "neg"]
+    all_rows, width = sum(r["all"] for r in some), max((r["width"] or 0 for r in some), default=0)
+    if sum(sizes.values()) * width * 8 <= resident:
         spread = min(4 * features.sparkSession.sparkContext.defaultParallelism, all_rows * sum(sizes.values()) // SPREAD)
         groups = max(1, spread, all_rows * width * 8 // HELD)
-        rows = kept.select("id", "role", "embedding", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).repartition(groups, "g")
+        rows = kept.select("id", "role", *carry, "embedding", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).repartition(groups, "g")
         every = heads.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "g")
-        scores = rows.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(_whole(metric, id_type), f"id {id_sql}, score double, neg_score double")
-        return _attached(kept, carry, scores)
+        kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in ("id", "role", *carry))
+        return rows.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(_whole(metric, carry), f"{kinds}, score double, neg_score double")
     refs = heads.where("head_role = 'ref'")
     all_values = [F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")]
     state = kept.select("id", "role", "embedding", *all_values, F.lit(sizes["ref"]).cast("long").alias("left"), F.lit(None).cast("long").alias("k1"),

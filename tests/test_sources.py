@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import pixels as PX
-from tagloom.functions.vectors import euclidean
+from tagloom.functions.vectors import euclidean, manhattan
 from tagloom.operators import imports as I
 from tagloom.operators import match as M
 from tagloom.operators import score as SC
@@ -177,6 +177,46 @@ def test_scores_of_many_references_and_awkward_rows(spark):
     assert SC.ref_scores(odd, euclidean).where("id = 2").count() == 4
 
 
+@pytest.mark.parametrize("refs", [2001, 2000, 3, 2, 1])
+def test_near_rows_share_what_they_know_of_references(spark, tmp_path, refs):
+    """Under a metric that keeps the triangle inequality most distances are not needed; scores are those of all of them, also where many are equal."""
+    folder = str(tmp_path)
+
+    def counting(rows, heads):
+        with open(f"{folder}/{os.getpid()}", "a") as f:
+            f.write(f"{len(rows) * len(heads)}\n")
+        return manhattan(rows, heads)
+
+    counting.triangle = True
+    rng = np.random.default_rng(11)
+    crowd = lambda n: rng.random((8, 3))[np.arange(n) % 8] + rng.random((n, 3)) / 10_000
+    v = np.concatenate([crowd(refs), rng.random((60, 3)), crowd(2000), np.repeat(rng.integers(0, 3, (40, 3)) / 2, 5, axis=0)])
+    role = ["ref"] * refs + ["neg"] * 60 + ["pool"] * 2200
+    v[: refs // 4] = v[0]
+    v[refs + 1] = v[refs]
+    rows = pd.DataFrame({"id": range(len(v)), "role": role, "embedding": [list(map(float, x)) for x in v]})
+    got = {r.id: (r.score, r.neg_score) for r in SC.ref_scores(spark.createDataFrame(rows, "id long, role string, embedding array<double>"), counting).collect()}
+    for i, r in enumerate(role):
+        d = sum(np.abs(v[: refs + 60, k] - v[i, k]) for k in range(3))
+        others = np.delete(d[:refs], i) if r == "ref" else d[:refs]
+        assert r == "neg" or got[i] == (float(np.median(others)) if len(others) else None, float(d[refs:].min()) if r == "pool" else None)
+    asked = sum(int(x) for f in tmp_path.iterdir() for x in f.read_text().split())
+    assert refs < 2000 or asked < len(v) * refs / 2
+
+
+def test_near_rows_with_awkward_ids_and_numbers(spark):
+    """Repeated ids share their distances; a null vector, a null id and numbers without end are scored as by a metric that promises nothing."""
+    rng = np.random.default_rng(13)
+    rows = [(k, "ref" if k % 9 == 0 else "neg" if k % 50 == 1 else "pool", [float(x) for x in rng.random(3)]) for k in range(1500)]
+    rows += [rows[2], rows[9], (4, "pool", [9.0, 9.0, 9.0]), (9, "pool", [0.0, 0.0, 0.0]), (None, "pool", [0.0] * 3), (2000, "pool", None), (2001, "pool", [float("inf"), 0.0, 0.0]), (2002, "ref", None)]
+    df = spark.createDataFrame(rows, "id long, role string, embedding array<double>").withColumn("more", F.col("id") + 1)
+    read = lambda metric: sorted(map(repr, SC.ref_scores(df, metric, carry=("more",)).collect()))
+    plain = lambda a, b: sum(np.abs(a[:, None, k] - b[None, :, k]) for k in range(a.shape[1]))
+    got = read(manhattan)
+    assert got == read(plain) and len(got) > 1400
+    assert SC.ref_scores(df, manhattan).where("id = 2").count() == 4
+
+
 def test_scores_of_odd_distances(spark):
     """Far apart by many orders of magnitude, endless, or no distance at all; string ids; no references."""
     d = {f"r{k}": x for k, x in enumerate([0.0, 1e-300, 1e-9, 1.0, 2.0, 1e300, 1.7e308, float("inf"), float("inf"), 3.0])}
