@@ -4,7 +4,7 @@ Every language gets a zstandard raw-content dictionary of labelled text. A text
 compresses it to the fewest bytes; where the margin to the next language is narrow the text is rejected.
 
 Defined cases: null text or text without a letter: ``und``, score 0, rejected. Equal sizes: the language with more labelled
-documents, then the smaller name; rejected. No labelled row at all: every text is ``und``. Long texts are compressed whole,
+documents, then the smaller name; rejected as any margin of at most NARROW. No labelled row at all: every text is ``und``. Long texts are compressed whole,
 in pieces of PIECE bytes, as a dictionary only helps near its end; sizes of pieces add up. Repeated rows get equal answers.
 """
 from __future__ import annotations
@@ -27,7 +27,7 @@ LEVEL = 5
 TIE_LEVEL = 12  # ties are compressed again, harder, and behind CARRIER
 CARRIER = bytes(64)  # zstandard stores what is very short as it is; behind a few equal bytes it is compressed, too
 PIECE = 2048
-NARROW = 0.0  # relative margin up to which a text is rejected
+NARROW = 0.03  # relative margin up to which a text is rejected: right answers rarely have so little, wrong ones and texts of languages not learned mostly no more
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 
